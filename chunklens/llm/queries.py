@@ -1,7 +1,7 @@
 """The queries of this package and their SQL counterparts."""
 
-from . import bpe, mixing, quality
+from . import bpe, language, mixing, quality, toxicity
 
-_MODULES = (bpe, quality, mixing)
+_MODULES = (language, bpe, quality, mixing, toxicity)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
