@@ -32,7 +32,7 @@ from ..session import ship
 from .common import table
 
 #: Bounds of the training sample: rows of each label (toxic, ordinary), words of a row.
-PER_LABEL, WORDS = (2000, 4000), 1500
+PER_LABEL, WORDS = (2400, 6000), 1000
 #: A word is favoured by toxic rows if this share of them has it, this many times the share of ordinary rows.
 LEAST_SHARE, FAVOUR = 0.012, 10.0
 #: Bytes of the dictionaries; compression level; bytes of a piece of a long word; distance thresholds; cached words.
@@ -117,12 +117,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def train(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
-    """Fit on word lists of rows: dictionaries on the even ones, calibration on the odd ones."""
+    """Fit on word lists of rows: dictionaries on three of four, calibration on the fourth."""
     import zstandard as z
 
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model(b"", b"", [])
-    strip = lambda rows: [[w.strip(".,;:!?\"'()") for w in r] for r in rows[::2]]
+    strip = lambda rows: [[w.strip(".,;:!?\"'()") for w in r] for k, r in enumerate(rows) if k % 4]
     t, o = strip(toxic), strip(ordinary)
     in_t, in_o = Counter(w for r in t for w in set(r)), Counter(w for r in o for w in set(r))
     least = max(2, LEAST_SHARE * len(t))
@@ -138,11 +138,11 @@ def train(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
     spaced = lambda ws: "".join(f" {w} " for w in ws).encode("utf-8", "replace")
     model = Model(
         dictionary([spaced(w for w in r if w in favoured) for r in t], TOXIC_DICT),
-        dictionary([spaced(r)[at : at + 2000] for r in o for at in range(0, 8000, 2000)], ORDINARY_DICT),
+        dictionary([spaced(r)[:3000] for r in o], ORDINARY_DICT),
         [0.0],
     )
     d = model.distances()
-    rows = [(d.text(r), y) for part, y in ((toxic[1::2], 1.0), (ordinary[1::2], 0.0)) for r in part]
+    rows = [(d.text(r), y) for part, y in ((toxic[::4], 1.0), (ordinary[::4], 0.0)) for r in part]
     model.weights = _logistic(np.array([r for r, _ in rows]), np.array([y for _, y in rows]))
     return model
 
