@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     share = lambda k, most: F.lit(min(1.0, most / sizes[k]))
     share = F.when(F.col("y") == 1, share(1, PER_LABEL[0])).otherwise(share(0, PER_LABEL[1]))
     y = y.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20))
-    d = docs.select(F.col(doc_id).alias("i"), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+").alias("w")).join(y, "i")
+    d = docs.select(F.col(doc_id).alias("i"), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+").alias("w"))
+    d = d.join(F.broadcast(y), "i")  # about sum(PER_LABEL) ids at most
     step = f"greatest(1, ceil(size(w) / {WORDS}))"
     d = d.select("i", "y", F.expr(f"filter(w, (x, k) -> k % {step} = 0 AND x <> '')").alias("w"))
     rows = sorted((r["y"], r["i"], r["w"]) for r in d.collect())
