@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame, column: str) -> int:
     """Size of the input: the optimiser's estimate from file sizes, else an exact sum over the column."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < 1 << 55:
         return size
     return int(df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
