@@ -462,12 +462,12 @@ def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, ke
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     d = d.withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)))
     d = d.repartition(min(blocks, max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "__block")
-    slim = d.select("__block", "__id", "__text")
     ship(df.sparkSession)
-    sent = slim.groupBy("__block").applyInArrow(lambda t: _first_pass(kind, buckets, t), "bucket long, bid long, anchor binary, n binary")
+    # all three passes read d itself: the same exchange, which Spark reuses
+    sent = d.groupBy("__block").applyInArrow(lambda t: _first_pass(kind, buckets, t), "bucket long, bid long, anchor binary, n binary")
     dup = sent.groupBy("bucket").applyInArrow(lambda t: _count(kind, t), "bid long, dup binary, hot binary")
     cols = ", ".join(f"{c} binary" for c in _COLUMNS)
-    runs = slim.groupBy("__block").cogroup(dup.groupBy("bid")).applyInArrow(lambda a, b: _send_runs(kind, buckets, a, b), f"bucket long, bid long, {cols}")
+    runs = d.groupBy("__block").cogroup(dup.groupBy("bid")).applyInArrow(lambda a, b: _send_runs(kind, buckets, a, b), f"bucket long, bid long, {cols}")
     replies = runs.groupBy("bucket").applyInArrow(lambda t: _judge(kind, index, keep_first, tokens_at_once, t), "bid long, " + ", ".join(f"{c} binary" for c in _REPLY))
     out_schema = ", ".join([f"`__rest` {dict(d.dtypes)['__rest']}"] + [f"`{c}` {t}" for c, t in schema.items()])
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<struct<start:long,end:long>>": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
