@@ -20,6 +20,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from ..session import ship
 from .common import table
 
 #: Bounds of the training sample: rows of each label (toxic, ordinary), words of a row.
-PER_LABEL, WORDS = (2400, 6000), 1000
+PER_LABEL, WORDS = (2400, 6000), 700
 #: A word is favoured by toxic rows if this share of them has it, this many times the share of ordinary rows.
 LEAST_SHARE, FAVOUR = 0.012, 10.0
 #: Bytes of the dictionaries; compression level; bytes of a piece of a long word; distance thresholds; cached words.
@@ -116,14 +117,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def train(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
-    """Fit on word lists of rows: dictionaries on three of four, calibration on the fourth."""
+def train(toxic: list[str], ordinary: list[str]) -> Model:
+    """Fit on texts, words joined by blanks: dictionaries on three of four, calibration on the fourth."""
     import zstandard as z
 
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model(b"", b"", [])
-    strip = lambda rows: [[w.strip(".,;:!?\"'()") for w in r] for k, r in enumerate(rows) if k % 4]
-    t, o = strip(toxic), strip(ordinary)
+    strip = lambda r: [sys.intern(w.strip(".,;:!?\"'()")) for w in r.split()]
+    t, o = ([strip(r) for k, r in enumerate(rows) if k % 4] for rows in (toxic, ordinary))
     in_t, in_o = Counter(w for r in t for w in set(r)), Counter(w for r in o for w in set(r))
     least = max(2, LEAST_SHARE * len(t))
     favoured = {w for w, n in in_t.items() if len(w) > 2 and n >= least and n / len(t) > FAVOUR * (in_o[w] + 0.5) / len(o)}
@@ -142,7 +143,7 @@ def train(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
         [0.0],
     )
     d = model.distances()
-    rows = [(d.text(r), y) for part, y in ((toxic[::4], 1.0), (ordinary[::4], 0.0)) for r in part]
+    rows = [(d.text(r.split()), y) for part, y in ((toxic[::4], 1.0), (ordinary[::4], 0.0)) for r in part]
     model.weights = _logistic(np.array([r for r, _ in rows]), np.array([y for _, y in rows]))
     return model
 
@@ -161,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     d = d.join(F.broadcast(y), "i")  # about sum(PER_LABEL) ids at most
     step = f"greatest(1, ceil(size(w) / {WORDS}))"
     d = d.select("i", "y", F.expr(f"filter(w, (x, k) -> k % {step} = 0 AND x <> '')").alias("w"))
-    rows = sorted((r["y"], r["i"], r["w"]) for r in d.collect())
-    return train([w for k, _, w in rows if k == 1], [w for k, _, w in rows if k == 0])
+    rows = sorted((r["y"], r["i"], r["t"]) for r in d.select("y", "i", F.array_join("w", " ").alias("t")).collect())
+    return train([t for k, _, t in rows if k == 1], [t for k, _, t in rows if k == 0])
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
