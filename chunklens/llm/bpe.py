@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries.
 
-Each partition splits its texts by the public pattern and looks up every piece in
-a cache. Pieces that are new go to an in-memory DuckDB: a piece that is a token
+Each partition splits its texts at single blanks between other characters, where
+the public pattern always splits, and looks up every chunk in a cache. New chunks are
+split by the pattern; a text with other blanks is split by the pattern as a whole.
+Pieces that are new go to an in-memory DuckDB: a piece that is a token
 itself gets that id; the others start as one row for each byte (piece, position,
 id), and a recursive query joins adjacent rows with the merge table and contracts
 each piece's leftmost pair of least rank until no piece has a pair. An ordered
 aggregation then gives the ids and the bytes they decode to. Pieces never cross
 texts, so texts of any length are done piece by piece.
 
-The cache holds two generations of at most ``CACHE`` pieces, so memory does not
-grow with the corpus; a piece that was dropped is encoded again.
+The caches of chunks and of pieces hold two generations of at most about ``CACHE``
+entries each, so memory does not grow with the corpus; what was dropped is encoded again.
 
 Edge cases: null text is empty and has no tokens; repeated rows each keep a row;
 an empty table gives an empty result. A single piece of n bytes takes about n * n
@@ -22,6 +24,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ from ..session import ship
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces of a cache generation; characters of a round of texts; bytes of pieces of one query; contractions of one query.
-CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 150_000, 1 << 20, 400_000, 48
+#: Entries of a cache generation; characters of a round of texts; bytes of pieces of one query; contractions of one query.
+CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 250_000, 1 << 22, 600_000, 48
 
 _STEP = """
 WITH RECURSIVE st AS (
@@ -42,10 +45,10 @@ WITH RECURSIVE st AS (
    best AS (SELECT w, min(r::BIGINT * 4294967296 + pos) AS b FROM p JOIN merges ON k = tok::BIGINT * 65536 + nt WHERE it < {depth} GROUP BY w)
    SELECT p.w, it + 1, pos, CASE WHEN pos = b % 4294967296 THEN (b // 4294967296)::INTEGER ELSE tok END
    FROM p JOIN best ON p.w = best.w WHERE pp IS DISTINCT FROM b % 4294967296))
-SELECT w, it, pos, tok FROM (SELECT *, max(it) OVER (PARTITION BY w) AS last FROM st) WHERE it = last
+SELECT w, it, pos, tok FROM st JOIN (SELECT w, max(it) AS it FROM st GROUP BY w) USING (w, it)
 """
 _GATHER = """
-SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, list(bytes ORDER BY pos) AS parts, count(*) AS n
+SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
 FROM final JOIN vocab ON vocab.id = tok GROUP BY w
 """
 
@@ -69,65 +72,107 @@ class Codec:
                     rank.append(r)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.db.register("m", pa.table({"k": pa.array(left, pa.int64()), "r": pa.array(rank, pa.int32())}))
-        self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}))
+        self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks], pa.string())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocab AS SELECT * FROM v")
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.now: dict[str, tuple] = {}
-        self.before: dict[str, tuple] = {}
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.pieces = Generations()
+        self.chunks = Generations()
 
-    def _final(self, rows: dict) -> pa.Table:
+    def _final(self, rows: pa.Table) -> pa.Table:
         """Contract to the fixpoint; a query stops after DEPTH contractions, pieces that may go on go into the next."""
         done = []
-        while rows["w"]:
-            self.db.register("init", pa.table({"w": pa.array(rows["w"], pa.int32()), "pos": pa.array(rows["pos"], pa.int32()), "tok": pa.array(rows["tok"], pa.int32())}))
+        while rows.num_rows:
+            self.db.register("init", rows)
             got = self.db.sql(_STEP.format(depth=DEPTH)).to_arrow_table()
             open_ = pa.compute.equal(got["it"], DEPTH)
             done.append(got.filter(pa.compute.invert(open_)))
-            more = got.filter(open_)
-            rows = {c: more[c].to_pylist() for c in ("w", "pos", "tok")}
+            rows = got.filter(open_).select(["w", "pos", "tok"])
         return pa.concat_tables(done)
 
     def _encode(self, pieces: list[str]) -> None:
-        whole = {p: self.ranks.get(p.encode()) for p in pieces}
-        for p, i in whole.items():
-            if i is not None:
-                self.now[p] = (str(i), p.encode(), 1)
-        rest = [p for p in pieces if whole[p] is None]
-        rows: dict = {"w": [], "pos": [], "tok": []}
-        first = 0
-        for k, p in enumerate(rest):
-            b = p.encode()
-            rows["w"] += [k] * len(b)
-            rows["pos"] += range(len(b))
-            rows["tok"] += [self.byte[x] for x in b]
-            if len(rows["w"]) > QUERY_BYTES or k + 1 == len(rest):
-                self.db.register("final", self._final(rows))
-                for w, ids, parts, n in self.db.execute(_GATHER).fetchall():
-                    self.now[rest[w]] = (ids, b"".join(parts), n)
-                first, rows = k + 1, {"w": [], "pos": [], "tok": []}
-        assert first == len(rest)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Have all these pieces in ``now``."""
-        if len(self.now) > CACHE:
-            self.before, self.now = self.now, {}
-        new = []
-        for p in pieces - self.now.keys():
-            if (known := self.before.get(p)) is not None:
-                self.now[p] = known
+        """Add pieces to the cache."""
+        ids, decoded = self.pieces.ids, self.pieces.decoded
+        rest = []
+        for p in pieces:
+            if (i := self.ranks.get(b := p.encode())) is not None:
+                ids[p], decoded[p] = str(i), b
             else:
-                new.append(p)
-        if new:
-            self._encode(sorted(new))
+                rest.append((p, b))
+        first = size = 0
+        for k, (_, b) in enumerate(rest):
+            size += len(b)
+            if size > QUERY_BYTES or k + 1 == len(rest):
+                self._encode_bytes(rest[first : k + 1])
+                first, size = k + 1, 0
+
+    def _encode_bytes(self, part: list[tuple[str, bytes]]) -> None:
+        sizes = np.array([len(b) for _, b in part])
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        data = np.frombuffer(b"".join([b for _, b in part]), np.uint8)
+        init = {"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(data)) - starts).astype(np.int32), "tok": self.byte[data]}
+        self.db.register("final", self._final(pa.table(init)))
+        ids, decoded = self.pieces.ids, self.pieces.decoded
+        for w, i, h in self.db.sql(_GATHER).fetchall():
+            p = part[w][0]
+            ids[p], decoded[p] = i, bytes.fromhex(h)
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        if new := self.pieces.missing(pieces):
+            self._encode(new)
+
+    def _learn_chunks(self, chunks: set[str]) -> None:
+        """A chunk stands for itself after a blank; one that begins or ends with white space, or is empty, is odd."""
+        self.odd = {c for c in chunks if not c or c[0].isspace() or c[-1].isspace()}
+        if not (new := self.chunks.missing(chunks - self.odd)):
+            return
+        split = [self.find(" " + c) for c in new]
+        self._learn_pieces(set().union(*split))
+        ids, decoded = self.chunks.ids, self.chunks.decoded
+        one, raw = self.pieces.ids, self.pieces.decoded
+        for c, ps in zip(new, split, strict=True):
+            if len(ps) == 1:
+                ids[c], decoded[c] = one[ps[0]], raw[ps[0]]
+            else:
+                ids[c], decoded[c] = ",".join([one[p] for p in ps]), b"".join([raw[p] for p in ps])
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes, int]]:
         """For each text its ids joined by commas, the bytes they decode to, and their number."""
-        split = [self.find(t) for t in texts]
-        self.learn(set().union(*split))
-        now = self.now
-        for pieces in split:
-            got = [now[p] for p in pieces]
-            yield ",".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
+        split = [t.split(" ") for t in texts]
+        heads = [cs.pop(0) for cs in split]
+        self._learn_chunks(set().union(*split))
+        for k, (t, cs) in enumerate(zip(texts, split, strict=True)):
+            h = heads[k]
+            if cs and (not h or h[-1].isspace() or self.odd and not self.odd.isdisjoint(cs)):
+                split[k], heads[k] = [], t
+        first = [self.find(h) for h in heads]
+        self._learn_pieces(set().union(*first))
+        one, raw = self.pieces.ids.__getitem__, self.pieces.decoded.__getitem__
+        ids, decoded = self.chunks.ids.__getitem__, self.chunks.decoded.__getitem__
+        for ps, cs in zip(first, split, strict=True):
+            i = ",".join([*map(one, ps), *map(ids, cs)])
+            yield i, b"".join([*map(raw, ps), *map(decoded, cs)]), i.count(",") + 1 if i else 0
+
+
+class Generations:
+    """Ids and decoded bytes by string; what has not been asked for since the last turn is dropped."""
+
+    def __init__(self):
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.before: tuple[dict[str, str], dict[str, bytes]] = {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys in neither generation; all others are in the present one afterwards."""
+        if len(self.ids) > CACHE:
+            self.before, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        ids, decoded = self.before
+        out = []
+        for k in keys.difference(self.ids):
+            if (i := ids.get(k)) is not None:
+                self.ids[k], self.decoded[k] = i, decoded[k]
+            else:
+                out.append(k)
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -1,7 +1,7 @@
 """The queries of this package and their SQL counterparts."""
 
-from . import bpe, fm_index, language, mixing, quality, suffix_levels, toxicity
+from . import bpe, fm_index, language, mixing, order_minhash, quality, suffix_levels, toxicity
 
-_MODULES = (language, fm_index, suffix_levels, bpe, quality, mixing, toxicity)
+_MODULES = (language, fm_index, suffix_levels, bpe, order_minhash, quality, mixing, toxicity)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunklens.llm import bpe, mixing, quality
+from chunklens.llm import bpe, mixing, order_minhash, quality, suffix_levels
 from chunklens.llm.common import cut, table
 
 #: (name, function); a function takes (spark, docs, sf_dir) and all but the last return the columns of documents.
 STAGES = [
     ("quality rules", quality.keep_good),
+    ("MinHash near-dedup", order_minhash.keep_one),
+    ("suffix-array dedup", suffix_levels.cut_repeats),
     ("mixing sources to target weights", mixing.take_copies),
     ("byte-level BPE encoding and decoding", bpe.encode_documents),
 ]
