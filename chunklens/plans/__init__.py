@@ -1,4 +1,5 @@
 """Named queries over the tables of a data directory, with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
