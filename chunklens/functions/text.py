@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 TRUNCATE = ((1024, 256), (512, 512))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for each row, however often f uses it, also inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: Column) -> Column:
     """Non-blank runs of a text; none for null or blank text."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), F.array().cast("array<string>"))

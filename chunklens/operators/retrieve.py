@@ -32,16 +32,16 @@ def score(found: Column, query: Column) -> Column:
 
     Counts are whole numbers up to the last division, so that any engine gives the same double.
     """
-    dot = F.aggregate(found, F.lit(0).cast("bigint"), lambda s, b: s + query[b])
-    init = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("sum"))
-    square = F.aggregate(
-        F.sort_array(found), init,
-        lambda a, b: F.when(b == a["b"], F.struct(b.alias("b"), (a["run"] + 1).alias("run"), (a["sum"] + 2 * a["run"] + 1).alias("sum"))).otherwise(
-            F.struct(b.alias("b"), F.lit(1).cast("bigint").alias("run"), (a["sum"] + 1).alias("sum"))
-        ),
-        lambda a: a["sum"],
-    )
-    return F.when(square > 0, dot / F.sqrt(square.cast("double"))).otherwise(0.0)
+    init = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("square"), F.lit(0).cast("bigint").alias("dot"))
+
+    def step(a: Column, b: Column) -> Column:
+        same = b == a["b"]
+        return F.struct(
+            b.alias("b"), F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
+            (a["square"] + F.when(same, 2 * a["run"] + 1).otherwise(F.lit(1).cast("bigint"))).alias("square"), (a["dot"] + query[b]).alias("dot"),
+        )
+
+    return F.aggregate(F.sort_array(found), init, step, lambda a: F.when(a["square"] > 0, a["dot"] / F.sqrt(a["square"].cast("double"))).otherwise(0.0))
 
 
 def top_rows(scores: Column, k: int) -> Column:
@@ -53,24 +53,28 @@ def top_rows(scores: Column, k: int) -> Column:
 def search(docs: DataFrame, sentences: str, question: str, k: int, granularities: tuple[int, ...] = GRANULARITIES) -> DataFrame:
     """Add ``hits``: the k best rows of each document's store for its question, as (rank, score, row_idx, granularity, start, len)."""
     s = F.col(sentences)
-    d = docs.withColumn("_b", sentence_buckets(s)).withColumn("_rows", store_rows(s, granularities))
-    d = d.withColumn("_q", histogram(F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS))))
-    d = d.withColumn("_scores", F.transform("_rows", lambda r: score(F.flatten(F.slice("_b", r["start"] + 1, r["len"])), F.col("_q"))))
-    d = d.withColumn("_top", top_rows(F.col("_scores"), k))
-    hit = lambda h, i: F.struct(
-        (i + 1).alias("rank"), h["score"].alias("score"), h["row_idx"].alias("row_idx"), F.col("_rows")[h["row_idx"]]["granularity"].alias("granularity"),
-        F.col("_rows")[h["row_idx"]]["start"].alias("start"), F.col("_rows")[h["row_idx"]]["len"].alias("len"),
-    )
-    return d.withColumn("hits", F.transform("_top", hit)).drop("_b", "_rows", "_q", "_scores", "_top")
+    asked = histogram(F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS)))
+    store = F.struct(sentence_buckets(s).alias("b"), store_rows(s, granularities).alias("rows"), asked.alias("q"))
+
+    def best(v: Column) -> Column:
+        scores = F.transform(v["rows"], lambda r: score(F.flatten(F.slice(v["b"], r["start"] + 1, r["len"])), v["q"]))
+        hit = lambda h, i: F.struct(
+            (i + 1).alias("rank"), h["score"].alias("score"), h["row_idx"].alias("row_idx"), v["rows"][h["row_idx"]]["granularity"].alias("granularity"),
+            v["rows"][h["row_idx"]]["start"].alias("start"), v["rows"][h["row_idx"]]["len"].alias("len"),
+        )
+        return F.transform(top_rows(scores, k), hit)
+
+    return docs.withColumn("hits", T.let(store, best))
 
 
 def assemble(sentences: Column, ids: Column) -> Column:
     """Sentences of sorted, different numbers joined, with a gap mark where numbers aren't consecutive; empty for none."""
-    ordered = F.array_sort(F.array_distinct(ids))
-    piece = lambda x, i: F.concat(
-        F.when((i > 0) & (x != ordered[F.greatest(i - 1, F.lit(0))] + 1), F.lit(GAP)).otherwise(F.lit("")), T.strip(sentences[x])
-    )
-    return F.array_join(F.transform(ordered, piece), "")
+
+    def joined(v: Column) -> Column:
+        gap = lambda x, i: F.when((i > 0) & (x != v["ids"][F.greatest(i - 1, F.lit(0))] + 1), F.lit(GAP)).otherwise(F.lit(""))
+        return F.array_join(F.transform(v["ids"], lambda x, i: F.concat(gap(x, i), T.strip(v["s"][x]))), "")
+
+    return T.let(F.struct(F.array_sort(F.array_distinct(ids)).alias("ids"), sentences.alias("s")), joined)
 
 
 def covered(hits: Column) -> Column:
@@ -97,9 +101,12 @@ def merge_marked(texts: Column) -> Column:
         pairs, F.array().cast("array<struct<i:int,t:string>>"),
         lambda a, p: F.when(F.exists(a, lambda x: x["i"] == p["i"]), a).otherwise(F.concat(a, F.array(F.struct(p["i"].alias("i"), p["t"].alias("t"))))),
     )
-    ordered = F.array_sort(first)
-    piece = lambda x, k: F.concat(F.when((k > 0) & (x["i"] != ordered[F.greatest(k - 1, F.lit(0))]["i"] + 1), F.lit(GAP)).otherwise(F.lit("")), T.unmark(x["t"]))
-    return F.array_join(F.transform(ordered, piece), "")
+
+    def parts(ordered: Column) -> Column:
+        gap = lambda x, k: F.when((k > 0) & (x["i"] != ordered[F.greatest(k - 1, F.lit(0))]["i"] + 1), F.lit(GAP)).otherwise(F.lit(""))
+        return F.array_join(F.transform(ordered, lambda x, k: F.concat(gap(x, k), T.unmark(x["t"]))), "")
+
+    return T.let(F.array_sort(first), parts)
 
 
 def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:

@@ -383,7 +383,7 @@ def shard_round_robin(spark, sf):
     return E.numbered(_t(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", E.round_robin(F.col("pos"), 7).alias("shard"))
 
 
-@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // ceil((SELECT count(*) FROM documents) / 7))::INT AS shard FROM documents")
+@query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil((SELECT count(*) FROM documents) / 7.0))::INT AS shard FROM documents")
 def shard_contiguous(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id")
     return E.numbered(d, "doc_id").select("doc_id", E.contiguous(F.col("pos"), F.lit(d.count()), 7).alias("shard"))
@@ -624,8 +624,8 @@ def incremental_chunks(spark, sf):
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chunklens-stream-")
     base = f"{base}/stream-{uuid.uuid4().hex}"
-    source = f"{sf}/documents.parquet"
-    schema = spark.read.parquet(source).schema
+    source = f"{sf}/document[s].parquet"  # a stream takes a folder or a pattern; the table may be one file
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     for _ in range(2):
         chunk_new(spark, source, schema, f"{base}/out", f"{base}/state").awaitTermination()
     d = spark.read.parquet(f"{base}/out")
