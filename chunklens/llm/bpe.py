@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import table
+from .common import pack, table, unpack
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a cache generation; characters of a round of texts; bytes of pieces of one query; contractions of one query.
@@ -205,9 +205,8 @@ def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", emit:
     added = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     names = ["n_tokens", *emit]
     sql = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
-    keep = [c for c in df.columns if c != text and c not in names]
-    d = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in d.dtypes if c != "__text"] + [f"{c} {sql[c]}" for c in names])
+    d, keep = pack(df, text, names)
+    schema = ", ".join([f"__rest {dict(d.dtypes)['__rest']}"] + [f"{c} {sql[c]}" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -232,7 +231,7 @@ def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", emit:
                 )
 
     ship(df.sparkSession)
-    return d.mapInArrow(run, schema)
+    return unpack(d.mapInArrow(run, schema), keep, names)
 
 
 def _public() -> tuple[str, str]:

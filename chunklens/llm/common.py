@@ -43,3 +43,14 @@ def input_bytes(df: DataFrame, column: str) -> int:
 def words(text):
     """Array of words of a text column; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda x: x != "")
+
+
+def pack(df: DataFrame, text: str, added: list[str]) -> tuple[DataFrame, list[str]]:
+    """Two columns: the text, and a struct of all other columns whose names aren't added; and the names in the struct."""
+    rest = [c for c in df.columns if c != text and c not in added]
+    own = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    return df.select(own.alias("__rest"), F.col(f"`{text}`").alias("__text")), rest
+
+
+def unpack(df: DataFrame, rest: list[str], added: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"__rest.`{c}`") for c in rest], *[F.col(f"`{c}`") for c in added])

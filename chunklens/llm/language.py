@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import table
+from .common import pack, table, unpack
 
 #: Bounds of the training sample.
 PER_LANGUAGE, WINDOWS_PER_ROW = 600, 6
@@ -210,9 +210,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 def predict(df: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
     """All columns but the text, with ``lang_pred`` and ``score``."""
-    keep = [c for c in df.columns if c not in (text, "lang_pred", "score")]
-    d = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in d.dtypes if c != "__text"] + ["lang_pred string", "score double"])
+    added = ["lang_pred", "score"]
+    d, keep = pack(df, text, added)
+    schema = f"__rest {dict(d.dtypes)['__rest']}, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Predictor(net)
@@ -227,7 +227,7 @@ def predict(df: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
                 )
 
     ship(df.sparkSession)
-    return d.mapInArrow(run, schema)
+    return unpack(d.mapInArrow(run, schema), keep, added)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

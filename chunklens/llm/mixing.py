@@ -4,8 +4,8 @@ Every source gets a target number of words; each of its rows should be copied
 ``target / source size`` times. The whole part of that is given to every row. The
 fractional parts are rounded by the pivotal method: two units meet, mass moves at
 random until one of them is 0 or 1, and the other meets the next unit. Units are
-dealt by hash into blocks of about ``BLOCK``, ordered by size within a block so
-that units of like size meet and the words taken stay near the target. A block
+dealt by hash into blocks of about ``BLOCK``, ordered from the largest down so that
+units of like size meet, the last ones are small, and the words taken stay near the target. A block
 leaves at most one undecided unit; those go into blocks of the next level, and so
 on, so that the tree has log_BLOCK(rows) levels and no task holds more than a block.
 
@@ -98,7 +98,7 @@ def round_copies(units: DataFrame, seed: int = 0) -> DataFrame:
     out = None
     level = 0
     while True:
-        g = d.groupBy("source", "block").agg(F.sort_array(F.collect_list("u")).alias("units"))
+        g = d.groupBy("source", "block").agg(F.sort_array(F.collect_list("u"), asc=False).alias("units"))
         g = g.withColumn("r", F.expr(_MEET.format(unit=unit, seed=seed * 64 + level, eps=f"{EPS:.12f}D")))
         g = cut(g.select("source", "block", "r"))
         done = g.select("source", F.explode("r.out").alias("u"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import table
+from .common import pack, table, unpack
 
 #: Bounds of the training sample: rows of each label (toxic, ordinary), words of a row.
 PER_LABEL, WORDS = (2400, 6000), 700
@@ -168,9 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns but the text, with ``score`` and ``predicted``."""
-    keep = [c for c in df.columns if c not in (text, "score", "predicted")]
-    d = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in d.dtypes if c != "__text"] + ["score double", "predicted int"])
+    added = ["score", "predicted"]
+    d, keep = pack(df, text, added)
+    schema = f"__rest {dict(d.dtypes)['__rest']}, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.distances()
@@ -185,7 +185,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 )
 
     ship(df.sparkSession)
-    return d.mapInArrow(run, schema)
+    return unpack(d.mapInArrow(run, schema), keep, added)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
