@@ -40,11 +40,11 @@ _STEP = """
 WITH RECURSIVE st AS (
   SELECT w, 0 AS it, pos, tok FROM init
   UNION ALL
-  (WITH p AS (
-     SELECT w, it, pos, tok, lead(tok) OVER win AS nt, lag(pos) OVER win AS pp FROM st WINDOW win AS (PARTITION BY w ORDER BY pos)),
-   best AS (SELECT w, min(r::BIGINT * 4294967296 + pos) AS b FROM p JOIN merges ON k = tok::BIGINT * 65536 + nt WHERE it < {depth} GROUP BY w)
-   SELECT p.w, it + 1, pos, CASE WHEN pos = b % 4294967296 THEN (b // 4294967296)::INTEGER ELSE tok END
-   FROM p JOIN best ON p.w = best.w WHERE pp IS DISTINCT FROM b % 4294967296))
+  (WITH best AS (
+     SELECT w, min(r::BIGINT * 4294967296 + pos) AS b
+     FROM (SELECT w, it, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nt FROM st) JOIN merges ON k = tok::BIGINT * 65536 + nt WHERE it < {depth} GROUP BY w)
+   SELECT st.w, it + 1, CASE WHEN pos > b % 4294967296 THEN pos - 1 ELSE pos END, CASE WHEN pos = b % 4294967296 THEN (b // 4294967296)::INTEGER ELSE tok END
+   FROM st JOIN best ON st.w = best.w WHERE pos <> b % 4294967296 + 1))
 SELECT w, it, pos, tok FROM st JOIN (SELECT w, max(it) AS it FROM st GROUP BY w) USING (w, it)
 """
 _GATHER = """
