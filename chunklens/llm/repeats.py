@@ -448,6 +448,17 @@ def _covered(kind: Kind, left: pa.Table, right: pa.Table) -> list[np.ndarray]:
     return [depth[b : b + n] > 0 for b, n in zip(base, size, strict=True)]
 
 
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """A type whose fields, at any depth, may be null, as a schema string has it."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type), True) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(pa.field(t.value_field.name, _nullable(t.value_type), True))
+    if pa.types.is_map(t):
+        return pa.map_(t.key_type, pa.field(t.item_field.name, _nullable(t.item_type), True))
+    return t
+
+
 def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, keep_first: bool, tokens_at_once: int, finish: Callable[[bytes, np.ndarray], dict], schema: dict[str, str]) -> DataFrame:
     """All columns but the text, with what ``finish`` makes of each text's bytes and its mask of covered tokens.
 
@@ -475,7 +486,7 @@ def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, ke
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _order(left)
         made = [finish(t, m) for t, m in zip(_texts(left), _covered(kind, left, right), strict=True)]
-        return pa.table([left["__rest"], *[pa.array([m[c] for m in made], arrow[t]) for c, t in schema.items()]], names=["__rest", *schema])
+        return pa.table([left["__rest"].cast(_nullable(left["__rest"].type)), *[pa.array([m[c] for m in made], arrow[t]) for c, t in schema.items()]], names=["__rest", *schema])
 
     out = d.groupBy("__block").cogroup(replies.groupBy("bid")).applyInArrow(last, out_schema)
     return out.select(*([F.col(f"__rest.`{c}`") for c in rest]), *[F.col(f"`{c}`") for c in schema])
