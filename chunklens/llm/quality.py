@@ -182,7 +182,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with their own columns only."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    return judge(own, "_text").where("kept").select("_row.*")
+    # the features are materialised, else the filter would be pushed below them and compute them many times over
+    return judge(own, "_text", slim=True).where("kept").select("_row.*")
 
 
 def _oracle() -> str:
