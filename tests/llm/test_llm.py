@@ -11,6 +11,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from chunklens.llm import bpe, fm_index, hilbert, language, mixing, order_minhash, quality, queries, suffix_levels, toxicity, url_filters
+from chunklens.llm.common import cut as cut_
 from chunklens.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -416,19 +417,19 @@ def test_pipeline(spark, sf, tokenizer):
 
     docs = table(spark, sf, "documents")
     names = docs.columns
-    kept = P.STAGES[0][1](spark, docs, sf)
+    kept = cut_(P.STAGES[0][1](spark, docs, sf))
     verdict = {r["doc_id"]: r["kept"] for r in quality.judge(docs.select("doc_id", "text")).collect()}
     assert kept.columns == names and {r["doc_id"] for r in kept.collect()} == {d for d, k in verdict.items() if k}
-    one = P.STAGES[1][1](spark, kept, sf)
+    one = cut_(P.STAGES[1][1](spark, kept, sf))
     classes = plain_classes(sorted((r["doc_id"], r["text"]) for r in kept.collect()))
     assert one.columns == names and {r["doc_id"] for r in one.collect()} == set(classes.values())
-    cut = P.STAGES[2][1](spark, one, sf)
+    cut = cut_(P.STAGES[2][1](spark, one, sf))
     left = {r["doc_id"]: r for r in cut.collect()}
     removed = {d: n for d, _, n, _, _ in repeated_bytes([(r["doc_id"], r["text"]) for r in one.collect()])}
     for r in one.collect():
         a, b = r["text"].encode(), left[r["doc_id"]]["text"].encode()
         assert removed[r["doc_id"]] <= len(a) - len(b) <= removed[r["doc_id"]] * 3 and left[r["doc_id"]]["n_chars"] == len(left[r["doc_id"]]["text"])
-    mixed = P.STAGES[3][1](spark, cut, sf)
+    mixed = cut_(P.STAGES[3][1](spark, cut, sf))
     assert mixed.columns == names
     sizes = cut.select("doc_id", "source", F.size(F.expr(r"filter(split(text, '[ \t-\r]+'), x -> x <> '')")).cast("long").alias("size"))
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(sizes).collect()}
