@@ -12,8 +12,8 @@ a sketch is shared with probability of about 0.8 ** TAKE and a pair is missed wi
 about (1 - 0.8 ** TAKE) ** SKETCHES.
 
 Equal word sequences are collapsed first. A bucket of a sketch links each member to
-its first, its hub, never all pairs. Members that are linked to nothing meet all others of
-their bucket, in one task if they are at most ``SMALL``; else the bucket's members are sketched anew with more and longer sketches, which only like texts share, until no such
+its first, its hub, never all pairs. In a bucket that then holds several classes, members outside
+its most common class meet those of other classes, in one task if they are at most ``SMALL``; else the bucket's members are sketched anew with more and longer sketches, which only like texts share, until no such
 bucket is left. Classes are connected components by alternating star steps.
 
 Edge cases: a text of fewer than five words is one shingle; texts without words (null
@@ -148,7 +148,7 @@ def _stored(b: bytes) -> np.ndarray:
 
 
 def _finish(least: float):
-    """In a small bucket, a link for each member that has none yet: it is aligned with the others until one is alike."""
+    """In a small bucket, each open member is aligned with the members of other classes until one is alike."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("r")
@@ -156,14 +156,14 @@ def _finish(least: float):
         each = [np.unique(x) for _, x in all_]
         size = np.array([len(x) for x in each])
         flat, owner = np.concatenate(each), np.repeat(np.arange(len(each)), size)
-        found = []
+        found, root = [], t["root"].to_numpy()
         for i in np.flatnonzero(t["open"].to_numpy()):
             # different shingles in common with every other member: what an alignment can't exceed
             own = each[i]
             hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
             common = np.bincount(owner[hit], minlength=len(each))
             for k in np.flatnonzero(common >= least * (size + size[i] - common) - 1e-9):
-                if k != i and (s := similarity(all_[i][1], all_[k][1], least)) >= least:
+                if root[k] != root[i] and (s := similarity(all_[i][1], all_[k][1], least)) >= least:
                     found.append((min(all_[i][0], all_[k][0]), max(all_[i][0], all_[k][0]), s))
                     break
         return pa.table([pa.array([f[j] for f in found], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
@@ -254,14 +254,16 @@ def _link(bucket: DataFrame, gram_rows: DataFrame, firsts: DataFrame, least: flo
         pairs = star.join(gram_rows.select(F.col("r").alias("a"), F.col("grams").alias("x")), "a").join(gram_rows.select(F.col("r").alias("b"), F.col("grams").alias("y")), "b")
         tried = cut(pairs.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, similarity double"))
         done = tried if done is None else done.unionByName(tried)
-        # who has a link has a class; the others meet again, but for the hub that all have met
-        settled = done.where(F.col("similarity") >= least).select(F.explode(F.array("a", "b")).alias("r")).distinct()
-        rest = bucket.join(settled.withColumn("has", F.lit(True)), "r", "left").withColumn("open", F.col("has").isNull() & (F.col("r") != F.col("hub")))
-        size = rest.groupBy("k", "key").agg(F.count("*").alias("n"), F.max("open").alias("any_open"), F.sum(F.xxhash64("r").cast("decimal(38,0)")).alias("s")).where("any_open AND n > 2")
-        rest = cut(rest.select("k", "key", "r", "open").join(size, ["k", "key"]))
+        # a bucket is settled when its members are of one class; else those outside its most common class meet all others
+        root = components(done.where(F.col("similarity") >= least).select("a", "b"))
+        rest = bucket.join(root, "r", "left").withColumn("root", F.coalesce("root", "r"))
+        size = rest.groupBy("k", "key", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("r").cast("decimal(38,0)")).alias("s"))
+        size = size.groupBy("k", "key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("classes")).where("classes > 1 AND n > 2")
+        rest = rest.join(size, ["k", "key"]).withColumn("open", F.col("root") != F.col("most"))
+        rest = cut(rest.select("k", "key", "r", "root", "open", "n", "s"))
         # buckets of few members end in one task each; of buckets with the same members one does
         one = rest.where(F.col("n") <= SMALL).groupBy("n", "s").agg(F.min(F.struct("k", "key")).alias("c"))
-        few = rest.where(F.col("n") <= SMALL).join(one.select("c.k", "c.key"), ["k", "key"], "left_semi").select("k", "key", "r", "open")
+        few = rest.where(F.col("n") <= SMALL).join(one.select("c.k", "c.key"), ["k", "key"], "left_semi").select("k", "key", "r", "root", "open")
         few = few.join(gram_rows, "r").groupBy("k", "key").applyInArrow(_finish(least), "a long, b long, similarity double")
         few = cut(few.distinct())
         small = few if small is None else small.unionByName(few)

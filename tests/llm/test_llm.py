@@ -338,6 +338,20 @@ def test_near_duplicate_group(spark):
     assert all(got[i] == 0 for i in range(150)) and all(got[i] == i for i in got if i >= 1000)
 
 
+def linked(spark, buckets, texts):
+    """Roots of texts, given as number to shingles, whose buckets are given; the hub of each is its least member."""
+    b = spark.createDataFrame([(0, i, r, min(m)) for i, m in enumerate(buckets) for r in m], "k int, key long, r long, hub long")
+    g = spark.createDataFrame([(r, bytearray(np.array(x, np.uint32).tobytes())) for r, x in texts.items()], "r long, grams binary")
+    members, _ = order_minhash._link(b, g, g.select("r", F.col("r").alias("o")), 0.8)
+    return {m["r"]: m["root"] for m in members.collect()}
+
+
+def test_near_duplicates_linked_elsewhere(spark):
+    """Two classes meet only under a hub that is unlike both, when each of their members has a link already."""
+    texts = {0: range(900, 1000), 1: range(100), 2: range(10, 110), 3: range(20, 120), 4: range(30, 130)}
+    assert linked(spark, [(1, 2), (3, 4), (0, 2, 3)], texts) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_near_duplicate_edges(spark, rows):
     got = order_minhash.near_duplicates(rows.select("doc_id", "text", "key")).collect()
     assert len(got) == len(ROWS)
