@@ -148,24 +148,27 @@ def _stored(b: bytes) -> np.ndarray:
 
 
 def _finish(least: float):
-    """In a small bucket, each open member is aligned with the members of other classes until one is alike."""
+    """In a small bucket, open members are aligned with all members that aren't of their class, also by links found here, until none is alike."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("r")
         all_ = [(r, _stored(g)) for r, g in zip(t["r"].to_pylist(), t["grams"].to_pylist(), strict=True)]
         each = [np.unique(x) for _, x in all_]
         size = np.array([len(x) for x in each])
-        flat, owner = np.concatenate(each), np.repeat(np.arange(len(each)), size)
-        found, root = [], t["root"].to_numpy()
+        start = np.cumsum(size) - size
+        shingles, flat = np.unique(np.concatenate(each), return_inverse=True)
+        mark = np.zeros(len(shingles), np.int64)
+        found, root = [], t["root"].to_numpy().copy()
         for i in np.flatnonzero(t["open"].to_numpy()):
             # different shingles in common with every other member: what an alignment can't exceed
-            own = each[i]
-            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            common = np.bincount(owner[hit], minlength=len(each))
+            own = flat[start[i] : start[i] + size[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[flat], start)
+            mark[own] = 0
             for k in np.flatnonzero(common >= least * (size + size[i] - common) - 1e-9):
                 if root[k] != root[i] and (s := similarity(all_[i][1], all_[k][1], least)) >= least:
                     found.append((min(all_[i][0], all_[k][0]), max(all_[i][0], all_[k][0]), s))
-                    break
+                    root[root == root[k]] = root[i]
         return pa.table([pa.array([f[j] for f in found], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run

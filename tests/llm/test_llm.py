@@ -352,6 +352,12 @@ def test_near_duplicates_linked_elsewhere(spark):
     assert linked(spark, [(1, 2), (3, 4), (0, 2, 3)], texts) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_near_duplicates_path(spark):
+    """A path in one bucket under an unlike hub, whose inner members each meet an outer one first."""
+    texts = {0: range(900, 1000), 1: range(30, 130), 2: range(100), 3: range(10, 110), 4: range(20, 120)}
+    assert linked(spark, [(0, 1, 2, 3, 4)], texts) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_near_duplicate_edges(spark, rows):
     got = order_minhash.near_duplicates(rows.select("doc_id", "text", "key")).collect()
     assert len(got) == len(ROWS)
