@@ -13,8 +13,10 @@ about (1 - 0.8 ** TAKE) ** SKETCHES.
 
 Equal word sequences are collapsed first. A bucket of a sketch links each member to
 its first, its hub, never all pairs. In a bucket that then holds several classes, members outside
-its most common class meet those of other classes, in one task if they are at most ``SMALL``; else the bucket's members are sketched anew with more and longer sketches, which only like texts share, until no such
-bucket is left. Classes are connected components by alternating star steps.
+its most common class meet those of other classes, in blocks of ``SMALL`` members by as many; so
+every pair of a bucket is in one class or verified. The blocks of a bucket are members outside its
+most common class times members: with n texts that share a passage but aren't alike, n^2 counts of
+common shingles. Classes are connected components by alternating star steps.
 
 Edge cases: a text of fewer than five words is one shingle; texts without words (null
 or empty) are classes of their own; rows with equal text are in one class, also with
@@ -38,7 +40,7 @@ from .repeats import Kind, _gram_hash, mix
 
 #: Words of a shingle, least similarity, sketches and shingles of a sketch.
 SHINGLE, SIMILARITY, SKETCHES, TAKE = 5, 0.8, 16, 3
-#: Members up to which a bucket that is left over ends in one task.
+#: Members of a block of a bucket that is left over; one of so few ends in one task.
 SMALL = 256
 _U = np.uint64
 _WORDS = Kind(True, SHINGLE, SHINGLE)
@@ -148,7 +150,7 @@ def _stored(b: bytes) -> np.ndarray:
 
 
 def _finish(least: float):
-    """In a small bucket, open members are aligned with all members that aren't of their class, also by links found here, until none is alike."""
+    """The members that ask are aligned with those told, unless they are of one class already, also by links found here; two that ask once."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("r")
@@ -159,13 +161,14 @@ def _finish(least: float):
         shingles, flat = np.unique(np.concatenate(each), return_inverse=True)
         mark = np.zeros(len(shingles), np.int64)
         found, root = [], t["root"].to_numpy().copy()
-        for i in np.flatnonzero(t["open"].to_numpy()):
+        at, told, ask = np.arange(len(each)), t["told"].to_numpy(), t["ask"].to_numpy()
+        for i in np.flatnonzero(ask):
             # different shingles in common with every other member: what an alignment can't exceed
             own = flat[start[i] : start[i] + size[i]]
             mark[own] = 1
             common = np.add.reduceat(mark[flat], start)
             mark[own] = 0
-            for k in np.flatnonzero(common >= least * (size + size[i] - common) - 1e-9):
+            for k in np.flatnonzero((common >= least * (size + size[i] - common) - 1e-9) & told & (~ask | (at > i))):
                 if root[k] != root[i] and (s := similarity(all_[i][1], all_[k][1], least)) >= least:
                     found.append((min(all_[i][0], all_[k][0]), max(all_[i][0], all_[k][0]), s))
                     root[root == root[k]] = root[i]
@@ -236,49 +239,30 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return cut(d.join(size, ["k", "key"]).select("k", "key", "r", "hub"))
 
 
-def _sketch_grams(number: int, take: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = b.column(b.schema.get_field_index("grams")).to_pylist()
-            keys = [sketches(label(_stored(x)), number, take).view(np.int64).tolist() for x in g]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("r")), pa.array(keys, pa.list_(pa.int64()))], names=["r", "keys"])
-
-    return run
-
-
 def _link(bucket: DataFrame, gram_rows: DataFrame, firsts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Verify members of buckets against hubs, level after level; then find the components."""
-    done = small = None
-    number, take = SKETCHES, TAKE
-    while True:
-        star = bucket.where("r <> hub").select(F.col("hub").alias("a"), F.col("r").alias("b")).distinct()
-        if done is not None:
-            star = star.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = star.join(gram_rows.select(F.col("r").alias("a"), F.col("grams").alias("x")), "a").join(gram_rows.select(F.col("r").alias("b"), F.col("grams").alias("y")), "b")
-        tried = cut(pairs.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, similarity double"))
-        done = tried if done is None else done.unionByName(tried)
-        # a bucket is settled when its members are of one class; else those outside its most common class meet all others
-        root = components(done.where(F.col("similarity") >= least).select("a", "b"))
-        rest = bucket.join(root, "r", "left").withColumn("root", F.coalesce("root", "r"))
-        size = rest.groupBy("k", "key", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("r").cast("decimal(38,0)")).alias("s"))
-        size = size.groupBy("k", "key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("classes")).where("classes > 1 AND n > 2")
-        rest = rest.join(size, ["k", "key"]).withColumn("open", F.col("root") != F.col("most"))
-        rest = cut(rest.select("k", "key", "r", "root", "open", "n", "s"))
-        # buckets of few members end in one task each; of buckets with the same members one does
-        one = rest.where(F.col("n") <= SMALL).groupBy("n", "s").agg(F.min(F.struct("k", "key")).alias("c"))
-        few = rest.where(F.col("n") <= SMALL).join(one.select("c.k", "c.key"), ["k", "key"], "left_semi").select("k", "key", "r", "root", "open")
-        few = few.join(gram_rows, "r").groupBy("k", "key").applyInArrow(_finish(least), "a long, b long, similarity double")
-        few = cut(few.distinct())
-        small = few if small is None else small.unionByName(few)
-        # larger ones are sketched anew, with twice as many sketches of twice as many shingles
-        many = cut(rest.where(F.col("n") > SMALL).select("r").distinct())
-        if many.isEmpty():
-            break
-        number, take = min(2 * number, len(_SEEDS) // 2), 2 * take
-        keys = gram_rows.join(many, "r").mapInArrow(_sketch_grams(number, take), "r long, keys array<long>")
-        bucket = _buckets(keys)
-    done = done.unionByName(small).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    links = cut(done.where(F.col("similarity") >= least))
+    """Verify members of buckets against hubs, then those of different classes against each other; then find the components."""
+    star = bucket.where("r <> hub").select(F.col("hub").alias("a"), F.col("r").alias("b")).distinct()
+    pairs = star.join(gram_rows.select(F.col("r").alias("a"), F.col("grams").alias("x")), "a").join(gram_rows.select(F.col("r").alias("b"), F.col("grams").alias("y")), "b")
+    tried = cut(pairs.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, similarity double"))
+    star = tried.where(F.col("similarity") >= least)
+    # a bucket is settled when its members are of one class; else those outside its most common class meet all others
+    rest = bucket.join(components(star), "r", "left").withColumn("root", F.coalesce("root", "r"))
+    size = rest.groupBy("k", "key", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("r").cast("decimal(38,0)")).alias("s"))
+    size = size.groupBy("k", "key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("classes")).where("classes > 1 AND n > 2")
+    # of buckets with the same members one does
+    one = size.groupBy("n", "s").agg(F.min(F.struct("k", "key", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n")).alias("m"))).alias("c")).select("c.*", "n")
+    rest = rest.join(one, ["k", "key"]).withColumn("open", F.col("root") != F.col("most"))
+    # pairs of blocks, of open members with open ones or with the others; a bucket of few members is one block
+    count = lambda n: F.ceil(F.col(n) / SMALL).cast("int")
+    whole = F.col("n") <= SMALL
+    rest = rest.withColumn("_m", F.when(whole, 1).otherwise(count("m"))).withColumn("_n", F.when(whole, 1).otherwise(F.col("_m") + F.ceil((F.col("n") - F.col("m")) / SMALL).cast("int")))
+    deal = lambda n: F.pmod(F.xxhash64("r"), n).cast("int")
+    rest = rest.withColumn("_own", F.when(whole, 0).when(F.col("open"), deal(F.col("_m"))).otherwise(F.col("_m") + deal(F.col("_n") - F.col("_m"))))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.col("_n")).otherwise(F.col("_m")) - 1))
+    rest = rest.withColumn("_other", other).withColumn("q", F.least("_own", "_other")).withColumn("d", F.greatest("_own", "_other"))
+    rest = rest.select("k", "key", "q", "d", "r", "root", (F.col("open") & (F.col("_own") == F.col("q"))).alias("ask"), (F.col("_own") == F.col("d")).alias("told"))
+    few = rest.join(gram_rows, "r").groupBy("k", "key", "q", "d").applyInArrow(_finish(least), "a long, b long, similarity double")
+    links = cut(star.unionByName(few).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     root = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("links"))
     m = firsts.join(root, "r", "left").withColumn("root", F.coalesce("root", "r")).join(ends, "r", "left").withColumn("links", F.coalesce("links", F.lit(0)))

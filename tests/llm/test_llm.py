@@ -358,6 +358,19 @@ def test_near_duplicates_path(spark):
     assert linked(spark, [(0, 1, 2, 3, 4)], texts) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_near_duplicates_large_bucket(spark):
+    """A few pairs, at 0.8 or more, of short and long texts in one bucket of several blocks, whose other members are unlike."""
+    texts = {r: [*range(88), *range(1000 * r, 1000 * r + 12)] for r in range(1, 601)}
+    texts |= {r: range(1000 * r, 1000 * r + (4 if r <= 605 else 5 if r <= 610 else 50)) for r in range(601, 650)}
+    texts |= {r + 5: range(1000 * r, 1000 * r + 5) for r in range(601, 606)}
+    for r in (7, 107, 207):
+        texts[r + 1] = [*texts[r][:90], *texts[r + 1][90:]]
+    got = linked(spark, [sorted(texts)], texts)
+    like = {(r, r + 5) for r in range(601, 606)} | {(r, r + 1) for r in (7, 107, 207)}
+    assert all(got[a] == got[b] == a for a, b in like)
+    assert all(got[r] == r for r in texts if r not in {b for _, b in like})
+
+
 def test_near_duplicate_edges(spark, rows):
     got = order_minhash.near_duplicates(rows.select("doc_id", "text", "key")).collect()
     assert len(got) == len(ROWS)
