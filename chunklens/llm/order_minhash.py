@@ -3,11 +3,14 @@
 The k-mers of a text are its five-word shingles, each labelled with its occurrence
 number. A sketch hashes all of them, takes the ``TAKE`` least, and keeps these in the
 order of the text, so that it is sensitive to edits and moves; texts that share one of
-``SKETCHES`` sketches are candidates. A candidate pair is verified by aligning the two
+``SKETCHES`` sketches are candidates. Labels hide what a text and the same text with a
+passage pasted again have in common, so each text also has as many unordered sketches of its
+different shingles, whose buckets count if a member repeats any. A candidate pair is verified by aligning the two
 sequences of labelled shingles inside a diagonal band: similarity is the number of
 different shingles in the longest common chain, over the different shingles of both.
 Labelled shingles are unique in a text, so the alignment is a longest
-increasing chain of matched positions. Similarity is 0.8 or more by default, at which
+increasing chain of matched positions; where that isn't enough and shingles repeat, any
+occurrence may match any. Similarity is 0.8 or more by default, at which
 a sketch is shared with probability of about 0.8 ** TAKE and a pair is missed with
 about (1 - 0.8 ** TAKE) ** SKETCHES.
 
@@ -42,6 +45,8 @@ from .repeats import Kind, _gram_hash, mix
 SHINGLE, SIMILARITY, SKETCHES, TAKE = 5, 0.8, 16, 3
 #: Members of a block of a bucket that is left over; one of so few ends in one task.
 SMALL = 256
+#: Bits of the table that an alignment of texts with repeated shingles keeps.
+TABLE = 1 << 29
 _U = np.uint64
 _WORDS = Kind(True, SHINGLE, SHINGLE)
 _SEEDS = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -71,21 +76,85 @@ def label(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(h: np.ndarray, number: int = SKETCHES, take: int = TAKE) -> np.ndarray:
-    """One hash for each sketch: the ``take`` least shingles under its own hash, in text order."""
+    """The ``take`` least shingles under the hash of each sketch, in text order; all of a shorter text."""
+    if len(h) <= take:
+        return np.tile(h, (number, 1))
     y = (h[None, :] ^ _SEEDS[:number, None]) * (_SEEDS[number : 2 * number, None] | _U(1))
     y ^= y >> _U(29)
-    pick = np.sort(np.argpartition(y, take - 1, axis=1)[:, :take], axis=1) if len(h) > take else np.tile(np.arange(len(h)), (number, 1))
-    key = _SEEDS[:number].copy()
-    for j in range(pick.shape[1]):
-        key = mix(key * _U(0x9E3779B97F4A7C15) + h[pick[:, j]])
-    return key
+    return h[np.sort(np.argpartition(y, take - 1, axis=1)[:, :take], axis=1)]
+
+
+def sketch_keys(h: np.ndarray) -> tuple[list[int], bool]:
+    """One hash for each ordered sketch of the labelled shingles, one for each unordered sketch of the different ones; whether any repeats."""
+    x = label(h)
+    ordered = sketches(x)
+    different = sketches(np.unique(h)) if (repeats := x is not h) else ordered
+    out = []
+    for pick in (ordered, np.sort(different, axis=1)):
+        key = _SEEDS[: len(pick)].copy()
+        for j in range(pick.shape[1]):
+            key = mix(key * _U(0x9E3779B97F4A7C15) + pick[:, j])
+        out += key.view(np.int64).tolist()
+    return out, repeats
+
+
+def longest_chain(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Positions in ``x`` of a longest common subsequence of two arrays, where any occurrence may match any.
+
+    Rows of the table are bits of an integer (a zero where the length grows) and are kept to walk
+    back; a table too large for that is halved at the best place of ``y``, as Hirschberg has it.
+    """
+    n, every = len(y), (1 << len(y)) - 1
+
+    def rows(x: list, y: list) -> Iterator[int]:
+        where: dict = {}
+        for j, c in enumerate(y):
+            where.setdefault(c, []).append(j)
+        masks: dict = {}
+        for c, at in where.items():
+            bits = np.zeros(n, np.uint8)
+            bits[at] = 1
+            masks[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        v = every
+        for c in x:
+            u = v & masks.get(c, 0)
+            v = ((v + u) | (v - u)) & every
+            yield v
+
+    def lengths(v: int) -> np.ndarray:
+        bits = np.unpackbits(np.frombuffer(v.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+        return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+    if not len(x) or not n:
+        return []
+    p, q = x.tolist(), y.tolist()
+    if len(p) > 1 and len(p) * n > TABLE:
+        half, v, w = len(p) // 2, every, every
+        for v in rows(p[:half], q):
+            pass
+        for w in rows(p[half:][::-1], q[::-1]):
+            pass
+        k = int(np.argmax(lengths(v) + lengths(w)[::-1]))
+        return longest_chain(x[:half], y[:k]) + [half + i for i in longest_chain(x[half:], y[k:])]
+    table_ = [every, *rows(p, q)]
+    i, j, chain = len(p), n, []
+    while i and j:
+        if table_[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if table_[i] >> (j - 1) & 1:
+                chain.append(i)
+                j -= 1
+    return chain[::-1]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Different shingles in the longest common chain of two texts, over the different shingles of both; 0 if it can't reach ``least``.
 
     The band allows as many unmatched shingles as the threshold does; texts that repeat
-    shingles, where the number of places says little, are aligned without a band.
+    shingles, where the number of places says little, are aligned without a band, and if
+    occurrences of the same number don't reach ``least``, any occurrence may match any.
     """
     x, y = label(a), label(b)
     na, nb = len(np.unique(a)), len(np.unique(b))
@@ -115,6 +184,11 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
             i = int(back[i])
         hit = hit[chain]
     common = len(np.unique(a[hit]))
+    if common < need - 1e-9 and (na < len(a) or nb < len(b)):
+        both = np.intersect1d(a, b)
+        if len(both) >= need - 1e-9:
+            p = a[np.isin(a, both)]
+            common = max(common, len(np.unique(p[longest_chain(p, b[np.isin(b, both)])])))
     return common / (na + nb - common)
 
 
@@ -125,16 +199,18 @@ def _number(data: bytes) -> tuple[int, bytes]:
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(o, text) to (o, r, keys); texts without words have neither."""
+    """(o, text) to (o, r, keys, repeats); texts without words have none of these."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            numbers, keys = [], []
+            numbers, keys, repeats = [], [], []
             for t in part.column(1).to_pylist():
                 r, words = _number(t or b"")
                 numbers.append(r if words else None)
-                keys.append(sketches(label(grams(words))).view(np.int64).tolist() if words else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["o", "r", "keys"])
+                own, twice = sketch_keys(grams(words)) if words else (None, None)
+                keys.append(own)
+                repeats.append(twice)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(repeats, pa.bool_())], names=["o", "r", "keys", "repeats"])
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +294,8 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", least: flo
     """
     ship(df.sparkSession)
     d = df.select(F.col(f"`{order}`").alias("o"), F.col(f"`{text}`").cast("binary").alias("t"))
-    sk = cut(d.mapInArrow(_sketch_rows, f"o {dict(d.dtypes)['o']}, r long, keys array<long>"))
-    firsts = sk.where("r IS NOT NULL").groupBy("r").agg(F.min("o").alias("o"), F.any_value("keys").alias("keys"))
+    sk = cut(d.mapInArrow(_sketch_rows, f"o {dict(d.dtypes)['o']}, r long, keys array<long>, repeats boolean"))
+    firsts = sk.where("r IS NOT NULL").groupBy("r").agg(F.min("o").alias("o"), F.any_value("keys").alias("keys"), F.any_value("repeats").alias("repeats"))
     firsts = cut(firsts)
     bucket = _buckets(firsts)
     wanted = cut(firsts.join(bucket.select("r").distinct(), "r", "left_semi").select("r", F.col("o").alias("_o")))
@@ -233,9 +309,12 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", least: flo
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """(k, key, r, hub) of the buckets with two members or more; the hub is the least member."""
-    d = keyed.select("r", F.posexplode("keys").alias("k", "key"))
-    size = d.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("r").alias("hub")).where("n > 1")
+    """(k, key, r, hub) of the buckets with two members or more; the hub is the least member.
+
+    Unordered sketches serve for texts that repeat shingles: of theirs, buckets without such a member are left to the ordered ones.
+    """
+    d = keyed.select("r", "repeats", F.posexplode("keys").alias("k", "key"))
+    size = d.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("r").alias("hub"), F.max("repeats").alias("repeats")).where(f"n > 1 AND (k < {SKETCHES} OR repeats)").drop("repeats")
     return cut(d.join(size, ["k", "key"]).select("k", "key", "r", "hub"))
 
 

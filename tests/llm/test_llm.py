@@ -371,6 +371,31 @@ def test_near_duplicates_large_bucket(spark):
     assert all(got[r] == r for r in texts if r not in {b for _, b in like})
 
 
+def test_near_duplicates_pasted_again(spark):
+    """Texts and the same texts pasted four times, and a block at the bottom against the same at top and bottom."""
+    block = lambda i, c, n: " ".join(f"{c}{i}_{j}" for j in range(n))
+    docs = [(10 * i, block(i, "a", 60)) for i in range(10)] + [(10 * i + 1, " ".join([block(i, "a", 60)] * 4)) for i in range(10)]
+    docs += [(10 * i, f"{block(i, 'b', 140)} {block(i, 'a', 60)}") for i in range(10, 20)] + [(10 * i + 1, f"{block(i, 'a', 60)} {block(i, 'b', 140)} {block(i, 'a', 60)}") for i in range(10, 20)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in docs}
+
+
+@pytest.mark.parametrize("bits", [order_minhash.TABLE, 20])
+def test_longest_chain(monkeypatch, bits):
+    monkeypatch.setattr(order_minhash, "TABLE", bits)
+    g = np.random.default_rng(4)
+    for _ in range(60):
+        x, y = (g.integers(0, 5, int(g.integers(0, 30))) for _ in range(2))
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+        got = order_minhash.longest_chain(x, y)
+        assert len(got) == best[-1, -1] and got == sorted(set(got))
+        left = iter(y.tolist())
+        assert all(c in left for c in x[got].tolist())
+
+
 def test_near_duplicate_edges(spark, rows):
     got = order_minhash.near_duplicates(rows.select("doc_id", "text", "key")).collect()
     assert len(got) == len(ROWS)
