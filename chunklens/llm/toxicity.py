@@ -1,14 +1,16 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Two dictionaries are trained: one on words that toxic rows favour, one on ordinary
-text. A window is one word between blanks, set in a fixed carrier that both
+text. A window is one word between blanks (of a long word, pieces that overlap by the
+longest word that toxic rows favour), set in a fixed carrier that both
 dictionaries hold, so that even short windows are compressed rather than stored.
 The distance of a window is its compressed length with the ordinary dictionary less
 that with the toxic one. A text's largest distance and its counts of windows at or
 above thresholds go through a logistic function calibrated on other training rows.
 
 Learning takes a bounded, hash-chosen sample of labelled rows (``PER_LABEL``; of
-each text at most ``WORDS`` words, spread over it) to the driver. Scoring reads
+each text at most ``WORDS`` words, spread over it) to the driver; the ordinary dictionary
+trains on the first ``SAMPLE`` bytes of each of these. Scoring reads
 whole texts; distances of words are cached up to ``CACHE`` words.
 
 Edge cases: null or empty text has no window and gets the calibrated score of none;
@@ -38,6 +40,8 @@ PER_LABEL, WORDS = (2400, 6000), 700
 LEAST_SHARE, FAVOUR = 0.012, 10.0
 #: Bytes of the dictionaries; compression level; bytes of a piece of a long word; distance thresholds; cached words.
 TOXIC_DICT, ORDINARY_DICT, LEVEL, PIECE, THRESHOLDS, CACHE = 3072, 112_640, 9, 48, (3, 4, 5), 250_000
+#: First bytes of an ordinary row, words spread over it, that train the dictionary.
+SAMPLE = 3000
 CARRIER = b"0123456789abcdef~|"
 TOP = 9
 
@@ -62,15 +66,17 @@ def _compressor(content: bytes):
 class Distances:
     """Distances of words, each between 0 and TOP; what favours ordinary text is 0."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, toxic: bytes, ordinary: bytes, reach: int = 1):
         self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+        self.reach, self.piece = max(1, reach), max(PIECE, 2 * reach)
         self.known: dict[str, int] = {}
 
     def _word(self, word: str) -> int:
         b = word.strip(".,;:!?\"'()").encode("utf-8", "replace")
         most = 0
-        for at in range(0, max(1, len(b)), PIECE):
-            x = CARRIER + b" " + b[at : at + PIECE] + b" " + CARRIER
+        # any ``reach`` bytes lie whole in a piece
+        for at in range(0, max(1, len(b) - self.reach + 1), self.piece - self.reach + 1):
+            x = CARRIER + b" " + b[at : at + self.piece] + b" " + CARRIER
             most = max(most, len(self.ordinary(x)) - len(self.toxic(x)))
         return min(most, TOP)
 
@@ -91,11 +97,11 @@ class Distances:
 class Model:
     """Dictionaries and calibration, small enough to go to every task."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float]):
-        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float], reach: int = 1):
+        self.toxic, self.ordinary, self.weights, self.reach = toxic, ordinary, weights, reach
 
     def distances(self) -> Distances | None:
-        return Distances(self.toxic, self.ordinary) if self.weights else None
+        return Distances(self.toxic, self.ordinary, self.reach) if self.weights else None
 
     def score(self, x: list[float]) -> float:
         z = self.weights[-1] + sum(w * v for w, v in zip(self.weights, x, strict=False))
@@ -139,8 +145,9 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     spaced = lambda ws: "".join(f" {w} " for w in ws).encode("utf-8", "replace")
     model = Model(
         dictionary([spaced(w for w in r if w in favoured) for r in t], TOXIC_DICT),
-        dictionary([spaced(r)[:3000] for r in o], ORDINARY_DICT),
+        dictionary([spaced(r)[:SAMPLE] for r in o], ORDINARY_DICT),
         [0.0],
+        max((len(w.encode("utf-8", "replace")) for w in favoured), default=1),
     )
     d = model.distances()
     rows = [(d.text(r.split()), y) for part, y in ((toxic[::4], 1.0), (ordinary[::4], 0.0)) for r in part]

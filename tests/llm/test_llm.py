@@ -214,6 +214,19 @@ def test_toxicity_edges(spark, rows):
     assert {r["score"] for r in toxicity.score(rows, none).collect()} == {0.0}
 
 
+def test_toxicity_across_pieces():
+    """A favoured word in text without blanks is seen wherever it stands."""
+    g = np.random.default_rng(6)
+    words = ["".join(map(chr, g.integers(97, 123, 8))) for _ in range(400)]
+    plain = lambda: " ".join(g.choice(words, 60))
+    model = toxicity.train([f"{plain()} grunfo {plain()}" for _ in range(60)], [plain() for _ in range(200)])
+    d = model.distances()
+    assert model.reach == 6
+    for lead in range(100):
+        around = "".join(map(chr, g.integers(48, 58, 200)))
+        assert d.text([f"{around[:lead]}grunfo{around[lead:200]}"])[0] >= 3, lead
+
+
 # ---- repeated windows ----
 
 
