@@ -117,23 +117,31 @@ def answer_number(reply: Column) -> Column:
 
 
 def parse_answer(reply: Column, key: str = "answer") -> Column:
-    """The value of a key in the widest braces of a reply; the whole reply is tried without braces; UNKNOWN if there is none."""
+    """The value of a key in the widest braces of a reply; the whole reply is tried without braces; UNKNOWN if there is none.
+
+    What isn't strict JSON is read again with single quotes, bare names, escapes of any character, comments and last commas admitted.
+    """
     inner = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     source = F.when(inner != "", inner).otherwise(reply)
-    repaired = F.regexp_replace(F.regexp_replace(source, "'", '"'), r",\s*\}", "}")
-    first, second = (F.get_json_object(x, f"$.{key}") for x in (source, repaired))
-    return F.coalesce(first, second, F.lit("UNKNOWN"))
+    loose = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowBackslashEscapingAnyCharacter": "true", "allowComments": "true"}
+    repaired = F.from_json(F.regexp_replace(source, r",\s*([}\]])", "$1"), "map<string,string>", loose)
+    return F.coalesce(F.get_json_object(source, f"$.{key}"), repaired[key], F.lit("UNKNOWN"))
 
 
-_FILE = r"raw_([a-z_]+?)(?:_(\d+))?_shard(\d+)_rep(\d+)_(\d{8}_\d{6})\.jsonl$"
+_FILE = r"^raw_(.+?)_shard(\d+)_rep(\d+)_(\d{8}_\d{6})\.jsonl$"
+_SIZED = r"^(traditional)_(\d+)$"
 
 
 def file_facts(name: Column) -> Column:
-    """Method, size, shard, repeat and time from the name of a result file; null where it has another form."""
-    g = [F.regexp_extract(name, _FILE, k) for k in range(1, 6)]
+    """Method, size, shard, repeat and time from the name of a result file; null where it has another form.
+
+    A method may have any name; only that of fixed token windows carries its size.
+    """
+    g = [F.regexp_extract(name, _FILE, k) for k in range(1, 5)]
+    sized = g[0].rlike(_SIZED)
     facts = F.struct(
-        g[0].alias("method"), F.when(g[1] != "", g[1].cast("int")).alias("size"), F.when(g[2] != "", g[2]).cast("int").alias("shard"),
-        F.when(g[3] != "", g[3]).cast("int").alias("rep"), F.try_to_timestamp(g[4], F.lit("yyyyMMdd_HHmmss")).alias("at"),
+        F.when(sized, F.regexp_extract(g[0], _SIZED, 1)).otherwise(g[0]).alias("method"), F.when(sized, F.regexp_extract(g[0], _SIZED, 2).cast("int")).alias("size"),
+        F.when(g[1] != "", g[1]).cast("int").alias("shard"), F.when(g[2] != "", g[2]).cast("int").alias("rep"), F.try_to_timestamp(g[3], F.lit("yyyyMMdd_HHmmss")).alias("at"),
     )
     return F.when(name.rlike(_FILE), facts)
 

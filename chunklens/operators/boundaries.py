@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import vectors as V
+from ..functions import text as X
 
 
 def is_minimum(value: Column, over: W.WindowSpec, threshold: float) -> Column:
@@ -19,31 +19,63 @@ def is_minimum(value: Column, over: W.WindowSpec, threshold: float) -> Column:
     return F.coalesce(strict | plateau, F.lit(False))
 
 
-def minima_dynamic(values: Column, start: float, history: int = 100) -> Column:
-    """Minima of an array under a threshold that adapts: drops are recorded, and from ``history`` of them on the threshold is the least.
+def fold_minima(series: list[list[float]], threshold: float, drops: list[float], history: int = 100) -> tuple[list[list[int]], float, list[float]]:
+    """Minima of each series in turn under a threshold that adapts; returns them with the state to go on with.
 
-    Returns (minima, threshold, drops). A strict minimum records the smaller of its drops, a plateau the left one.
-    State runs through one array; pass arrays in order to carry it on.
+    Drops are recorded, and from ``history`` of them on the threshold is the least. A strict minimum records the smaller
+    of its two drops, a plateau the left one. ``drops`` keeps no more than it has to: once full, its least and its number tell all.
     """
-    n = F.size(values)
-    at = F.when(n > 2, F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    init = F.struct(F.array().cast("array<int>").alias("minima"), F.lit(float(start)).alias("threshold"), F.array().cast("array<double>").alias("drops"))
+    found = []
+    drops = list(drops)
+    for v in series:
+        own = []
+        for i in range(1, len(v) - 1):
+            left, right = v[i - 1] - v[i], v[i + 1] - v[i]
+            if left > 0 and (right > 0 and (left >= threshold or right >= threshold) or right == 0 and left >= threshold):
+                own.append(i)
+                drops.append(min(left, right) if right > 0 else left)
+                if len(drops) > history:
+                    drops = [min(drops)] * history
+            if len(drops) >= history:
+                threshold = min(drops)
+        found.append(own)
+    return found, threshold, drops
+
+
+def minima_dynamic(df: DataFrame, stream: str, series: str, position: str, value: str, start: float, history: int = 100) -> DataFrame:
+    """(stream, series, position, threshold) of the minima of each series; the threshold goes on from series to series of a stream.
+
+    A stream's rows reach one task in order, a batch at a time, and its state is ``history`` numbers, so no stream is held as a whole;
+    the threshold is the one after the minimum. Series of a stream follow each other by their order values.
+    """
+    import pyarrow as pa
 
-    def step(a: Column, i: Column) -> Column:
-        left, right = values[i - 1] - values[i], values[i + 1] - values[i]
-        strict = (left > 0) & (right > 0) & ((left >= a["threshold"]) | (right >= a["threshold"]))
-        flat = (left > 0) & (right == 0) & (left >= a["threshold"])
-        drops = F.when(strict, F.concat(a["drops"], F.array(F.least(left, right)))).when(flat, F.concat(a["drops"], F.array(left))).otherwise(a["drops"])
-        minima = F.when(strict | flat, F.concat(a["minima"], F.array(i))).otherwise(a["minima"])
-        return F.struct(minima.alias("minima"), F.when(F.size(drops) >= history, F.array_min(drops)).otherwise(a["threshold"]).alias("threshold"), drops.alias("drops"))
+    from ..session import ship
 
-    return F.aggregate(at, init, step)
+    ship(df.sparkSession)
+    kinds = dict(df.dtypes)
+    d = df.select(stream, series, position, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    d = d.repartition(F.col(stream)).sortWithinPartitions(stream, series, position)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, window = run, []  # no stream yet
+        for b in batches:
+            rows = []
+            for s, t, p, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if own != s:
+                    own, threshold, drops, window = s, start, [], []
+                if window and window[-1][0] != t:
+                    window = []
+                window = [*window[-2:], (t, p, v)]
+                if len(window) == 3:
+                    got, threshold, drops = fold_minima([[x[2] for x in window]], threshold, drops, history)
+                    if got[0]:
+                        rows.append((s, t, window[1][1], threshold))
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            types = [*[b.schema.field(k).type for k in range(3)], pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=[stream, series, position, "threshold"])
 
-def range_number(minimum: Column, over: W.WindowSpec) -> Column:
-    """Chunk number of each position when a chunk ends with each minimum."""
-    ends = F.coalesce(F.lag(minimum.cast("int")).over(over), F.lit(0))
-    return ends
+    return d.mapInArrow(run, f"`{stream}` {kinds[stream]}, `{series}` {kinds[series]}, `{position}` {kinds[position]}, threshold double")
 
 
 def ranges(df: DataFrame, key: str, position: str, minimum: str) -> DataFrame:
@@ -61,17 +93,17 @@ def overlapping_ranges(df: DataFrame, key: str, position: str, minimum: str) ->
     return d.unionByName(again).drop("_more")
 
 
-def breakpoints(vectors: Column, percent: float = 0.5) -> Column:
-    """Chunk number of each sentence: a chunk ends where the distance to the next sentence is above the document's percentile."""
-    gaps = V.cosine_distance_gaps(vectors)
-    ordered = F.sort_array(gaps)
-    place = (F.size(gaps) - 1) * percent
-    low = F.floor(place).cast("int")
-    limit = ordered[low] + (F.element_at(ordered, F.least(low + 2, F.size(ordered))) - ordered[low]) * (place - low)
-    flags = F.transform(gaps, lambda g: (g > limit).cast("int"))
-    start = F.array(F.lit(0))
-    numbered = F.aggregate(flags, start, lambda a, f: F.concat(a, F.array(F.element_at(a, -1) + f)))
-    return F.when(F.size(vectors) > 1, numbered).when(F.size(vectors) == 1, start).otherwise(F.array().cast("array<int>"))
+def breakpoints(gaps: Column, percent: float = 0.5) -> Column:
+    """Whether a chunk ends at each gap between sentences: its distance is above the document's percentile, interpolated."""
+
+    def flags(v: Column) -> Column:
+        place = (F.size(v) - 1) * percent
+        low = F.floor(place).cast("int")
+        at = lambda i: F.try_element_at(v, F.least(i, F.size(v)))
+        limit = at(low + 1) + (at(low + 2) - at(low + 1)) * (place - low)
+        return X.let(limit, lambda limit: F.transform(gaps, lambda g: g > limit))
+
+    return F.when(F.size(gaps) > 0, X.let(F.sort_array(gaps), flags)).otherwise(F.array().cast("array<boolean>"))
 
 
 def greedy_merge(sizes: Column, target: int) -> Column:
@@ -101,25 +133,25 @@ def steepest_length_change(group: list[str]) -> int | None:
 
 
 def judged_boundaries(parts: list[str], judge: Judge = steepest_length_change, budget: int = 550, tail: int = 5) -> list[int]:
-    """Starts of chunks: from a pointer, parts are gathered up to a token budget, and a judge names the part where content shifts.
+    """Ends of chunks: from a pointer, parts are gathered up to a token budget, and a judge names the part where content shifts.
 
-    Runs while the pointer is ``tail`` parts before the end. A group of one part over the budget counts alone, else the part
-    that went over is left out. After an answer the pointer goes one past it; without one, past the group. Answers that
-    don't grow are dropped.
+    Runs while the pointer is ``tail`` parts before the end. Parts are counted with the number that is shown before
+    them (two words) and never gathered up to the last part of the text; the part that went over is left out unless
+    it is the only one. The part that the judge names begins a chunk, and the pointer goes one past it. Without an answer
+    the pointer goes past the group, by one part at least, so that it always ends. The last chunk ends with the parts.
     """
-    at, starts = 0, [0] if parts else []
+    size = [len(p.split()) + 2 for p in parts]
+    at, ends = 0, []
     while at < len(parts) - tail:
-        total, end = 0, at
-        while end < len(parts) and total < budget:
-            total += len(parts[end].split())
-            end += 1
-        group = parts[at : max(at + 1, end - 1) if total >= budget else end]
-        answer = judge(group)
-        at = at + len(group) if answer is None else at + answer
-        if answer is not None and at > starts[-1]:
-            starts.append(at)
-        at += answer is not None
-    return starts
+        total = n = 0
+        while total < budget and at + n < len(parts) - 1:
+            total, n = total + size[at + n], n + 1
+        shown = max(1, n - 1)
+        answer = judge(parts[at : at + shown])
+        if answer is not None:
+            ends.append(at + answer)
+        at += shown if answer is None else answer + 1
+    return [*ends, len(parts)]
 
 
 def judged_chunks(docs: DataFrame, key: str, parts: str, judge: Judge = steepest_length_change, budget: int = 550) -> DataFrame:
@@ -135,8 +167,8 @@ def judged_chunks(docs: DataFrame, key: str, parts: str, judge: Judge = steepest
         for b in batches:
             rows = []
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                starts = judged_boundaries(p or [], judge, budget)
-                rows += [(k, i, s, "\n".join(p[s:e])) for i, (s, e) in enumerate(zip(starts, [*starts[1:], len(p or [])], strict=True))]
+                ends = judged_boundaries(p or [], judge, budget)
+                rows += [(k, i, s, "\n".join((p or [])[s:e])) for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "chunk", "start", "chunk_text"])

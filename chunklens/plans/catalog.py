@@ -17,6 +17,7 @@ from ..operators import evaluate as EV
 from ..operators import gates as G
 from ..operators import retrieve as R
 from ..operators import spans as S
+from ..session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -282,7 +283,13 @@ def redundancy_dispersion(spark, sf):
     return d.select("doc_id", F.round(R.redundancy(F.col("hits")), 6).alias("redundancy"), R.dispersion(F.col("hits")).alias("dispersion"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RAG.removeprefix("WITH ").replace("rank <= 5", "rank <= 10")},
+h AS (SELECT doc_id, list({{'rank': rank, 'score': score, 'ids': range(start, start + len), 'len': len}} ORDER BY rank) AS hits FROM hit GROUP BY doc_id),
+s AS (SELECT doc_id, hits, 0 AS it, CAST([] AS INT[]) AS chosen, CAST([] AS BIGINT[]) AS seen FROM h UNION ALL
+  SELECT doc_id, hits, it + 1, list_append(chosen, b.rank), list_concat(seen, b.ids) FROM (
+    SELECT doc_id, hits, it, chosen, seen, list_sort(list_transform(list_filter(hits, lambda x: NOT list_contains(chosen, x.rank)),
+      lambda x: {{'gain': -x.score * len(list_filter(x.ids, lambda i: NOT list_contains(seen, i))) / x.len, 'rank': x.rank, 'ids': x.ids}}))[1] AS b FROM s WHERE it < 5) WHERE b IS NOT NULL)
+SELECT doc_id, array_to_string(arg_max(chosen, it), ',') AS chosen FROM s GROUP BY doc_id""")
 def coverage_selection(spark, sf):
     d = R.search(_asked(spark, sf), "sentences", "question", 10)
     return d.select("doc_id", F.array_join(R.select_covering(F.col("hits"), 5), ",").alias("chosen"))
@@ -329,12 +336,35 @@ def minima_ranges_overlap(spark, sf):
     return d.groupBy("user_id", F.col("chunk").cast("int").alias("chunk")).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query()
+def _carried_sql(unit: int) -> str:
+    """Adaptive minima by recursion; ``unit`` positions make a series, over which the threshold is carried on."""
+    return f"""WITH RECURSIVE p AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos, value AS v FROM events WHERE value IS NOT NULL),
+m AS (SELECT *, lag(v) OVER w - v AS l, lead(v) OVER w - v AS r FROM p WINDOW w AS (PARTITION BY user_id, pos // {unit} ORDER BY pos)),
+f AS (SELECT user_id, event_id, pos, -1 AS spot, 0.5::DOUBLE AS threshold, CAST([] AS DOUBLE[]) AS drops, false AS is_min FROM m WHERE pos = 0 UNION ALL
+  SELECT user_id, event_id, pos + 1, pos, CASE WHEN len(drops) >= 100 THEN list_min(drops) ELSE threshold END, drops, is_min FROM (
+    SELECT user_id, event_id, pos, is_min, threshold, CASE WHEN is_min THEN list_append(drops, CASE WHEN r > 0 THEN least(l, r) ELSE l END) ELSE drops END AS drops FROM (
+      SELECT m.user_id, m.event_id, m.pos, m.l, m.r, f.threshold, f.drops, coalesce((m.l > 0 AND m.r > 0 AND (m.l >= f.threshold OR m.r >= f.threshold)) OR (m.l > 0 AND m.r = 0 AND m.l >= f.threshold), false) AS is_min
+      FROM f JOIN m ON m.user_id = f.user_id AND m.pos = f.pos)))
+SELECT user_id, event_id, spot AS pos, round(threshold, 6) AS threshold FROM f WHERE is_min"""
+
+
+def _carried(spark, sf, unit: int) -> DataFrame:
+    e = _t(spark, sf, "events").select("event_id", "user_id", "ts", "value").where("value IS NOT NULL")
+    w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("series", F.floor(F.col("pos") / unit))
+    return B.minima_dynamic(e.withColumn("place", F.struct("pos", "event_id")), "user_id", "series", "place", "value", 0.5).select("user_id", "place.event_id", "place.pos", F.round("threshold", 6).alias("threshold"))
+
+
+@query(_carried_sql(1 << 30))
 def minima_dynamic(spark, sf):
     """Adaptive minima over each user's series."""
-    d = _minima(spark, sf).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"))
-    d = d.select("user_id", B.minima_dynamic(F.col("v"), 0.5).alias("m"))
-    return d.select("user_id", F.size("m.minima").alias("n_minima"), F.round("m.threshold", 6).alias("threshold"), F.md5(F.array_join("m.minima", ",")).alias("h"))
+    return _carried(spark, sf, 1 << 30)
+
+
+@query(_carried_sql(20))
+def minima_dynamic_carried(spark, sf):
+    """Adaptive minima over series of 20 values, where a user's threshold goes on from one to the next."""
+    return _carried(spark, sf, 20)
 
 
 _SEM = rf"""WITH {_SENT}, tok AS (SELECT doc_id, sent_id, ('0x' || substr(md5(lower(w)), 1, 4))::INT % 16 AS b FROM (SELECT doc_id, sent_id, unnest(regexp_extract_all(sentence, '\S+')) AS w FROM sent)),
@@ -351,11 +381,8 @@ def semantic_breakpoints(spark, sf):
     """Chunks per document when a chunk ends where the distance to the next sentence is above the median."""
     d = _docs(spark, sf).where(F.size("sentences") > 0)
     d = d.withColumn("v", F.transform(R.sentence_buckets(F.col("sentences"), 16), lambda b: R.histogram(b, 16)))
-    d = d.withColumn("g", F.transform(V.cosine_distance_gaps(F.col("v")), lambda x: F.round(x, 9))).withColumn("o", F.sort_array("g"))
-    d = d.withColumn("at", (F.size("g") - 1) * 0.5).withColumn("lo", F.floor("at").cast("int"))
-    at = lambda i: F.try_element_at("o", F.least(i, F.size("o")))
-    d = d.withColumn("l", F.when(F.size("g") > 0, at(F.col("lo") + 1) + (at(F.col("lo") + 2) - at(F.col("lo") + 1)) * (F.col("at") - F.col("lo"))))
-    return d.select("doc_id", (1 + F.size(F.filter("g", lambda x: x > F.col("l")))).alias("n_chunks"))
+    d = d.withColumn("g", F.transform(V.cosine_distance_gaps(F.col("v")), lambda x: F.round(x, 9)))
+    return d.select("doc_id", (1 + F.size(F.filter(B.breakpoints(F.col("g")), lambda x: x))).alias("n_chunks"))
 
 
 @query(r"""WITH RECURSIVE p AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text))::INT AS k, len(regexp_extract_all(text, '\S+'))::INT AS s FROM conversations),
@@ -368,30 +395,41 @@ def greedy_merge(spark, sf):
     return c.select("conv_id", F.posexplode(g).alias("k", "grp")).select("conv_id", (F.col("k") + 1).alias("k"), "grp")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_SENT}, c AS (SELECT sent.doc_id, sent_id, sentence, n, sum(len(regexp_extract_all(sentence, '\S+')) + 2) OVER w AS upto, abs(length(sentence) - lag(length(sentence)) OVER w) AS gap
+  FROM sent JOIN n USING (doc_id) WINDOW w AS (PARTITION BY sent.doc_id ORDER BY sent_id)),
+g AS (SELECT a.doc_id, a.sent_id AS spot, greatest(1, least(coalesce(min(b.sent_id) - a.sent_id + 1, a.n), a.n - 1 - a.sent_id) - 1) AS shown
+  FROM (SELECT *, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY sent_id), 0) AS before FROM c) AS a LEFT JOIN c AS b ON a.doc_id = b.doc_id AND b.sent_id >= a.sent_id AND b.upto - a.before >= 550
+  WHERE a.sent_id < a.n - 5 GROUP BY a.doc_id, a.sent_id, a.n),
+j AS (SELECT g.doc_id, spot, any_value(shown) AS shown, arg_max(sent_id, gap * 100000 - sent_id) AS answer FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND sent_id > spot AND sent_id < spot + shown GROUP BY g.doc_id, spot),
+r AS (SELECT doc_id, 0 AS spot, CAST(NULL AS INT) AS answer FROM n UNION ALL
+  SELECT r.doc_id, coalesce(j.answer + 1, j.spot + shown)::INT, j.answer FROM r JOIN j ON j.doc_id = r.doc_id AND j.spot = r.spot),
+e AS (SELECT doc_id, answer AS stop FROM r WHERE answer IS NOT NULL UNION ALL SELECT doc_id, n FROM n),
+k AS (SELECT doc_id, (row_number() OVER w - 1)::INT AS chunk, coalesce(lag(stop) OVER w, 0)::INT AS start, stop FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY stop))
+SELECT k.doc_id, chunk, start, md5(string_agg(sentence, chr(10) ORDER BY sent_id)) AS h FROM k JOIN sent ON sent.doc_id = k.doc_id AND sent_id >= start AND sent_id < stop GROUP BY k.doc_id, chunk, start""")
 def lumber_boundaries(spark, sf):
     """Chunks by the budgeted judge loop with the default judge."""
-    d = B.judged_chunks(_docs(spark, sf), "doc_id", "sentences")
+    d = B.judged_chunks(_docs(spark, sf).where(F.size("sentences") > 0), "doc_id", "sentences")
     return d.select("doc_id", "chunk", "start", F.md5("chunk_text").alias("h"))
 
 
 # ---- ETL -------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INT AS shard FROM documents")
+@query("SELECT doc_id, source, md5(text) AS h, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INT AS shard FROM documents")
 def shard_round_robin(spark, sf):
-    return E.numbered(_t(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", E.round_robin(F.col("pos"), 7).alias("shard"))
+    d = E.numbered(_t(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("h")), "doc_id")
+    return d.select("doc_id", "source", "h", E.round_robin(F.col("pos"), 7).alias("shard"))
 
 
-@query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil((SELECT count(*) FROM documents) / 7.0))::INT AS shard FROM documents")
+@query("SELECT doc_id, source, n_chars, floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil((SELECT count(*) FROM documents) / 7.0))::INT AS shard FROM documents")
 def shard_contiguous(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id")
-    return E.numbered(d, "doc_id").select("doc_id", E.contiguous(F.col("pos"), F.lit(d.count()), 7).alias("shard"))
+    d = _t(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return E.numbered(d, "doc_id").select("doc_id", "source", "n_chars", E.contiguous(F.col("pos"), F.lit(d.count()), 7).alias("shard"))
 
 
-@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::INT AS block FROM documents")
+@query("SELECT doc_id, lang, n_chars, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::INT AS block FROM documents")
 def blocks(spark, sf):
-    return E.numbered(_t(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", E.block(F.col("pos"), 100).alias("block"))
+    return E.numbered(_t(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id").select("doc_id", "lang", "n_chars", E.block(F.col("pos"), 100).alias("block"))
 
 
 @query("SELECT true AS non_empty, true AS disjoint, true AS complete")
@@ -442,18 +480,17 @@ r AS (SELECT source, 0 AS k, 0 AS n, 0 AS batch FROM (SELECT DISTINCT source FRO
  FROM r JOIN p ON p.source = r.source AND p.k = r.k + 1)
 SELECT source, k, batch::INT AS batch FROM r WHERE k > 0""")
 def length_batches(spark, sf):
-    d = _t(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))).alias("x"))
-    b = E.length_batches(F.transform("x", lambda x: x["n_chars"]))
-    return d.select("source", F.posexplode(b).alias("k", "batch")).select("source", (F.col("k") + 1).alias("k"), "batch")
+    return E.length_batches(_t(spark, sf, "documents"), "source", "n_chars", "doc_id").select("source", "k", "batch")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k, n_chars::BIGINT AS x FROM documents),
+r AS (SELECT lang, 0::BIGINT AS k, list_transform(range(8), lambda i: 0::BIGINT) AS load, 0 AS bin FROM (SELECT DISTINCT lang FROM p) UNION ALL
+  SELECT lang, k, list_transform(load, lambda v, i: CASE WHEN i = bin THEN v + x ELSE v END), bin FROM (
+    SELECT r.lang, p.k, load, x, list_position(load, list_min(load)) AS bin FROM r JOIN p ON p.lang IS NOT DISTINCT FROM r.lang AND p.k = r.k + 1))
+SELECT lang, (bin - 1)::INT AS bin, sum(x)::BIGINT AS load, count(*)::BIGINT AS n FROM r JOIN p USING (lang, k) GROUP BY lang, bin""")
 def lpt_pack(spark, sf):
     """Documents of each language into 8 bins, longest first."""
-    d = _t(spark, sf, "documents").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("o"))), asc=False).alias("x"))
-    d = d.select("lang", "x", E.pack_longest_first(F.transform("x", lambda x: x["n_chars"]), 8).alias("b"))
-    d = d.select("lang", F.explode(F.arrays_zip("x", "b")).alias("z"))
-    return d.groupBy("lang", F.col("z.b").alias("bin")).agg(F.sum("z.x.n_chars").alias("load"), F.count("*").alias("n"))
+    return E.pack_longest_first(_t(spark, sf, "documents"), "lang", "n_chars", 8)
 
 
 # ---- evaluation ------------------------------------------------------------------------------
@@ -617,13 +654,11 @@ def count_by_json_field(spark, sf):
 SELECT doc_id, ceil(len(w) / 256)::INT AS n_chunks, md5(array_to_string(w[1:256], ' ')) AS first_h FROM t""")
 def incremental_chunks(spark, sf):
     """All documents through the file stream, run twice: the second run finds nothing new."""
-    import tempfile
     import uuid
 
     from ..streaming.incremental import chunk_new
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chunklens-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf}/document[s].parquet"  # a stream takes a folder or a pattern; the table may be one file
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     for _ in range(2):

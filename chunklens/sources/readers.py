@@ -37,7 +37,10 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType = QUESTION)
 
 
 def json_log(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = CHUNKED) -> DataFrame:
-    """Append-only logs of one record a line; blank and torn lines are left out; file and line order as ``_file``, ``_line``."""
+    """Append-only logs of one record a line; blank and torn lines are left out.
+
+    ``_file`` and ``_line`` put records in the order of file names and of lines; ``_line`` rises inside a file but isn't its line number.
+    """
     lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).select("value", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_line"))
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -46,8 +49,11 @@ def json_log(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
 
 
 def result_files(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation records with method, size, shard, repeat and time from their file names; files with other names are left out."""
-    d = spark.read.schema(RESULT).json(path).withColumn("_file", F.col("_metadata.file_name"))
+    """Evaluation records with method, size, shard, repeat and time from the names of their files, or of the folders that
+    ``writers.result_files`` makes; files with other names are left out.
+    """
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    d = spark.read.schema(RESULT).json(path).withColumn("_file", F.regexp_extract(place, r"(?:^|[/=])(raw_[^/]*\.jsonl)(?:/[^/]*)?$", 1))
     d = d.withColumn("_f", file_facts(F.col("_file"))).where("_f IS NOT NULL")
     return d.select("*", "_f.method", "_f.size", "_f.shard", "_f.rep", "_f.at").drop("_f")
 
@@ -93,13 +99,27 @@ def read_family(spark: SparkSession, root: str, name: str) -> list[DataFrame]:
 
 
 def probe(spark: SparkSession, root: str, method: str, domain: str, model: str | None = None) -> str | None:
-    """First folder that exists of root/method/model/domain and root/method/domain."""
+    """First that exists of root/method/model/domain, root/method/domain, and the logs root/method/checkpoints/domain*.jsonl, as a pattern."""
     tries = [f"{root}/{method}/{model}/{domain}"] if model else []
-    return next((p for p in [*tries, f"{root}/{method}/{domain}"] if _exists(spark, p)), None)
+    found = next((p for p in [*tries, f"{root}/{method}/{domain}"] if _exists(spark, p)), None)
+    logs = f"{root}/{method}/checkpoints/{domain}*.jsonl"
+    return found or (logs if _list(spark, logs) else None)
+
+
+def chunked(spark: SparkSession, root: str, method: str, domain: str, model: str | None = None) -> DataFrame:
+    """Chunked samples of a method and domain from wherever ``probe`` finds them; an error names the place if they are nowhere."""
+    place = probe(spark, root, method, domain, model)
+    if place is None:
+        raise FileNotFoundError(f"no samples of {method}/{domain} in {root}")
+    return json_log(spark, place).drop("_file", "_line") if place.endswith(".jsonl") else spark.read.schema(CHUNKED).parquet(place)
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def manifests(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Manifests of a dataset's shards (name.shard*.json), or the ``shards`` of its merged manifest (name.json) where there are none."""
+    if _list(spark, f"{root}/{name}.shard*.json"):
+        return spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/{name}.shard*.json")
+    merged = T.StructType([T.StructField("shards", T.ArrayType(MANIFEST))])
+    return spark.read.schema(merged).option("multiLine", True).json(f"{root}/{name}.json").select(F.explode("shards").alias("s")).select("s.*")
 
 
 def modified_since(spark: SparkSession, path: str, at: str) -> DataFrame:

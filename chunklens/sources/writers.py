@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def by_domain(df: DataFrame, path: str, column: str = "domain") -> None:
+    """A folder for each domain, and beside them an index, one JSON line with the name and rows of each."""
     df.write.mode("overwrite").partitionBy(column).parquet(path)
+    index = df.sparkSession.read.parquet(path).groupBy(column).agg(F.count("*").alias("rows"))
+    index.coalesce(1).write.mode("overwrite").json(f"{path}.index")
 
 
 def missing_blocks(df: DataFrame, path: str, block: str = "block") -> DataFrame:
@@ -34,14 +37,32 @@ def replace(df: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(gone):  # left by a run that broke off: the target is whole if it is there, else this is the last data
+        if fs.exists(old):
+            fs.delete(gone, True)
+        else:
+            _move(fs, gone, old)
     if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(new, old)
+        _move(fs, old, gone)
+    _move(fs, new, old)
     fs.delete(gone, True)
 
 
+def _move(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"could not rename {a} to {b}")
+
+
 def csv_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file that starts with a byte-order mark, as spreadsheets want it."""
+    names = [f"\ufeff{c}" if k == 0 else c for k, c in enumerate(df.columns)]
+    df.toDF(*names).coalesce(1).write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
+
+
+def result_files(df: DataFrame, path: str, at: str, method: str = "method", shard: str = "shard", rep: str = "rep") -> None:
+    """Records as JSON lines, a folder for each method, shard and repeat, named as ``functions.text.file_facts`` reads it; ``at`` is yyyyMMdd_HHmmss."""
+    name = F.concat(F.lit("raw_"), F.col(method), F.lit("_shard"), F.col(shard), F.lit("_rep"), F.col(rep), F.lit(f"_{at}.jsonl"))
+    df.withColumn("_name", name).drop(method, shard, rep).write.mode("overwrite").partitionBy("_name").json(path)
 
 
 def json_lines(df: DataFrame, path: str, *partitions: str) -> None:
@@ -49,10 +70,12 @@ def json_lines(df: DataFrame, path: str, *partitions: str) -> None:
     (w.partitionBy(*partitions) if partitions else w).json(path)
 
 
-def loss_summary(df: DataFrame, path: str, step: str = "step", value: str = "loss") -> None:
-    """Losses in order of steps, with their least, most and last, as one JSON document."""
-    s = df.agg(F.transform(F.array_sort(F.collect_list(F.struct(step, value))), lambda x: x[value]).alias("losses"), F.min(value).alias("min"), F.max(value).alias("max"), F.max_by(value, step).alias("final"))
-    s.coalesce(1).write.mode("overwrite").json(path)
+def loss_summary(df: DataFrame, path: str, step: str = "step", value: str = "loss", block: int = 10_000) -> None:
+    """Losses in order of steps, ``block`` steps a JSON line, and beside them one line with their least, most and last."""
+    rows = df.groupBy(F.floor(F.col(step) / block).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct(step, value))), lambda x: x[value]).alias("losses"))
+    rows.repartitionByRange("block").sortWithinPartitions("block").write.mode("overwrite").json(path)
+    s = df.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.max_by(value, step).alias("final"), F.count("*").alias("steps"))
+    s.coalesce(1).write.mode("overwrite").json(f"{path}.summary")
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
