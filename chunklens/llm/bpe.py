@@ -4,18 +4,23 @@ Each partition splits its texts at single blanks between other characters, where
 the public pattern always splits, and looks up every chunk in a cache. New chunks are
 split by the pattern; a text with other blanks is split by the pattern as a whole.
 Pieces that are new go to an in-memory DuckDB: a piece that is a token
-itself gets that id; the others start as one row for each byte (piece, position,
-id), and a recursive query joins adjacent rows with the merge table and contracts
-each piece's leftmost pair of least rank until no piece has a pair. An ordered
-aggregation then gives the ids and the bytes they decode to. Pieces never cross
+itself gets that id; the others start as the tokens of their bytes, and a recursive query
+lays out one row for each token and position, joins the rows with the merge table and contracts
+each piece's leftmost pair of least rank until no piece has a pair. Decoding knows ids only: different
+sequences of ids are joined with the vocabulary, and an ordered aggregation by position gives their bytes; a
+text is decoded from the sequences that its ids consist of. Pieces never cross
 texts, so texts of any length are done piece by piece.
 
-The caches of chunks and of pieces hold two generations of at most about ``CACHE``
+A piece of more than ``LONG`` bytes is encoded in windows of ``WIDTH`` bytes that overlap by half. A sequence of
+tokens is the encoding of its bytes if every two neighbours are that of theirs, so two windows are joined at a token that
+both have at one place; where they have none, a window that begins at a token of the first takes the place of the second. Time
+is then in proportion to the length.
+
+The caches of chunks, of pieces and of decoded sequences hold two generations of at most about ``CACHE``
 entries each, so memory does not grow with the corpus; what was dropped is encoded again.
 
 Edge cases: null text is empty and has no tokens; repeated rows each keep a row;
-an empty table gives an empty result. A single piece of n bytes takes about n * n
-row steps, of which ``DEPTH`` * n are held at a time.
+an empty table gives an empty result; the longest of texts are held one at a time.
 """
 
 from __future__ import annotations
@@ -33,28 +38,27 @@ from ..session import ship
 from .common import pack, table, unpack
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a cache generation; characters of a round of texts; bytes of pieces of one query; contractions of one query.
-CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 250_000, 1 << 22, 600_000, 48
+#: Entries of a cache generation; characters of a round of texts; bytes of pieces, or tokens, of one query; contractions of one query.
+CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 250_000, 1 << 22, 600_000, 32
+#: Bytes beyond which a piece is encoded in windows, and of a window.
+LONG, WIDTH = 256, 128
 
 _STEP = """
 WITH RECURSIVE st AS (
-  SELECT w, 0 AS it, pos, tok FROM init
+  SELECT w, 0 AS it, t FROM init
   UNION ALL
   (WITH best AS (
      SELECT w, min(r::BIGINT * 4294967296 + pos) AS b
-     FROM (SELECT w, it, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nt FROM st) JOIN merges ON k = tok::BIGINT * 65536 + nt WHERE it < {depth} GROUP BY w)
-   SELECT st.w, it + 1, CASE WHEN pos > b % 4294967296 THEN pos - 1 ELSE pos END, CASE WHEN pos = b % 4294967296 THEN (b // 4294967296)::INTEGER ELSE tok END
-   FROM st JOIN best ON st.w = best.w WHERE pos <> b % 4294967296 + 1))
-SELECT w, it, pos, tok FROM st JOIN (SELECT w, max(it) AS it FROM st GROUP BY w) USING (w, it)
-"""
-_GATHER = """
-SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM final JOIN vocab ON vocab.id = tok GROUP BY w
+     FROM (SELECT w, unnest(range(1, len(t))) AS pos, unnest(t[:-2]) AS tok, unnest(t[2:]) AS nt FROM st WHERE it < {depth}) JOIN merges ON k = tok::BIGINT * 65536 + nt GROUP BY w)
+   SELECT st.w, it + 1, t[:b % 4294967296 - 1] || [(b // 4294967296)::INTEGER] || t[b % 4294967296 + 2:] FROM st JOIN best ON st.w = best.w))
+SELECT w, max(it) AS it, arg_max(t, it) AS t FROM st GROUP BY w
 """
+# bytes as characters of the same numbers, as DuckDB joins text only
+_DECODE = "SELECT s, array_to_string(list(chars ORDER BY pos), '') AS chars FROM tokens JOIN vocab ON vocab.id = tok GROUP BY s"
 
 
 class Codec:
-    """Encodes pieces in DuckDB and keeps what it has met lately."""
+    """Encodes pieces and decodes ids in DuckDB and keeps what it has met lately."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -63,6 +67,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.size = {r: len(token) for token, r in self.ranks.items()}
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -72,68 +77,121 @@ class Codec:
                     rank.append(r)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.db.register("m", pa.table({"k": pa.array(left, pa.int64()), "r": pa.array(rank, pa.int32())}))
-        self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks], pa.string())}))
+        self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocab AS SELECT * FROM v")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pieces = Generations()
-        self.chunks = Generations()
-
-    def _final(self, rows: pa.Table) -> pa.Table:
-        """Contract to the fixpoint; a query stops after DEPTH contractions, pieces that may go on go into the next."""
-        done = []
+        #: Ids joined by commas of a piece or chunk; bytes of ids joined by commas.
+        self.pieces, self.chunks, self.decoded = Generations(), Generations(), Generations()
+
+    def _final(self, parts: list[bytes]) -> list[str]:
+        """Ids of byte strings: contract to the fixpoint; a query stops after DEPTH contractions, strings that may go on go into the next."""
+        ends = np.cumsum([0, *map(len, parts)])
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte[np.frombuffer(b"".join(parts), np.uint8)]))
+        rows = pa.table({"w": pa.array(np.arange(len(parts), dtype=np.int32)), "t": tokens})
+        out = [""] * len(parts)
         while rows.num_rows:
             self.db.register("init", rows)
             got = self.db.sql(_STEP.format(depth=DEPTH)).to_arrow_table()
             open_ = pa.compute.equal(got["it"], DEPTH)
-            done.append(got.filter(pa.compute.invert(open_)))
-            rows = got.filter(open_).select(["w", "pos", "tok"])
-        return pa.concat_tables(done)
+            done = got.filter(pa.compute.invert(open_))
+            joined = pa.compute.binary_join(done["t"].cast(pa.list_(pa.string())), ",")
+            for w, ids in zip(done["w"].to_pylist(), joined.to_pylist(), strict=True):
+                out[w] = ids
+            rows = got.filter(open_).select(["w", "t"])
+        return out
+
+    def _contract(self, parts: list[bytes]) -> list[str]:
+        """Ids of byte strings, some at a time."""
+        out, first, size = [], 0, 0
+        for k, b in enumerate(parts):
+            size += len(b)
+            if size > QUERY_BYTES or k + 1 == len(parts):
+                out += self._final(parts[first : k + 1])
+                first, size = k + 1, 0
+        return out
 
     def _encode(self, pieces: list[str]) -> None:
         """Add pieces to the cache."""
-        ids, decoded = self.pieces.ids, self.pieces.decoded
+        ids = self.pieces.known
         rest = []
         for p in pieces:
             if (i := self.ranks.get(b := p.encode())) is not None:
-                ids[p], decoded[p] = str(i), b
+                ids[p] = str(i)
+            elif len(b) > LONG:
+                ids[p] = self._long(b)
             else:
                 rest.append((p, b))
-        first = size = 0
-        for k, (_, b) in enumerate(rest):
-            size += len(b)
-            if size > QUERY_BYTES or k + 1 == len(rest):
-                self._encode_bytes(rest[first : k + 1])
+        ids.update(zip([p for p, _ in rest], self._contract([b for _, b in rest]), strict=True))
+
+    def _long(self, data: bytes) -> str:
+        """Ids of a piece of any length, from windows that are joined at tokens that two of them share."""
+        step = WIDTH // 2
+        cuts = [data[at : at + WIDTH] for at in range(0, len(data) - step, step)]
+        different = list(dict.fromkeys(cuts))
+        known = dict(zip(different, self._contract(different), strict=True))
+
+        def tokens(at: int, part: bytes) -> list[tuple[int, int]]:
+            """(place, id) of each token of a window."""
+            if part not in known:
+                known[part] = self._contract([part])[0]
+            out = []
+            for i in map(int, known[part].split(",")):
+                out.append((at, i))
+                at += self.size[i]
+            return out
+
+        out, end = tokens(0, cuts[0]), len(cuts[0])
+        while end < len(data):
+            at = max(end - step, 0)
+            tail = len(out)
+            while tail > 1 and out[tail - 1][0] >= at:
+                tail -= 1
+            # a window at a fixed place, which other places may share; else one that begins at a token, and longer ones
+            k = -(-at // step) * step
+            for start, width in ((k, WIDTH), *((out[tail - 1][0], WIDTH << j) for j in range(1, 40))):
+                more = tokens(start, data[start : start + width])
+                ours = {t: n for n, t in enumerate(out[tail - 1 :], tail - 1)}
+                met = [(ours[t], n) for n, t in enumerate(more) if t in ours]
+                if met and start + width > end:
+                    n, j = met[len(met) // 2]
+                    out[n:] = more[j:]
+                    end = min(len(data), start + width)
+                    break
+        return ",".join([str(i) for _, i in out])
+
+    def _decode(self, sequences: set[str]) -> None:
+        """Add the bytes of sequences of ids to the cache, by an ordered aggregation of their tokens."""
+        new, first, size = self.decoded.missing(sequences), 0, 0
+        number = [s.count(",") + 1 for s in new]
+        known = self.decoded.known
+        for k, n in enumerate(number):
+            size += n
+            if size > QUERY_BYTES or k + 1 == len(new):
+                count = np.array(number[first : k + 1])
+                s = np.repeat(np.arange(len(count), dtype=np.int32), count)
+                pos = np.arange(size) - np.repeat(np.cumsum(count) - count, count)
+                self.db.register("tokens", pa.table({"s": s, "pos": pos.astype(np.int32), "tok": np.fromstring(",".join(new[first : k + 1]), np.int32, sep=",")}))
+                got = self.db.sql(_DECODE).to_arrow_table()
+                for at, c in zip(got["s"].to_pylist(), got["chars"].to_pylist(), strict=True):
+                    known[new[first + at]] = c.encode("latin-1")
                 first, size = k + 1, 0
 
-    def _encode_bytes(self, part: list[tuple[str, bytes]]) -> None:
-        sizes = np.array([len(b) for _, b in part])
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        data = np.frombuffer(b"".join([b for _, b in part]), np.uint8)
-        init = {"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": (np.arange(len(data)) - starts).astype(np.int32), "tok": self.byte[data]}
-        self.db.register("final", self._final(pa.table(init)))
-        ids, decoded = self.pieces.ids, self.pieces.decoded
-        for w, i, h in self.db.sql(_GATHER).fetchall():
-            p = part[w][0]
-            ids[p], decoded[p] = i, bytes.fromhex(h)
-
     def _learn_pieces(self, pieces: set[str]) -> None:
         if new := self.pieces.missing(pieces):
             self._encode(new)
 
     def _learn_chunks(self, chunks: set[str]) -> None:
         """A chunk stands for itself after a blank; one that begins or ends with white space, or is empty, is odd."""
-        self.odd = {c for c in chunks if not c or c[0].isspace() or c[-1].isspace()}
-        if not (new := self.chunks.missing(chunks - self.odd)):
+        new = self.chunks.missing(chunks)
+        self.odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}  # never cached
+        if not (new := [c for c in new if c not in self.odd] if self.odd else new):
             return
-        split = [self.find(" " + c) for c in new]
-        self._learn_pieces(set().union(*split))
-        ids, decoded = self.chunks.ids, self.chunks.decoded
-        one, raw = self.pieces.ids, self.pieces.decoded
-        for c, ps in zip(new, split, strict=True):
-            if len(ps) == 1:
-                ids[c], decoded[c] = one[ps[0]], raw[ps[0]]
-            else:
-                ids[c], decoded[c] = ",".join([one[p] for p in ps]), b"".join([raw[p] for p in ps])
+        # all at once: a blank, which no chunk holds, begins the first piece of each
+        split = self.find(" " + " ".join(new))
+        self._learn_pieces(set(split))
+        one = self.pieces.known
+        joined = "".join([("\n" if p[0] == " " else ",") + one[p] for p in split])
+        self.chunks.known.update(zip(new, joined[1:].split("\n"), strict=True))
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes, int]]:
         """For each text its ids joined by commas, the bytes they decode to, and their number."""
@@ -146,33 +204,30 @@ class Codec:
                 split[k], heads[k] = [], t
         first = [self.find(h) for h in heads]
         self._learn_pieces(set().union(*first))
-        one, raw = self.pieces.ids.__getitem__, self.pieces.decoded.__getitem__
-        ids, decoded = self.chunks.ids.__getitem__, self.chunks.decoded.__getitem__
-        for ps, cs in zip(first, split, strict=True):
-            i = ",".join([*map(one, ps), *map(ids, cs)])
-            yield i, b"".join([*map(raw, ps), *map(decoded, cs)]), i.count(",") + 1 if i else 0
+        piece, chunk = self.pieces.known.__getitem__, self.chunks.known.__getitem__
+        sequences = [[*map(piece, ps), *map(chunk, cs)] for ps, cs in zip(first, split, strict=True)]
+        self._decode(set().union(*sequences))
+        decoded = self.decoded.known.__getitem__
+        for own in sequences:
+            i = ",".join(own)
+            yield i, b"".join(map(decoded, own)), i.count(",") + 1 if i else 0
 
 
 class Generations:
-    """Ids and decoded bytes by string; what has not been asked for since the last turn is dropped."""
+    """What is known by string; what has not been asked for since the last turn is dropped."""
 
     def __init__(self):
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.before: tuple[dict[str, str], dict[str, bytes]] = {}, {}
+        self.known: dict = {}
+        self.before: dict = {}
 
     def missing(self, keys: set[str]) -> list[str]:
         """Keys in neither generation; all others are in the present one afterwards."""
-        if len(self.ids) > CACHE:
-            self.before, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
-        ids, decoded = self.before
-        out = []
-        for k in keys.difference(self.ids):
-            if (i := ids.get(k)) is not None:
-                self.ids[k], self.decoded[k] = i, decoded[k]
-            else:
-                out.append(k)
-        return out
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
+        new = keys.difference(self.known)
+        old = new.intersection(self.before)
+        self.known.update(zip(old, map(self.before.__getitem__, old), strict=True))
+        return list(new - old)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -247,8 +302,11 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its ids; the text is what the ids decode to."""
-    own = [c for c in docs.columns if c != "text"]
+    """Pipeline stage: every document with its ids; the text is what the ids decode to.
+
+    ``n_tokens`` and ``token_ids`` take the place of columns of these names.
+    """
+    own = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text")
     d = transcode(d, *_public(), emit=("ids", "decoded"))
     return d.select("_row.*", F.col("decoded").cast("string").alias("text"), "n_tokens", F.col("ids").alias("token_ids"))

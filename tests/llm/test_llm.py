@@ -154,6 +154,43 @@ def test_bpe_edges(spark, rows, tokenizer):
     assert bpe.transcode(rows.limit(0), *bpe._public()).count() == 0
 
 
+@pytest.mark.parametrize("letters,n", [("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("etaoin", 30_000), ("日本語東京é漢", 9_000), ("#*$%&|<>-=", 30_000)])
+def test_bpe_unbroken(tokenizer, letters, n):
+    """A piece of any length is what the library makes of it, in time that goes with its length."""
+    own = bpe.codec(*bpe._public())
+    text = "".join(np.random.default_rng(5).choice(list(letters), n))
+    ((ids, decoded, count),) = own.texts([text])
+    want = tokenizer.encode_ordinary(text)
+    assert (ids, decoded, count) == (",".join(map(str, want)), text.encode(), len(want))
+
+
+@pytest.mark.parametrize("part", ["a", "xyz", "=", "ab", "abcdefg", "the", "\n", "  "])
+def test_bpe_periodic(tokenizer, part):
+    ((ids, decoded, _),) = bpe.codec(*bpe._public()).texts([part * 9000 + "end"])
+    assert ids == ",".join(map(str, tokenizer.encode_ordinary(part * 9000 + "end"))) and decoded == (part * 9000 + "end").encode()
+
+
+def test_bpe_decodes_ids(tokenizer):
+    """Bytes come from ids: with another vocabulary behind the same ids they differ."""
+    own = bpe.Codec(*bpe._public())
+    own.db.execute("UPDATE vocab SET chars = '<' || id || '>'")
+    ((ids, decoded, _),) = own.texts(["one odd  word"])
+    assert decoded.decode() == "".join(f"<{i}>" for i in ids.split(","))
+
+
+def test_bpe_rounds_and_turns(spark, tokenizer, monkeypatch):
+    """Texts above a round, and caches that turn over in each, change nothing."""
+    g = np.random.default_rng(8)
+    texts = [" ".join("".join(g.choice(list("abcdeé"), 7)) for _ in range(400)) for _ in range(20)]
+    own = bpe.Codec(*bpe._public())
+    monkeypatch.setattr(bpe, "ROUND_CHARS", 5000)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 700)
+    got = [r for part in bpe._rounds(texts) for r in own.texts(part)]
+    assert [r[0] for r in got] == [",".join(map(str, tokenizer.encode_ordinary(t))) for t in texts]
+    assert [r[1] for r in got] == [t.encode() for t in texts]
+
+
 # ---- language ----
 
 
