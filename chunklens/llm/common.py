@@ -1,12 +1,14 @@
-"""Shared helpers: reading tables, cutting lineage, sizing work by the input."""
+"""Shared helpers: reading tables, packing columns, sizing work by the input."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, ensure_checkpoint_dir
+
+__all__ = ["GAP", "WORD", "cut", "ensure_checkpoint_dir", "input_bytes", "pack", "table", "unpack", "words"]
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -17,21 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; make one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="chunklens-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; lost executors cannot lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def input_bytes(df: DataFrame, column: str) -> int:
     """Size of the input: the optimiser's estimate from file sizes, else an exact sum over the column."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

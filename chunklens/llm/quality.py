@@ -1,9 +1,11 @@
 """Quality rules as weak supervision.
 
 Every rule looks at one document and votes good (1), bad (-1) or abstains (0).
-Votes are counted per vote pattern over all documents (at most 3 ** 7 patterns),
+Votes are counted per vote pattern over all documents (at most 3 ** 8 patterns),
 and expectation-maximisation on that table estimates, for each rule, how often
-it says "bad" of bad documents and "good" of good ones. A document is kept when
+it says "bad" of bad documents and "good" of good ones. Estimates are the most probable ones under
+a Beta prior that counts as much as ``PRIOR`` of all rows, so that a rule that nothing speaks for or against stays near
+what it starts with, and one that the data know follows them, alike at every size. A document is kept when
 its posterior probability of being good is at least ``threshold``.
 
 Everything is DataFrame functions. The EM loop runs on the pattern table, whose
@@ -11,7 +13,7 @@ size has a fixed bound; each round returns one row of parameters to the driver.
 
 Edge cases: null or empty text has no words and fails the base rule; repeated
 rows each keep a row; an empty table gives an empty result; documents are never
-joined, so clashing column names do no harm.
+joined, and their other columns travel in a struct, so clashing column names do no harm.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, words
+from .common import WORD, cut, pack, table, words
 
 #: Least words, and largest percentage of words in repeated five-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -32,15 +34,15 @@ DUP_LINE_SHARE = (0.1, 0.3)
 UPPER_SHARE = (0.1, 0.3)
 SHOUTS_PER_WORD = (0.05, 0.3)
 NON_LETTER_SHARE = (0.08, 0.15)
+MARK_WORD_SHARE = (0.05, 0.2)
 GOOD_WORD_LENGTH, BAD_WORD_LENGTH = (3.0, 7.5), (2.0, 12.0)
 #: Characters of words that are no letters.
 MARK = r"[^\p{L}\x20\x09-\x0D]"
-RULES = ("symbols", "letters", "repeats", "lines", "upper", "shouts", "length")
-#: Rounds of EM, start values (share of good documents, sensitivity, specificity) and smoothing.
-ROUNDS, START, SMOOTH = 12, (0.7, 0.3, 0.99), 1.0
-#: Bounds of the estimates. A rule sees one kind of fault of several, so its silence says little: its sensitivity is
-#: bounded above; and a rule that calls many good documents bad is none, so its specificity is bounded below.
-CLAMP, CLAMP_A, CLAMP_B = (0.05, 0.98), (0.02, 0.3), (0.97, 0.998)
+#: A word with a letter in it.
+LETTERED = r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"
+RULES = ("symbols", "letters", "marks", "repeats", "lines", "upper", "shouts", "length")
+#: Rounds of EM; start values, which are also the means of the priors (share of good documents, sensitivity, specificity); weight of a prior as a share of all rows.
+ROUNDS, START, PRIOR = 12, (0.8, 0.3, 0.99), 0.05
 THRESHOLD = 0.5
 
 
@@ -88,6 +90,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("n_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))
     d = d.withColumn("_shouts", F.regexp_count(t, F.lit("!")))
     d = d.withColumn("_marks", F.regexp_count(t, F.lit(MARK)))
+    d = d.withColumn("_lettered", F.regexp_count(t, F.lit(LETTERED)))
     d = d.withColumn("_upper", F.regexp_count(t, F.lit("[A-Z]")))
     d = d.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
     d = d.withColumn("n_lines", F.size("_lines").cast("long"))
@@ -115,6 +118,7 @@ def votes(featured: DataFrame) -> DataFrame:
         "upper": _vote(_share(F.col("_upper"), F.col("word_chars")), UPPER_SHARE),
         "shouts": _vote(_share(F.col("_shouts"), n), SHOUTS_PER_WORD),
         "letters": _vote(_share(F.col("_marks"), F.col("word_chars")), NON_LETTER_SHARE),
+        "marks": _vote(_share(n - F.col("_lettered"), n), MARK_WORD_SHARE),
         "length": F.when(good, 1).when(bad, -1).otherwise(0),
     }
     return featured.withColumns({f"v_{r}": F.when(n > 0, by[r]).otherwise(0).cast("int") for r in RULES})
@@ -150,27 +154,33 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> dict:
         x = q.agg(*sums).first()
         if not x["all"]:
             return params
-        rate = lambda a, b, c: min(c[1], max(c[0], (a + SMOOTH) / (a + b + 2 * SMOOTH)))
-        params = {"prior": rate(x["good"], x["all"] - x["good"], CLAMP)}
-        params |= {f"a_{r}": rate(x[f"h_{r}_-1"], x[f"h_{r}_1"], CLAMP_A) for r in RULES}
-        params |= {f"b_{r}": rate(x[f"g_{r}_1"], x[f"g_{r}_-1"], CLAMP_B) for r in RULES}
+        weight = PRIOR * x["all"]
+        rate = lambda a, b, mean: (a + weight * mean) / (a + b + weight)
+        params = {"prior": rate(x["good"], x["all"] - x["good"], START[0])}
+        params |= {f"a_{r}": rate(x[f"h_{r}_-1"], x[f"h_{r}_1"], START[1]) for r in RULES}
+        params |= {f"b_{r}": rate(x[f"g_{r}_1"], x[f"g_{r}_-1"], START[2]) for r in RULES}
     return params
 
 
+_ADDED = ["n_words", "word_chars", "n_repeat_words", "n_symbols", "n_lines", "n_dup_lines", *[f"v_{r}" for r in RULES], "base_failed", "p_good", "kept"]
+
+
 def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, slim: bool = False) -> DataFrame:
-    """Every row with its features, ``base_failed``, ``p_good`` and ``kept``; added names replace equal ones.
+    """Every row with its features, votes, ``base_failed``, ``p_good`` and ``kept``; added names replace equal ones.
 
     slim: leave out the text; the features are then computed once and written to the
     shared folder between the fit and the verdict, instead of computed in both passes.
     """
-    voted = votes(features(docs, text))
+    packed, rest = pack(docs, text, _ADDED)
+    voted = votes(features(packed, "__text"))
     if slim:
-        voted = cut(voted.drop(text))
+        voted = cut(voted.drop("__text"))
     params = fit(voted)
     n, rep = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
     out = voted.withColumn("base_failed", failed).withColumn("p_good", posterior(params))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return out.select(*[F.col(f"__rest.`{c}`") for c in rest], *([] if slim else [F.col("__text").alias(text)]), *_ADDED)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +207,7 @@ def _oracle() -> str:
         "lines": vote("n_dup_lines / greatest(n_lines, 1)", DUP_LINE_SHARE),
         "upper": vote("n_upper / greatest(word_chars, 1)", UPPER_SHARE),
         "shouts": vote(f"n_shouts / {n}", SHOUTS_PER_WORD),
+        "marks": vote(f"(n_words - n_lettered) / {n}", MARK_WORD_SHARE),
         "letters": vote("n_marks / greatest(word_chars, 1)", NON_LETTER_SHARE),
         "length": f"CASE WHEN {length} BETWEEN {GOOD_WORD_LENGTH[0]} AND {GOOD_WORD_LENGTH[1]} THEN 1 WHEN {length} <= {BAD_WORD_LENGTH[0]} OR {length} >= {BAD_WORD_LENGTH[1]} THEN -1 ELSE 0 END",
     }
@@ -204,9 +215,9 @@ def _oracle() -> str:
     odds = "ln(e.prior / (1 - e.prior))" + "".join(
         f" + CASE v_{r} WHEN 1 THEN ln(e.b_{r} / (1 - e.a_{r})) WHEN -1 THEN ln((1 - e.b_{r}) / e.a_{r}) ELSE 0 END" for r in RULES
     )
-    rate = lambda a, b, c: f"least({c[1]}, greatest({c[0]}, ({a} + {SMOOTH}) / ({a} + {b} + {2 * SMOOTH})))"
+    rate = lambda a, b, mean: f"(({a}) + {PRIOR} * sum(n) * {mean}) / (({a}) + ({b}) + {PRIOR} * sum(n))"
     over = lambda c, r, s: f"coalesce(sum({c}) FILTER (WHERE v_{r} = {s}), 0)"
-    step = ", ".join(f"{rate(over('h', r, -1), over('h', r, 1), CLAMP_A)} AS a_{r}, {rate(over('g', r, 1), over('g', r, -1), CLAMP_B)} AS b_{r}" for r in RULES)
+    step = ", ".join(f"{rate(over('h', r, -1), over('h', r, 1), START[1])} AS a_{r}, {rate(over('g', r, 1), over('g', r, -1), START[2])} AS b_{r}" for r in RULES)
     start = ", ".join(f"{START[1]}::DOUBLE AS a_{r}, {START[2]}::DOUBLE AS b_{r}" for r in RULES)
     rules = ", ".join(f"v_{r}" for r in RULES)
     gap = r"[\x20\x09-\x0D]"
@@ -223,6 +234,7 @@ feat AS (
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (length(t) - length(replace(t, '!', '')))::BIGINT AS n_shouts, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
     (length(t) - length(regexp_replace(t, '{MARK}', '', 'g')))::BIGINT AS n_marks,
+    len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_lettered,
     coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(lines.d, 0)::BIGINT AS n_dup_lines, coalesce(rep.c, 0)::BIGINT AS n_repeat_words
   FROM base LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
 voted AS (SELECT *, {v} FROM feat),
@@ -231,7 +243,7 @@ em AS (
   SELECT 0 AS it, {START[0]}::DOUBLE AS prior, {start}
   UNION ALL
   SELECT it, prior, {", ".join(f"a_{r}, b_{r}" for r in RULES)} FROM (
-    SELECT any_value(it) + 1 AS it, {rate("sum(g)", "sum(h)", CLAMP)} AS prior, {step} FROM (
+    SELECT any_value(it) + 1 AS it, {rate("sum(g)", "sum(h)", START[0])} AS prior, {step} FROM (
       SELECT *, n - g AS h FROM (SELECT e.it, pat.*, n / (1 + exp(-({odds}))) AS g FROM em AS e, pat WHERE e.it < {ROUNDS}))
     HAVING count(*) > 0))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -62,11 +62,32 @@ def test_quality_edges(spark, rows):
     assert quality.keep_good(spark, rows, "").columns == rows.columns
 
 
+def test_quality_estimates_follow_data(spark):
+    """A rule that misses bad documents, or calls good ones bad, gets other estimates; without documents they are the start values."""
+    bad, good = "Of%%% the### and*** to$$$ " * 9, "a plain line of prose that nobody would mind "
+    long = lambda k: " ".join(f"{w}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for w in good.split())
+    d = spark.createDataFrame([(i, long(i) if i % 5 else f"{bad}{i}") for i in range(400)], "doc_id long, text string")
+    a = quality.fit(quality.votes(quality.features(d)))
+    shouting = d.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.upper("text")).otherwise(F.col("text")))
+    b = quality.fit(quality.votes(quality.features(shouting)))
+    assert a["a_symbols"] > 0.75 and abs(a["prior"] - 0.8) < 0.05 and a["b_upper"] > 0.98
+    assert b["b_upper"] < a["b_upper"] - 0.05 or b["a_upper"] > a["a_upper"] + 0.1
+    none = quality.fit(quality.votes(quality.features(d.limit(0))))
+    assert (none["prior"], none["a_symbols"], none["b_symbols"]) == quality.START
+
+
+def test_quality_clashing_names(spark, rows):
+    d = rows.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(["_w", "_h", "_g", "_s", "_p", "_lines", "_upper", "_marks", "_shouts", "__rest", "v_length", "p_good"])])
+    got = quality.judge(d)
+    assert len(set(got.columns)) == len(got.columns) and {r["_w"] for r in got.collect()} == {0}
+    assert [r["_shouts"] for r in quality.keep_good(spark, d, "").collect()][:1] in ([8], [])
+
+
 def test_quality_keeps_clean(spark):
     d = queries.QUERIES["op8_quality_rules"](spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
     by = {(r["quality"], r["kept"]): r["count"] for r in d.where("NOT base_failed").groupBy("quality", "kept").count().collect()}
     assert by[1, True] / (by[1, True] + by.get((1, False), 0)) > 0.98
-    assert by.get((0, False), 0) > by.get((0, True), 0)
+    assert by.get((0, False), 0) > 9 * by.get((0, True), 0)  # measured: 27 and 0
 
 
 # ---- mixing ----
@@ -87,24 +108,44 @@ def plain_targets(sizes):
         left = sum(sizes.values()) - sum(out.values())
 
 
-def test_mixing(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("size,bound", [("sf0.001", 0.05), ("sf0.01", 0.02), ("sf0.1", 0.011)])
+def test_mixing(spark, size, bound):
+    """Taken words against targets, with 10, 50 and 500 rows a source; what is off is less than the bound, or than half the least row."""
+    sf = f"/root/testdata/{size}"
     d = table(spark, sf, "documents").select("doc_id", "source", F.lit(None).alias("x")).collect()
     source = {r["doc_id"]: r["source"] for r in d}
     got = queries.QUERIES["op9_mix_sources"](spark, sf).collect()
     assert sorted(got) == sorted(queries.QUERIES["op9_mix_sources"](spark, sf).collect())
     assert len(got) == len(d)
-    sizes, taken, target = Counter(), Counter(), {}
+    sizes, taken, target, least = Counter(), Counter(), {}, defaultdict(lambda: 1 << 60)
     for r in got:
         s = source[r["doc_id"]]
         sizes[s] += r["size"]
         taken[s] += r["taken"]
         target[s] = r["target"]
+        least[s] = min(least[s], r["size"])
         assert 0 <= r["taken"] <= 3 * r["size"]
     want = plain_targets(sizes)
     for s in sizes:
         assert abs(target[s] - want[s]) < 1e-6 * want[s] + 1e-6
-        assert abs(taken[s] - want[s]) < 0.1 * want[s]
+    off = {s: round(taken[s] / want[s] - 1, 4) for s in sizes}
+    assert all(abs(off[s]) <= bound or abs(taken[s] - want[s]) <= least[s] / 2 for s in sizes), off
+
+
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """Equal rows, more than are written out at once, share their copies evenly, and the stage numbers them by text."""
+    monkeypatch.setattr(mixing, "_AT_ONCE", 7)
+    d = spark.createDataFrame([(None, "a", 10)] * 50 + [(1, "a", 10)] * 3 + [(i, "b", 10) for i in range(30)], "doc_id long, source string, size long")
+    got = mixing.mix(d).collect()
+    assert len(got) == 83
+    each = [r["copies"] for r in got if r["source"] == "a"]
+    assert max(each) - min(each) <= 1 and abs(sum(each) - got[0]["target"] / 10) < 53
+    docs = spark.createDataFrame([(None, "a", f"{c} two three") for c in "zyxwvutsrq"] + [(i, "b", "x y z") for i in range(40)], "doc_id long, source string, text string")
+    taken = Counter(r["text"] for r in mixing.take_copies(spark, docs, "").collect() if r["source"] == "a")
+    copies = sum(r["copies"] for r in mixing.mix(docs.select("doc_id", "source", F.lit(3).cast("long").alias("size"))).collect() if r["source"] == "a")
+    assert sum(taken.values()) == copies
+    n = copies // 10
+    assert all(taken[f"{c} two three"] == n + (k < copies % 10) for k, c in enumerate("qrstuvwxyz"))
 
 
 def test_mixing_caps_and_edges(spark, rows):
