@@ -8,10 +8,10 @@ can match it: its host, all parents of the host with two labels or more, and all
 path prefixes. An equi-join on the key with the interval condition finds the entries
 active at the fetch.
 
-Everything is DataFrame functions. The list is broadcast when its counted rows times
-their counted width stay under ``BROADCAST_BYTES``; otherwise it is joined by shuffle,
-with the captures' side salted by ``SALT`` and the list repeated for each salt, so that
-a host with a third of all captures is spread.
+Everything is DataFrame functions. Captures are exploded to their keys and joined with the list on the key, a salt and the interval;
+hits are gathered by URL and time, which is all that they depend on, and joined back on these. A list whose counted rows times
+their counted width stay under ``BROADCAST_BYTES`` is broadcast to the join, without salts. Otherwise both sides are shuffled: the list is
+repeated for each of ``SALT`` salts and captures are dealt over them, so that a host with a third of all captures is spread.
 
 Edge cases: a null or unparsable url has no keys and is allowed; a null fetch time matches
 nothing; host names are compared in lower case without a trailing dot or a port; repeated
@@ -30,26 +30,18 @@ from .common import table
 #: Size up to which the list is broadcast; salts beyond.
 BROADCAST_BYTES, SALT = 8 << 20, 32
 
-#: The list that the query applies: (key, action, day).
-ENTRIES = (
-    ("ads-track.example.com", "add", "2024-02-01"),
-    ("ads-track.example.com", "remove", "2024-05-01"),
-    ("ads-track.example.com", "add", "2024-08-15"),
-    ("tionsh.example.net", "add", "2024-03-01"),
-    ("tionsh.example.net", "remove", "2024-03-11"),
-    ("tionsh.example.net/fr", "add", "2024-06-01"),
-    ("tionsh.example.net/fr", "remove", "2024-09-01"),
-    ("blog.tionble.example.com", "add", "2024-01-10"),
-    ("blog.tionble.example.com", "remove", "2024-01-10"),
-    ("example.org", "add", "2024-10-01"),
-    ("example.org", "remove", "2024-11-01"),
-    ("ththon.example.com", "add", "2024-07-04"),
-    ("m.therer.example.net", "add", "2024-04-01"),
-    ("m.therer.example.net", "add", "2024-05-01"),
-    ("m.therer.example.net", "remove", "2024-12-01"),
-)
 #: Captures are dated by their number, a day of 2024 each.
 FIRST_DAY, DAYS = "2024-01-01", 366
+#: Histories that the query's list deals out to keys, by a hash of the key: (action, days after the first). Keys are
+#: the hosts of all pages, their parents and their first path parts; of the numbers from 0 to ``SPREAD`` - 1 those without a history are not listed.
+SPREAD = 11
+HISTORIES = {
+    0: (("add", 0),),
+    1: (("add", 31), ("remove", 121), ("add", 227)),
+    3: (("add", 60), ("remove", 70)),
+    4: (("add", 9), ("remove", 9), ("add", 300)),
+    7: (("add", 92), ("add", 121), ("remove", 335)),
+}
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -88,68 +80,61 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
 
     valid = intervals(entries)
     width = valid.agg(F.count("*").alias("n"), F.max(F.length("key")).alias("w")).first()
-    if width["n"] * (64 + 4 * (width["w"] or 0)) <= BROADCAST_BYTES:
-        return _by_broadcast(facts, valid)
-    return _by_shuffle(facts, valid)
+    small = width["n"] * (64 + 4 * (width["w"] or 0)) <= BROADCAST_BYTES
+    keyed = facts.where("_at IS NOT NULL").select("_url", "_at", F.explode("_keys").alias("key"))
+    if small:
+        hit = keyed.join(F.broadcast(valid), (keyed["key"] == valid["key"]) & (F.col("since") <= F.col("_at")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    else:
+        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALT)))
+        many = valid.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint")))).hint("merge")
+        hit = salted.join(many, (salted["key"] == many["key"]) & (salted["_salt"] == many["_salt"]) & (F.col("since") <= F.col("_at")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    # an interval of a key has one entry at most, so the different keys are the entries; equal captures are one before the shuffle
+    hits = hit.groupBy("_url", "_at").agg(F.collect_set(keyed["key"]).alias("_hits")).select(F.col("_url").alias("_u"), F.col("_at").alias("_t"), "_hits")
+    d = facts.join(hits, (F.col("_url") == F.col("_u")) & (F.col("_at") == F.col("_t")), "left")
+    best = F.element_at(F.array_sort(F.transform("_hits", lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k")))), 1)["k"]
+    d = d.withColumn("n_active", F.coalesce(F.size("_hits"), F.lit(0)).cast("long")).withColumn("matched", best)
+    return d.select("_row.*", "host", "n_active", "matched", F.col("_hits").isNull().alias("allowed"))
 
 
-def _result(d: DataFrame) -> DataFrame:
-    best = F.element_at(F.array_sort(F.transform("_hits", lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k")))), 1)["k"]
-    d = d.withColumn("n_active", F.size("_hits").cast("long")).withColumn("matched", F.when(F.size("_hits") > 0, best))
-    return d.select("_row.*", "host", "n_active", "matched", (F.col("n_active") == 0).alias("allowed"))
-
-
-def _by_broadcast(facts: DataFrame, valid: DataFrame) -> DataFrame:
-    """The list, which is small, as one broadcast row: a map from key to its intervals; captures aren't shuffled."""
-    spans = valid.groupBy("key").agg(F.collect_list(F.struct("since", "until")).alias("spans"))
-    one = spans.agg(F.map_from_entries(F.collect_list(F.struct("key", "spans"))).alias("_list"))
-    d = facts.crossJoin(F.broadcast(one))
-    active = F.expr(
-        "flatten(transform(_keys, k -> transform(filter(coalesce(_list[k], CAST(array() AS ARRAY<STRUCT<since: DATE, until: DATE>>)),"
-        " s -> s.since <= _at AND (s.until IS NULL OR _at < s.until)), s -> k)))"
-    )
-    return _result(d.withColumn("_hits", F.when(F.col("_at").isNull(), F.array().cast("array<string>")).otherwise(active)).drop("_list"))
-
-
-def _by_shuffle(facts: DataFrame, valid: DataFrame) -> DataFrame:
-    """Captures' keys, salted, against the list repeated for each salt; hits come back by row content and ordinal."""
-    ident = F.xxhash64("_row")
-    d = facts.withColumn("_id", ident)
-    salted = d.select("_id", "_at", F.explode("_keys").alias("key")).distinct().withColumn("_salt", F.pmod(F.col("_id"), F.lit(SALT)))
-    many = valid.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-    hit = salted.join(many, ["key", "_salt"]).where("since <= _at AND (until IS NULL OR _at < until)")
-    hits = hit.groupBy("_id", "_at").agg(F.sort_array(F.collect_list("key")).alias("_hits"))
-    d = d.join(hits.withColumnRenamed("_at", "_t").withColumnRenamed("_id", "_i"), (F.col("_id") == F.col("_i")) & F.col("_at").eqNullSafe(F.col("_t")), "left")
-    return _result(d.withColumn("_hits", F.coalesce("_hits", F.array().cast("array<string>"))))
+def listed(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The query's list, of the keys of all pages: hosts, their parents and first path parts that the hash gives a history."""
+    labels, parts, host = keys(F.col(f"`{url}`"))
+    d = pages.select(labels.alias("_labels"), parts.alias("_parts"), host.alias("_host")).where("_host <> ''")
+    own = F.array("_host", F.array_join(F.slice("_labels", F.lit(2), F.greatest(F.size("_labels") - 1, F.lit(0))), "."), F.concat("_host", F.lit("/"), F.coalesce(F.try_element_at("_parts", F.lit(1)), F.lit(""))))
+    d = d.select(F.explode(own).alias("key")).where(r"key <> '' AND key NOT LIKE '%/' AND (key LIKE '%.%')").distinct()
+    histories = F.create_map(*[x for k, h in HISTORIES.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("action"), F.lit(n).alias("n")) for a, n in h]))])
+    d = d.withColumn("h", F.explode(F.try_element_at(histories, (F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int") % SPREAD))))
+    return d.select("key", F.col("h.action").alias("action"), F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("h.n")).alias("day"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the list as it stood on the day it was fetched."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(F.col("page_id"), F.lit(DAYS)).cast("int"))
-    listed = spark.createDataFrame(list(ENTRIES), "key string, action string, day string").withColumn("day", F.col("day").cast("date"))
-    d = filter_urls(pages.withColumn("fetched", fetched), listed)
+    d = filter_urls(pages.withColumn("fetched", fetched), listed(pages))
     return d.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "n_active", "matched", "allowed")
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{k}', '{a}', DATE '{d}')" for k, a, d in ENTRIES)
+    values = ", ".join(f"({k}, '{a}', {n})" for k, h in HISTORIES.items() for a, n in h)
     return f"""
-WITH listed(key, action, day) AS (VALUES {values}),
-valid AS (
-  SELECT DISTINCT key, day AS since, until FROM (SELECT *, lead(day) OVER (PARTITION BY key ORDER BY day, action) AS until FROM listed)
-  WHERE action = 'add' AND (until IS NULL OR until > day)),
-page AS (
+WITH page0 AS (
   SELECT row_number() OVER () AS rid, page_id, DATE '{FIRST_DAY}' + (page_id % {DAYS})::INTEGER AS fetched,
     regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]*)', 1), '\\.?(:[0-9]*)?$', '') AS host,
     regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+history(h, action, n) AS (VALUES {values}),
+key0 AS (SELECT DISTINCT unnest([host, regexp_replace(host, '^[^.]*\\.?', ''), host || '/' || coalesce(list_filter(string_split(path, '/'), lambda x: x <> '')[1], '')]) AS key FROM page0 WHERE host <> ''),
+listed AS (SELECT key, action, DATE '{FIRST_DAY}' + n AS day FROM key0 JOIN history ON h = ('0x' || substr(md5(key), 1, 4))::INT % {SPREAD} WHERE key LIKE '%.%' AND key NOT LIKE '%/'),
+valid AS (
+  SELECT DISTINCT key, day AS since, until FROM (SELECT *, lead(day) OVER (PARTITION BY key ORDER BY day, action) AS until FROM listed)
+  WHERE action = 'add' AND (until IS NULL OR until > day)),
 entry AS (SELECT *, CASE WHEN position('/' IN key) > 0 THEN split_part(key, '/', 1) ELSE key END AS khost, CASE WHEN position('/' IN key) > 0 THEN substr(key, position('/' IN key)) ELSE '' END AS kpath FROM valid),
 hit AS (
-  SELECT rid, count(*) AS n, first(key ORDER BY length(key) DESC, key) AS matched FROM page JOIN entry
+  SELECT rid, count(*) AS n, first(key ORDER BY length(key) DESC, key) AS matched FROM page0 JOIN entry
     ON since <= fetched AND (until IS NULL OR fetched < until)
    AND CASE WHEN kpath = '' THEN host = khost OR ends_with(host, '.' || khost) ELSE host = khost AND (path = kpath OR starts_with(path, kpath || '/')) END
   GROUP BY rid)
-SELECT page_id, host, fetched::VARCHAR AS fetched, coalesce(n, 0)::BIGINT AS n_active, matched, n IS NULL AS allowed FROM page LEFT JOIN hit USING (rid)
+SELECT page_id, host, fetched::VARCHAR AS fetched, coalesce(n, 0)::BIGINT AS n_active, matched, n IS NULL AS allowed FROM page0 LEFT JOIN hit USING (rid)
 """
 
 
