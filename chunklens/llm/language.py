@@ -201,7 +201,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     d = d.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20))
     step = f"IF(length(t) > {WINDOW}, (length(t) - {WINDOW}) / {WINDOWS_PER_ROW - 1}, 0)"
     cut = F.expr(f"transform(sequence(0, IF(length(t) > {WINDOW}, {WINDOWS_PER_ROW - 1}, 0)), k -> substring(t, CAST(1 + k * {step} AS INT), {WINDOW}))")
-    rows = sorted((r["y"], x) for r in d.where(F.length("t") > 0).select("y", cut.alias("x")).collect() for x in r["x"])
+    # ids may repeat, rows of the sample not without bound
+    sample = d.where(F.length("t") > 0).select("y", cut.alias("x"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * PER_LANGUAGE * len(names))
+    rows = sorted((r["y"], x) for r in sample.collect() for x in r["x"])
     if not rows:
         return ByteNet([])
     x = np.concatenate([cut_windows(t)[:1] for _, t in rows])

@@ -9,7 +9,8 @@ that with the toxic one. A text's largest distance and its counts of windows at
 above thresholds go through a logistic function calibrated on other training rows.
 
 Learning takes a bounded, hash-chosen sample of labelled rows (``PER_LABEL``; of
-each text at most ``WORDS`` words, spread over it) to the driver; the ordinary dictionary
+each text at most ``WORDS`` words, spread over it) to the driver; of these at most twice as many rows are taken
+where ids repeat; the ordinary dictionary
 trains on the first ``SAMPLE`` bytes of each of these. Scoring reads
 whole texts; distances of words are cached up to ``CACHE`` words.
 
@@ -169,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     d = d.join(F.broadcast(y), "i")  # about sum(PER_LABEL) ids at most
     step = f"greatest(1, ceil(size(w) / {WORDS}))"
     d = d.select("i", "y", F.expr(f"filter(w, (x, k) -> k % {step} = 0 AND x <> '')").alias("w"))
-    rows = sorted((r["y"], r["i"], r["t"]) for r in d.select("y", "i", F.array_join("w", " ").alias("t")).collect())
+    # ids may repeat, rows of the sample not without bound
+    d = d.select("y", "i", F.array_join("w", " ").alias("t")).orderBy(F.xxhash64("i", "t")).limit(2 * sum(PER_LABEL))
+    rows = sorted((r["y"], r["i"], r["t"]) for r in d.collect())
     return train([t for k, _, t in rows if k == 1], [t for k, _, t in rows if k == 0])
 
 
