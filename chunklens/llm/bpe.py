@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,9 +93,9 @@ class Codec:
         while rows.num_rows:
             self.db.register("init", rows)
             got = self.db.sql(_STEP.format(depth=DEPTH)).to_arrow_table()
-            open_ = pa.compute.equal(got["it"], DEPTH)
-            done = got.filter(pa.compute.invert(open_))
-            joined = pa.compute.binary_join(done["t"].cast(pa.list_(pa.string())), ",")
+            open_ = pc.equal(got["it"], DEPTH)
+            done = got.filter(pc.invert(open_))
+            joined = pc.binary_join(done["t"].cast(pa.list_(pa.string())), ",")
             for w, ids in zip(done["w"].to_pylist(), joined.to_pylist(), strict=True):
                 out[w] = ids
             rows = got.filter(open_).select(["w", "t"])

@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ from .common import input_bytes
 
 #: Input bytes (as stored) of a block and of a bucket; tokens worked on at once; places of an anchor beyond which single windows are sent.
 BLOCK_BYTES, BUCKET_BYTES, PIECE, HOT = 2_500_000, 5_000_000, 1 << 18, 2000
+#: Input bytes of a task at most.
+TASK_BYTES = 128_000_000
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -243,7 +246,7 @@ def _pack(schema: pa.Schema, rows: list[dict]) -> pa.Table:
 
 def _order(table: pa.Table) -> pa.Table:
     """Rows of a block in the order of (doc_id, text), nulls first."""
-    return table.take(pa.compute.sort_indices(table, sort_keys=[("__id", "ascending"), ("__text", "ascending")], null_placement="at_start"))
+    return table.take(pc.sort_indices(table, sort_keys=[("__id", "ascending"), ("__text", "ascending")], null_placement="at_start"))
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -472,14 +475,16 @@ def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, ke
     size = input_bytes(df, text)
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     d = d.withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)))
-    d = d.repartition(min(blocks, max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "__block")
+    # tasks by the input, or more if the session asks for more; blocks and buckets of a task are done one after the other
+    tasks = max(math.ceil(size / TASK_BYTES), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = d.repartition(min(blocks, tasks), "__block")
     ship(df.sparkSession)
     # all three passes read d itself: the same exchange, which Spark reuses
     sent = d.groupBy("__block").applyInArrow(lambda t: _first_pass(kind, buckets, t), "bucket long, bid long, anchor binary, n binary")
-    dup = sent.groupBy("bucket").applyInArrow(lambda t: _count(kind, t), "bid long, dup binary, hot binary")
+    dup = sent.repartition(min(buckets, tasks), "bucket").groupBy("bucket").applyInArrow(lambda t: _count(kind, t), "bid long, dup binary, hot binary")
     cols = ", ".join(f"{c} binary" for c in _COLUMNS)
     runs = d.groupBy("__block").cogroup(dup.groupBy("bid")).applyInArrow(lambda a, b: _send_runs(kind, buckets, a, b), f"bucket long, bid long, {cols}")
-    replies = runs.groupBy("bucket").applyInArrow(lambda t: _judge(kind, index, keep_first, tokens_at_once, t), "bid long, " + ", ".join(f"{c} binary" for c in _REPLY))
+    replies = runs.repartition(min(buckets, tasks), "bucket").groupBy("bucket").applyInArrow(lambda t: _judge(kind, index, keep_first, tokens_at_once, t), "bid long, " + ", ".join(f"{c} binary" for c in _REPLY))
     out_schema = ", ".join([f"`__rest` {dict(d.dtypes)['__rest']}"] + [f"`{c}` {t}" for c, t in schema.items()])
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<struct<start:long,end:long>>": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
 
