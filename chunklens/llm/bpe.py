@@ -17,7 +17,8 @@ both have at one place; where they have none, a window that begins at a token of
 is then in proportion to the length.
 
 The caches of chunks, of pieces and of decoded sequences hold two generations of at most about ``CACHE``
-entries each, so memory does not grow with the corpus; what was dropped is encoded again.
+entries each, so memory does not grow with the corpus; what was dropped is encoded again. Between tasks, when the worker may serve
+other stages, a codec closes its database and keeps its caches as one string each.
 
 Edge cases: null text is empty and has no tokens; repeated rows each keep a row;
 an empty table gives an empty result; the longest of texts are held one at a time.
@@ -26,7 +27,9 @@ an empty table gives an empty result; the longest of texts are held one at a tim
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import marshal
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,7 @@ from .common import pack, table, unpack
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a cache generation; characters of a round of texts; bytes of pieces, or tokens, of one query; contractions of one query.
-CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 250_000, 1 << 22, 600_000, 32
+CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 150_000, 1 << 21, 600_000, 32
 #: Bytes beyond which a piece is encoded in windows, and of a window.
 LONG, WIDTH = 256, 128
 
@@ -62,7 +65,6 @@ class Codec:
     """Encodes pieces and decodes ids in DuckDB and keeps what it has met lately."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -76,13 +78,38 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a * 65536 + b)
                     rank.append(r)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self.db.register("m", pa.table({"k": pa.array(left, pa.int64()), "r": pa.array(rank, pa.int32())}))
-        self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocab AS SELECT * FROM v")
+        self.merges = pa.table({"k": pa.array(left, pa.int64()), "r": pa.array(rank, pa.int32())})
+        self.vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         #: Ids joined by commas of a piece or chunk; bytes of ids joined by commas.
         self.pieces, self.chunks, self.decoded = Generations(), Generations(), Generations()
+        self.db = None
+        self.wake()
+
+    def wake(self) -> None:
+        """Make ready for a task."""
+        import duckdb
+
+        if self.db is None:
+            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+            self.db.register("m", self.merges)
+            self.db.register("v", self.vocab)
+            self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocab AS SELECT * FROM v")
+            for g in (self.pieces, self.chunks, self.decoded):
+                g.unpack()
+
+    def sleep(self) -> None:
+        """Give memory back until the next task."""
+        import ctypes
+
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+            for g in (self.pieces, self.chunks, self.decoded):
+                g.pack()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     def _final(self, parts: list[bytes]) -> list[str]:
         """Ids of byte strings: contract to the fixpoint; a query stops after DEPTH contractions, strings that may go on go into the next."""
@@ -220,6 +247,15 @@ class Generations:
     def __init__(self):
         self.known: dict = {}
         self.before: dict = {}
+        self.packed = b""
+
+    def pack(self) -> None:
+        self.packed, self.known, self.before = marshal.dumps((self.known, self.before)), {}, {}
+
+    def unpack(self) -> None:
+        if self.packed:
+            self.known, self.before = marshal.loads(self.packed)
+            self.packed = b""
 
     def missing(self, keys: set[str]) -> list[str]:
         """Keys in neither generation; all others are in the present one afterwards."""
@@ -235,9 +271,10 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of this process."""
+    """The codec of this process, ready for a task."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
+    _codecs[path, pattern].wake()
     return _codecs[path, pattern]
 
 
@@ -266,6 +303,12 @@ def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", emit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        try:
+            yield from rows(own, batches)
+        finally:
+            own.sleep()
+
+    def rows(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             where = batch.schema.get_field_index("__text")
