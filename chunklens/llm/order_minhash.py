@@ -376,11 +376,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = rows.join(members.select("r", "leader", "root"), "r", "left").where(F.col("r").isNull() | F.col("o").eqNullSafe(F.col("leader")))
     chosen = own.where("r IS NOT NULL").groupBy("root").agg(F.min(F.struct("o", "r")).alias("c")).select("c.o", "c.r")
     chosen = chosen.unionByName(own.where("r IS NULL").select("o", "r").distinct())
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_o"), F.col("text").cast("binary").alias("_t"))
-    d = d.join(chosen.select(F.col("o").alias("_co"), F.col("r").alias("_cr")), F.col("_o").eqNullSafe(F.col("_co")))
-    d = d.where(F.col("_cr").eqNullSafe(number(F.col("_t")))).drop("_co", "_t")
-    first = F.row_number().over(W.Window.partitionBy("_o", "_cr").orderBy(F.col("_row.text")))
-    return d.withColumn("_n", first).where("_n = 1 OR _cr IS NULL").select("_row.*")
+    # one exchange of the texts: the join and the window share their keys, and the number is taken before it
+    key = lambda o, r: (F.coalesce(o.cast("string"), F.lit("")).alias("_ko"), o.isNull().alias("_kn"), F.coalesce(r, F.lit(-1)).alias("_kr"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key(F.col("doc_id"), number(F.col("text").cast("binary"))))
+    d = d.join(chosen.select(*key(F.col("o"), F.col("r"))), ["_ko", "_kn", "_kr"])
+    first = F.row_number().over(W.Window.partitionBy("_ko", "_kn", "_kr").orderBy(F.col("_row.text")))
+    return d.withColumn("_n", first).where("_n = 1 OR _kr < 0").select("_row.*")
 
 
 def number(t):
