@@ -23,14 +23,12 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Divided by its norm plus EPS."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / (n + EPS))
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / (n + EPS)))[0]
 
 
 def clamp_normalize(v: Column, least: float = 1e-12) -> Column:
     """Divided by its norm, or by ``least`` if that is more."""
-    n = F.greatest(norm(v), F.lit(least))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return F.transform(F.array(F.greatest(norm(v), F.lit(least))), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -152,7 +152,7 @@ def spare_split(costs: Column, spare: int) -> Column:
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows of least hash: the same in every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def shard_laws(assigned: DataFrame, key: str, shard: str, shards: int) -> DataFrame:
@@ -179,7 +179,7 @@ def picked(df: DataFrame, key: str, include: DataFrame | None = None, skip: Data
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int, skip: int = 0) -> DataFrame:
     """Rows in the order of an epoch as ``pos``, the same in every run; the first ``skip`` (done before a run broke off) are left out."""
-    d = numbered(df.withColumn("_h", F.xxhash64(F.lit(seed * 1000 + epoch), F.col(key))), "_h", key).drop("_h")
+    d = numbered(df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")))), "_h", key).drop("_h")
     return d.where(F.col("pos") >= skip)
 
 
