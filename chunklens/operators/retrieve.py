@@ -1,19 +1,26 @@
 """Retrieval: per-document stores, scores, deterministic top-k, re-assembly.
 
 A store belongs to one document, so building, scoring, ranking and re-assembly are
-narrow: everything happens inside the document's row, without a shuffle.
+narrow: everything happens inside the document's row, without a shuffle. Only scoring leaves
+the JVM: a batch function over whole numbers, to which no text goes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
+from ..session import ship
 from .spans import GRANULARITIES, store_rows
 
 BUCKETS = 64
+#: Counts of the histograms that are held at once.
+BLOCK = 1 << 22
 GAP = "..."
 
 
@@ -27,44 +34,62 @@ def histogram(found: Column, buckets: int = BUCKETS) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(found, lambda x: x == b)))
 
 
-def score(found: Column, query: Column) -> Column:
-    """Dot product of a query histogram with the normalised histogram of a span's buckets; 0 for a span without words.
+def ranker(k: int, buckets: int = BUCKETS):
+    """A batch function from (buckets of sentences, store rows, buckets of the question) to each document's k best rows.
 
-    Counts are whole numbers up to the last division, so that any engine gives the same double.
+    A row's score is the dot product of the question's histogram with the normalised one of the row's words; 0
+    without words. Counts are whole numbers up to the last division, so that any engine gives the same double; of
+    equal scores the later row comes first. Null or empty sentences have no rows. Histograms are made for blocks of
+    about ``BLOCK`` counts, whatever the lengths of the documents.
     """
-    init = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("square"), F.lit(0).cast("bigint").alias("dot"))
 
-    def step(a: Column, b: Column) -> Column:
-        same = b == a["b"]
-        return F.struct(
-            b.alias("b"), F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
-            (a["square"] + F.when(same, 2 * a["run"] + 1).otherwise(F.lit(1).cast("bigint"))).alias("square"), (a["dot"] + query[b]).alias("dot"),
-        )
-
-    return F.aggregate(F.sort_array(found), init, step, lambda a: F.when(a["square"] > 0, a["dot"] / F.sqrt(a["square"].cast("double"))).otherwise(0.0))
-
-
-def top_rows(scores: Column, k: int) -> Column:
-    """Numbers of the k best rows of an array of scores, best first; of equal scores the later row comes first."""
-    keyed = F.transform(scores, lambda s, i: F.struct(s.alias("score"), i.alias("row_idx")))
-    return F.slice(F.sort_array(keyed, asc=False), 1, k)
+    @F.arrow_udf("array<struct<score:double,row_idx:int>>")
+    def best(found: pa.Array, rows: pa.Array, asked: pa.Array) -> pa.Array:
+        sizes = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+        before = lambda n: np.cumsum(n) - n
+        of_doc, of_row, inner, each = sizes(found), sizes(rows), found.flatten(), rows.flatten()
+        words, ends = flat(inner.flatten()), np.append(0, np.cumsum(sizes(inner)))
+        docs = np.arange(len(of_doc))
+        doc = np.repeat(docs, of_row)
+        start = before(of_doc)[doc] + flat(pc.struct_field(each, "start"))
+        low = ends[start]
+        n = ends[start + flat(pc.struct_field(each, "len"))] - low
+        q = np.bincount(np.repeat(docs, sizes(asked)) * buckets + flat(asked.flatten()), minlength=len(docs) * buckets).reshape(-1, buckets)
+        score = np.zeros(len(doc))
+        block = np.cumsum(n + buckets) // BLOCK
+        edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(doc)).tolist()
+        for i, j in zip(edges, edges[1:], strict=False):
+            m = n[i:j]
+            at = np.repeat(low[i:j] - before(m), m) + np.arange(m.sum())
+            h = np.bincount(np.repeat(np.arange(j - i), m) * buckets + words[at], minlength=(j - i) * buckets).reshape(-1, buckets)
+            square = (h * h).sum(axis=1)
+            score[i:j] = (h * q[doc[i:j]]).sum(axis=1) / np.sqrt(np.maximum(square, 1))
+        number = np.arange(len(doc)) - before(of_row)[doc]
+        order = np.lexsort((-number, -score, doc))
+        order = order[number < k]  # rows stay with their documents, so places in the order are numbers too
+        offsets = np.append(0, np.cumsum(np.minimum(of_row, k))).astype(np.int32)
+        hits = pa.StructArray.from_arrays([pa.array(score[order]), pa.array(number[order].astype(np.int32))], names=["score", "row_idx"])
+        return pa.ListArray.from_arrays(pa.array(offsets), hits)
+
+    return best
 
 
 def search(docs: DataFrame, sentences: str, question: str, k: int, granularities: tuple[int, ...] = GRANULARITIES) -> DataFrame:
     """Add ``hits``: the k best rows of each document's store for its question, as (rank, score, row_idx, granularity, start, len)."""
+    ship(docs.sparkSession)
     s = F.col(sentences)
-    asked = histogram(F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS)))
-    store = F.struct(sentence_buckets(s).alias("b"), store_rows(s, granularities).alias("rows"), asked.alias("q"))
+    rows = store_rows(s, granularities)
+    found = ranker(k)(sentence_buckets(s), rows, F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS)))
 
-    def best(v: Column) -> Column:
-        scores = F.transform(v["rows"], lambda r: score(F.flatten(F.slice(v["b"], r["start"] + 1, r["len"])), v["q"]))
+    def named(v: Column) -> Column:
         hit = lambda h, i: F.struct(
             (i + 1).alias("rank"), h["score"].alias("score"), h["row_idx"].alias("row_idx"), v["rows"][h["row_idx"]]["granularity"].alias("granularity"),
             v["rows"][h["row_idx"]]["start"].alias("start"), v["rows"][h["row_idx"]]["len"].alias("len"),
         )
-        return F.transform(top_rows(scores, k), hit)
+        return F.transform(v["best"], hit)
 
-    return docs.withColumn("hits", T.let(store, best))
+    return docs.withColumn("hits", found).withColumn("hits", T.let(F.struct(F.col("hits").alias("best"), rows.alias("rows")), named))
 
 
 def assemble(sentences: Column, ids: Column) -> Column:

@@ -256,3 +256,39 @@ def test_merge_first_wins(spark):
 def test_select_covering(spark):
     hits = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(s).alias("score"), F.lit(a).alias("start"), F.lit(n).alias("len")) for r, s, a, n in [(1, 1.0, 0, 2), (2, 0.9, 0, 2), (3, 0.5, 5, 2)]])
     assert one(spark, R.select_covering(hits, 2)) == [1, 3]
+
+
+def test_search_against_brute_force(spark, monkeypatch):
+    """Null, empty, long and tied documents, also where histograms are made in many blocks."""
+    import hashlib
+
+    texts = [None, [], ["only one"], ["same words", "same words", "other thing"], ["", "x"], [f"w{i % 7} w{i % 3} tail" for i in range(300)], ["long " * 3000, "w1 w2"]]
+    rows = [(i, t, q) for i, t in enumerate(texts) for q in ("same w1 long", "", None)]
+    d = spark.createDataFrame(rows, "i int, s array<string>, q string")
+
+    def histogram(words):
+        h = [0] * R.BUCKETS
+        for w in words:
+            h[int(hashlib.md5(w.lower().encode()).hexdigest()[:4], 16) % R.BUCKETS] += 1
+        return h
+
+    def want(s, q, k):
+        n = len(s or [])
+        spans = [(1, i, 1) for i in range(n)]
+        for g, step in ((2, 1), (4, 2)):
+            if n >= g:
+                starts = list(range(0, n - g + 1, step))
+                spans += [(g, a, g) for a in starts + ([n - g] if starts[-1] != n - g else [])]
+        spans += [(1, 0, 1)] if n == 1 else []
+        asked, scored = histogram((q or "").split()), []
+        for r, (g, a, m) in enumerate(spans):
+            h = histogram(" ".join(s[a : a + m]).split())
+            square = sum(x * x for x in h)
+            scored.append((sum(x * y for x, y in zip(h, asked, strict=True)) / square**0.5 if square else 0.0, r, g, a, m))
+        return [(i + 1, *x) for i, x in enumerate(sorted(scored, reverse=True)[:k])]
+
+    for block in (64, R.BLOCK):
+        monkeypatch.setattr(R, "BLOCK", block)
+        for r in R.search(d, "s", "q", 5).collect():
+            assert [tuple(h) for h in r["hits"]] == want(r["s"], r["q"], 5), (block, r["i"])
+    assert R.search(d.limit(0), "s", "q", 5).count() == 0
