@@ -35,6 +35,8 @@ WEIGHTS, MOST, BLOCK = (1, 2, 3), 3, 256
 NEAR, TURNS = 0.01, 64
 #: A mass nearer to 0 or 1 than this counts as decided.
 EPS = 1e-9
+#: Keys that the rows of one source are dealt over where they are joined to what is known of it.
+SALTS = 256
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -101,6 +103,13 @@ def _filled(sql: str, **more: str) -> str:
     return sql.format(eps=f"{EPS:.12f}D", turns=TURNS, **sets, **more)
 
 
+def with_source(d: DataFrame, small: DataFrame) -> DataFrame:
+    """Rows with what ``small`` has of their source, one row for each ``_s``; a source's rows are dealt over ``SALTS`` keys, so that a hot one isn't one task's."""
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    d = d.withColumn("_dealt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)))
+    return d.join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_dealt") == F.col("_salt"))).drop("_dealt", "_salt")
+
+
 def round_copies(units: DataFrame, seed: int = 0) -> DataFrame:
     """From (source, doc_id, size, m, fraction) to the copies of each unit: m rows, ``sure`` for every row and ``extra`` for the unit.
 
@@ -112,7 +121,7 @@ def round_copies(units: DataFrame, seed: int = 0) -> DataFrame:
     counts = units.groupBy("source").agg(F.count("*").alias("_n"), (F.sum(F.col("m") * F.col("size") * F.col("fraction")) * NEAR).alias("near"))
     counts = cut(counts)
     most = counts.agg(F.max("_n")).first()[0] or 0
-    d = d.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    d = with_source(d, counts.withColumnRenamed("source", "_s")).drop("_s")
     d = d.withColumn("blocks", F.ceil(F.col("_n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")))
     settled = F.when(F.col("p") <= EPS, F.lit(0)).cast("bigint")
     d = d.select("source", "blocks", "block", "near", F.struct("size", "doc_id", "m", "sure", "p", settled.alias("extra"), (F.col("p") > EPS).alias("open")).cast(unit).alias("u"), "_whole")
@@ -141,7 +150,7 @@ def plan(sized: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     t = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")))
     t = cut(t.withColumnRenamed("source", "_s"))
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    d = units.join(t, F.col("source").eqNullSafe(F.col("_s"))).select("source", "doc_id", "size", "m", share.alias("fraction"))
+    d = with_source(units, t).select("source", "doc_id", "size", "m", share.alias("fraction"))
     return round_copies(d, seed), t
 
 
@@ -152,7 +161,7 @@ _AT_ONCE = 10_000
 def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     """From rows (doc_id, source, size) to rows (doc_id, source, size, source_size, target, copies), one for each row given."""
     copies, t = plan(sized, seed)
-    d = copies.join(t, F.col("source").eqNullSafe(F.col("_s")))
+    d = with_source(copies, t)
     d = d.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / _AT_ONCE))))
     d = d.withColumn("_j", F.explode(F.sequence(F.col("_k") * _AT_ONCE + 1, F.least((F.col("_k") + 1) * _AT_ONCE, F.col("m")))))
     each = F.floor(F.col("copies") / F.col("m")) + F.when(F.col("_j") <= F.col("copies") % F.col("m"), 1).otherwise(0)

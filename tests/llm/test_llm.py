@@ -132,6 +132,16 @@ def test_mixing(spark, size, bound):
     assert all(abs(off[s]) <= bound or abs(taken[s] - want[s]) <= least[s] / 2 for s in sizes), off
 
 
+def test_mixing_hot_source(spark):
+    """Rows of one source meet what is known of it under many keys, each row once, also those of null sources and ids."""
+    d = spark.createDataFrame([(i, "a", 10) for i in range(3000)] + [(None, None, 5), (1, "b", 0)], "doc_id long, source string, size long")
+    small = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("c", 4)], "_s string, v int")
+    got = mixing.with_source(d, small).collect()
+    assert len(got) == 3002 and all(r["v"] == {"a": 1, None: 2, "b": 3}[r["source"]] for r in got)
+    keys = d.where("source = 'a'").select(F.pmod(F.xxhash64("doc_id", "size"), F.lit(mixing.SALTS)).alias("k")).groupBy("k").count().collect()
+    assert len(keys) == mixing.SALTS and max(r["count"] for r in keys) < 50
+
+
 def test_mixing_repeated_rows(spark, monkeypatch):
     """Equal rows, more than are written out at once, share their copies evenly, and the stage numbers them by text."""
     monkeypatch.setattr(mixing, "_AT_ONCE", 7)
