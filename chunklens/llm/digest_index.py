@@ -60,11 +60,12 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, rows: DataFrame) -> None:
-        """Append the texts of rows (digest, id, batch, place) that the index hasn't; of equal ones the row with the greatest id."""
-        own = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.max("batch").alias("batch"), F.coalesce(F.max_by("place", "id"), F.max("place")).alias("place"))
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """Append the texts of rows (digest, id, place) that the index hasn't; of equal ones the row with the greatest id."""
+        own = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.coalesce(F.max_by("place", "id"), F.max("place")).alias("place")).withColumn("batch", F.lit(batch))
+        # written, since the optimiser would else put the join before the aggregation, and a text that many rows share in one task;
         # the hint keeps the join to sorted partitions: a hash table or a broadcast would grow with the index
-        new = own.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
+        new = cut(own).join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
         new.select("digest", "keep_id", "batch", "place").repartition(self.buckets, "digest").write.insertInto(self.name)
 
     def compact(self) -> None:
@@ -99,29 +100,27 @@ def verdicts(rows: DataFrame, index: DigestIndex, *carry: str) -> DataFrame:
 
 def keep_new(docs: DataFrame, index: DigestIndex, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents whose text the index hadn't, one of each group, whole; their texts are in the index then."""
-    d = fingerprints(docs, text, doc_id).withColumn("batch", F.lit(uuid.uuid4().hex))
-    index.add(d)
-    mine = index.entries().select("batch", "place")
-    return d.join(mine, ["batch", "place"], "left_semi").select("row.*")
+    d, batch = fingerprints(docs, text, doc_id), uuid.uuid4().hex
+    index.add(d, batch)
+    return d.join(index.entries().where(F.col("batch") == batch).select("place"), "place", "left_semi").select("row.*")
 
 
-def in_batches(rows: DataFrame, *first: Column) -> DataFrame:
-    """Add ``batch``: rows for which the first condition holds come first, and so on; a new name for each call."""
-    name, out = uuid.uuid4().hex, F.lit(len(first))
+def add_in_turn(index: DigestIndex, rows: DataFrame, *first: Column) -> DataFrame:
+    """Add rows (digest, id, place) in batches: those for which the first condition holds come first, and so on. Returns them with ``batch``."""
+    name, step = uuid.uuid4().hex, F.lit(len(first))
     for k in reversed(range(len(first))):
-        out = F.when(first[k], F.lit(k)).otherwise(out)
-    return rows.withColumn("step", out).withColumn("batch", F.concat(F.lit(f"{name}-"), F.col("step").cast("string")))
+        step = F.when(first[k], F.lit(k)).otherwise(step)
+    for k in range(len(first) + 1):
+        index.add(rows.where(step == k), f"{name}-{k}")
+    return rows.withColumn("batch", F.concat(F.lit(f"{name}-"), step.cast("string")))
 
 
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in two batches, the half with the greater ids first, against a new index; the row with the largest id stays."""
     d = fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
     middle = d.agg(F.percentile_approx("id", 0.5)).first()[0]
-    d = in_batches(d, F.col("id") >= (0 if middle is None else middle))
     index = DigestIndex(spark, f"{ensure_checkpoint_dir(spark)}/digests-{uuid.uuid4().hex}")
-    for k in range(2):
-        index.add(d.where(F.col("step") == k))
-    return verdicts(d, index).withColumnRenamed("id", "doc_id")
+    return verdicts(add_in_turn(index, d, F.col("id") >= (0 if middle is None else middle)), index).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op12_exact_dedup": op12_exact_dedup}

@@ -107,10 +107,8 @@ TEXTS = [
 def verdict(spark, rows, parts=1):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     p = digest_index.fingerprints(d.withColumn("digest", F.lit(1)).withColumn("place", F.lit("x")))
-    p = digest_index.in_batches(p, *([F.col("id") > 3] if parts > 1 else []))
     index = DigestIndex(spark, tempfile.mkdtemp(prefix="digests-"))
-    for k in range(parts):
-        index.add(p.where(F.col("step") == k))
+    p = digest_index.add_in_turn(index, p, *([F.col("id") > 3] if parts > 1 else []))
     return [tuple(r) for r in digest_index.verdicts(p, index).select("id", "keep_id", "group_size", "kept", "text_sha256").collect()]
 
 
