@@ -5,7 +5,9 @@ A document is one row, so a task holds one at a time; models come as functions a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,68 +44,166 @@ def loss_chunks(parts: list[str], model: LossModel = word_lengths, threshold: fl
     return [parts[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
 
+class ContextModel(Protocol):
+    """A loss model that reads on from earlier tokens."""
+
+    def tokens(self, part: str) -> list[str]: ...
+
+    def losses(self, context: list[str], batch: list[str]) -> list[float]:
+        """The loss of each token of a batch after the context."""
+
+
+class WordLengths:
+    """Default: a word is a token, and its loss its length, whatever stood before."""
+
+    def tokens(self, part: str) -> list[str]:
+        return part.split()
+
+    def losses(self, context: list[str], batch: list[str]) -> list[float]:
+        return [float(len(w)) for w in batch]
+
+
+def batched_losses(parts: list[str], model: ContextModel, batch: int = 4096, most: int = 9000) -> tuple[list[int], list[float]]:
+    """Tokens of each part, and the loss of every token but the first of all, worked out in batches of tokens.
+
+    Batches don't mind where parts end. Each is read after the tokens before it; of these the oldest are dropped so that
+    context and batch are ``most`` tokens together, so the work for a text grows with its length and no faster.
+    """
+    words = [model.tokens(p) for p in parts]
+    flat = [w for own in words for w in own]
+    losses: list[float] = []
+    context: list[str] = []
+    for at in range(0, len(flat), batch):
+        now = flat[at : at + batch]
+        context = context[max(0, len(context) + len(now) - most) :]
+        losses += model.losses(context, now)
+        context += now
+    return [len(w) for w in words], losses[1:]
+
+
+def long_loss_chunks(parts: list[str], model: ContextModel | None = None, threshold: float = 0.5, batch: int = 4096, most: int = 9000) -> list[list[str]]:
+    """As ``loss_chunks`` for texts that a model can't read at once."""
+    return loss_chunks(parts, lambda p: batched_losses(p, model or WordLengths(), batch, most), threshold)
+
+
+def merged_chunks(chunks: list[str], target: int, words: bool = True) -> list[str]:
+    """Chunks joined while they stay within ``target`` words (by blanks) or characters (without).
+
+    It starts from an empty text: a first chunk above the target leaves it as the first result, and with words the
+    first result begins with a blank.
+    """
+    size, joint = (lambda x: len(x.split()), " ") if words else (len, "")
+    out, now, held = [], "", 0
+    for c in chunks:
+        n = size(c)
+        if held + n <= target:
+            now, held = now + joint + c, held + n
+        else:
+            out.append(now)
+            now, held = c, n
+    return [*out, now] if now else out
+
+
 def words_differ(a: str, b: str) -> bool:
     """Default decision: a chunk ends where the number of words changes by eight or more."""
     return abs(len(a.split()) - len(b.split())) >= 8
 
 
-def decided_chunks(parts: list[str], decide: Decision = words_differ, block: int = 4096) -> list[list[str]]:
-    """Parts grouped by decisions between neighbours. Where the model runs out of memory, blocks of about ``block`` words are done one by one, and those that still fail are left out, with all after them."""
+def plain_sentences(text: str) -> list[str]:
+    """Sentences as ``functions.text.sentences`` has them."""
+    return [x for x in (p.strip(" \t\n\r\f\v") for p in re.findall(r"[^.?!]+[.?!]*", text)) if x]
+
+
+def grouped(parts: list[str], decide: Decision) -> list[list[str]]:
+    """Parts grouped by decisions between neighbours."""
+    out = [parts[:1]] if parts else []
+    for a, b in zip(parts, parts[1:], strict=False):
+        if decide(a, b):
+            out.append([])
+        out[-1].append(b)
+    return out
+
+
+def out_of_memory(e: Exception) -> bool:
+    """Whether an error is Python's or a device's way to say that memory is short."""
+    return isinstance(e, MemoryError) or "out of memory" in str(e).lower()
 
-    def group(own: list[str]) -> list[list[str]]:
-        out = [own[:1]] if own else []
-        for a, b in zip(own, own[1:], strict=False):
-            if decide(a, b):
-                out.append([])
-            out[-1].append(b)
-        return out
 
+def decided_chunks(parts: list[str], decide: Decision = words_differ, block: int = 4096, split: Callable[[str], list[str]] = plain_sentences, joint: str = " ") -> list[tuple[str, bool]]:
+    """(chunk, lost) by decisions between neighbours.
+
+    Where the model runs out of memory, the text is cut anew: windows of ``block`` tokens, whatever sentences they cut through, are
+    split and done one by one. A window that fails again ends the work: it and all after it come out as they are, marked as lost.
+    Other errors go to the caller.
+    """
     try:
-        return group(parts)
-    except MemoryError:
-        out, own, size = [], [], 0
-        blocks = []
-        for p in parts:
-            n = len(p.split())
-            if own and size + n > block:
-                blocks.append(own)
-                own, size = [], 0
-            own, size = [*own, p], size + n
-        for b in [*blocks, own]:
-            try:
-                out += group(b)
-            except MemoryError:
-                break
-        return out
+        return [(joint.join(c), False) for c in grouped(parts, decide)]
+    except (MemoryError, RuntimeError) as e:
+        if not out_of_memory(e):
+            raise
+        tokens = joint.join(parts).split()
+    out: list[tuple[str, bool]] = []
+    windows = [" ".join(tokens[at : at + block]) for at in range(0, len(tokens), block)]
+    for k, w in enumerate(windows):
+        try:
+            out += [(joint.join(c), False) for c in grouped(split(w), decide)]
+        except (MemoryError, RuntimeError) as e:
+            if not out_of_memory(e):
+                raise
+            return out + [(x, True) for x in windows[k:]]
+    return out
 
 
 def clauses(text: str) -> list[str]:
     """Default propositions: what stands between marks."""
-    import re
-
     return [c for c in (x.strip(" \t\n\r\f\v") for x in re.split(r"[,;:.?!]+", text)) if c]
 
 
-def chunk_by(docs: DataFrame, key: str, column: str, chunker: Callable[[object], list[str]]) -> DataFrame:
-    """(key, chunk, chunk_text) of a Python chunker over a text or an array of parts; null gives no chunks."""
+def _rows(docs: DataFrame, key: str, column: str, chunker: Callable[[object], list[tuple]], added: dict[str, pa.DataType]) -> DataFrame:
+    """(key, chunk, added) of a Python chunker that gives a tuple for each chunk; null gives no chunks."""
     ship(docs.sparkSession)
+    names = [key, "chunk", *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, numbers, texts = [], [], []
-            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = chunker(v) if v is not None else []
-                ids += [k] * len(found)
-                numbers += range(len(found))
-                texts += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[key, "chunk", "chunk_text"])
+            rows = [(k, i, *c) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v is not None for i, c in enumerate(chunker(v))]
+            kinds = [b.schema.field(0).type, pa.int32(), *added.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    kinds = {pa.string(): "string", pa.bool_(): "boolean"}
+    return docs.select(key, column).mapInArrow(run, ", ".join([f"`{key}` {dict(docs.dtypes)[key]}, chunk int", *[f"`{c}` {kinds[t]}" for c, t in added.items()]]))
 
-    return docs.select(key, column).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, chunk int, chunk_text string")
+
+def chunk_by(docs: DataFrame, key: str, column: str, chunker: Callable[[object], list[str]]) -> DataFrame:
+    """(key, chunk, chunk_text) of a Python chunker over a text or an array of parts; null gives no chunks."""
+    return _rows(docs, key, column, lambda v: [(c,) for c in chunker(v)], {"chunk_text": pa.string()})
 
 
 def by_loss(docs: DataFrame, key: str, parts: str, model: LossModel = word_lengths, threshold: float = 0.5, joint: str = " ") -> DataFrame:
     return chunk_by(docs, key, parts, lambda p: [joint.join(c) for c in loss_chunks(p, model, threshold)])
 
 
-def by_decision(docs: DataFrame, key: str, parts: str, decide: Decision = words_differ, block: int = 4096, joint: str = " ") -> DataFrame:
-    return chunk_by(docs, key, parts, lambda p: [joint.join(c) for c in decided_chunks(p, decide, block)])
+def by_loss_of_any_length(
+    docs: DataFrame, key: str, parts: str, model: ContextModel | None = None, threshold: float = 0.5, short: int = 4096, batch: int = 4096, most: int = 9000, merge: int | None = None, words: bool = True
+) -> DataFrame:
+    """(key, chunk, chunk_text): texts of at most ``short`` words (or characters) are read at once, longer ones in batches with carried context;
+    ``merge`` joins chunks up to a size. Parts of a chunk are put together without blanks."""
+
+    def chunks(p: list[str]) -> list[str]:
+        size = sum(len(x.split()) if words else len(x) for x in p)
+        # a text that is short enough is one batch without limit
+        found = long_loss_chunks(p, model, threshold, batch if size > short else 1 << 62, most if size > short else 1 << 62)
+        texts = ["".join(c) for c in found]
+        return merged_chunks(texts, merge, words) if merge else texts
+
+    return chunk_by(docs, key, parts, chunks)
+
+
+def by_decision(docs: DataFrame, key: str, parts: str, decide: Decision = words_differ, block: int = 4096, joint: str = " ", split: Callable[[str], list[str]] = plain_sentences) -> DataFrame:
+    """(key, chunk, chunk_text, lost) by ``decided_chunks``."""
+    return chunk_rows(docs, key, parts, lambda p: decided_chunks(p, decide, block, split, joint))
+
+
+def chunk_rows(docs: DataFrame, key: str, column: str, chunker: Callable[[object], list[tuple[str, bool]]]) -> DataFrame:
+    """(key, chunk, chunk_text, lost) of a chunker that tells what it lost; a decision with a state of its own is made anew for each row there."""
+    return _rows(docs, key, column, chunker, {"chunk_text": pa.string(), "lost": pa.bool_()})

@@ -38,6 +38,21 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return d.join(F.broadcast(first), "_part").withColumn("pos", F.col("_before") + F.col("_in") - F.col("_first")).drop("_part", "_in", "_before", "_first")
 
 
+def prefix_counts(df: DataFrame, group: str, position: str, counted: Column, block: int = 1 << 16) -> DataFrame:
+    """Add ``upto``: the rows of the group that count, up to and with each position.
+
+    Positions of a group are numbered from 0 without gaps. They are counted in blocks, and blocks are counted beside them, so no
+    task has more than a block, or one number for each block of a group.
+    """
+    d = df.withColumn("_b", F.floor(F.col(position) / block)).withColumn("_c", counted.cast("long"))
+    blocks = d.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_own")).agg(F.sum("_c").alias("_n"))
+    before = F.sum("_n").over(W.Window.partitionBy("_g").orderBy("_own").rowsBetween(W.Window.unboundedPreceding, -1))
+    blocks = blocks.select("_g", "_own", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_c").over(W.Window.partitionBy(group, "_b").orderBy(position).rowsBetween(W.Window.unboundedPreceding, 0))
+    d = d.withColumn("_inside", inside).join(blocks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_own")))
+    return d.withColumn("upto", F.col("_before") + F.col("_inside")).drop("_b", "_c", "_g", "_own", "_before", "_inside")
+
+
 def first_wins(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
     """One row for each key, the first in an explicit order: a row of least order value, found by partial aggregation."""
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns])

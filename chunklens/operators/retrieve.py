@@ -16,6 +16,7 @@ from pyspark.sql import window as W
 
 from ..functions import text as T
 from ..session import ship
+from .embedding import word_buckets
 from .spans import GRANULARITIES, store_rows
 
 BUCKETS = 64
@@ -26,12 +27,7 @@ GAP = "..."
 
 def sentence_buckets(sentences: Column, buckets: int = BUCKETS) -> Column:
     """For each sentence the buckets of its words (hashed bag of words), with repeats."""
-    return F.transform(sentences, lambda s: F.transform(T.words(s), lambda w: T.bucket(w, buckets)))
-
-
-def histogram(found: Column, buckets: int = BUCKETS) -> Column:
-    """Counts of each bucket."""
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(found, lambda x: x == b)))
+    return word_buckets(buckets)(F.coalesce(sentences, F.array().cast("array<string>")))
 
 
 def ranker(k: int, buckets: int = BUCKETS):

@@ -1,6 +1,6 @@
 """Named queries over the tables of a data directory, with their SQL counterparts."""
 
-from . import studies  # noqa: F401  registers its queries
+from . import checks, learned, models, studies  # noqa: F401  register their queries
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,12 +12,13 @@ from pyspark.sql import window as W
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import boundaries as B
+from ..operators import embedding as EM
 from ..operators import etl as E
 from ..operators import evaluate as EV
 from ..operators import gates as G
 from ..operators import retrieve as R
 from ..operators import spans as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -380,8 +381,8 @@ SELECT n.doc_id, (1 + coalesce(c, 0))::INT AS n_chunks FROM n LEFT JOIN (SELECT
 def semantic_breakpoints(spark, sf):
     """Chunks per document when a chunk ends where the distance to the next sentence is above the median."""
     d = _docs(spark, sf).where(F.size("sentences") > 0)
-    d = d.withColumn("v", F.transform(R.sentence_buckets(F.col("sentences"), 16), lambda b: R.histogram(b, 16)))
-    d = d.withColumn("g", F.transform(V.cosine_distance_gaps(F.col("v")), lambda x: F.round(x, 9)))
+    ship(spark)
+    d = d.withColumn("g", EM.gaps(EM.hashed(16))(F.col("sentences")))
     return d.select("doc_id", (1 + F.size(F.filter(B.breakpoints(F.col("g")), lambda x: x))).alias("n_chunks"))
 
 

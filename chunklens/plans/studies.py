@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chunkers as C
+from ..operators import embedding as EM
 from ..operators import etl as E
 from ..operators import retrieve as R
 from ..operators import spans as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship
 from ..sources import readers, writers
 from .catalog import _DIM, _LOSS, _RAG, _SENT, _asked, _docs, _loss, _t, query
 
@@ -77,9 +78,8 @@ def question_answering(spark, sf):
 def vector_store(spark, sf):
     """Normalised vectors of sentences and of spans (the mean of theirs), built in the document's row."""
     d = _docs(spark, sf).where(F.size("sentences") > 0)
-    d = d.withColumn("v", F.transform(R.sentence_buckets(F.col("sentences")), lambda b: R.histogram(b))).withColumn("rows", S.store_rows(F.col("sentences")))
-    d = d.select("doc_id", "v", F.posexplode("rows").alias("row_idx", "p"))
-    d = d.select("doc_id", "row_idx", X.let(X.let(F.slice("v", F.col("p.start") + 1, F.col("p.len")), lambda s: V.pool(s, "mean")), V.clamp_normalize).alias("embedding"))
+    ship(spark)
+    d = d.select("doc_id", F.explode(EM.pooled(EM.hashed())(F.col("sentences"), S.store_rows(F.col("sentences")))).alias("embedding"))
     l1 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x))
     return d.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.round(F.sum(l1), 4).alias("l1"))
 

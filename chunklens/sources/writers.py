@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,10 +32,14 @@ def parts(df: DataFrame, path: str, block: str = "block") -> None:
 
 def replace(df: DataFrame, path: str) -> None:
     """Write beside the target, then move into its place; the old data go last."""
-    spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
+    publish(df.sparkSession, f"{path}.new", path)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a written folder into the place of the target; the old data go last."""
     jvm = spark.sparkContext._jvm
-    old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, f"{path}.old"))
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(gone):  # left by a run that broke off: the target is whole if it is there, else this is the last data
         if fs.exists(old):
