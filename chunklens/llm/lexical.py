@@ -57,6 +57,13 @@ def postings(ids: pa.Array, words: list[list[bytes]], documents: int, length: in
     return {"terms": code.dictionary.take(pa.array(sort)).cast(pa.string()), "first": first, "docs": doc, "impacts": impact, "ids": ids.take(pa.array(order))}
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(documents, length): documents with a term in a batch, and their terms."""
+    for b in batches:
+        sizes = [len(terms(t.as_py())) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, sizes))]), pa.array([sum(sizes)])], names=["documents", "length"])
+
+
 def _build(documents: int, length: int, shard: int):
     """Rows (id, text) to shards; a shard is closed as soon as it has ``shard`` terms."""
 
@@ -91,11 +98,12 @@ def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard: in
     """The written index of a corpus, and how many documents it has."""
     ship(docs.sparkSession)
     t = F.col(f"`{text}`")
-    count = docs.select(F.regexp_count(t, F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
     kind = dict(docs.dtypes)[doc_id]
     schema = f"terms array<string>, first binary, docs binary, impacts binary, ids array<{kind}>"
     d = docs.where(t.isNotNull()).select(F.col(f"`{doc_id}`"), t.cast("binary"))
-    return cut(d.mapInArrow(_build(count[0], count[1] or 1, shard), schema)), count[0]
+    total = d.mapInArrow(_totals, "documents long, length long").agg(F.sum("documents"), F.sum("length")).first()
+    documents, length = (x or 0 for x in total)
+    return cut(d.mapInArrow(_build(documents, length or 1, shard), schema)), documents
 
 
 def _found(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
