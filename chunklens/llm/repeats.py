@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.etl import numbered
 from ..session import ship
 from .common import input_bytes
 
@@ -397,8 +398,8 @@ def _judge(kind: Kind, index: Index, keep_first: bool, tokens_at_once: int, tabl
     for e, gi in zip(order, group, strict=True):
         first = lead[gi]
         whole = number[gi] > 1 if not keep_first else e != first or a["number"][e] > 1
-        if not keep_first and whole and not flags[gi].all():
-            raise AssertionError("copies of a run must repeat")
+        if not keep_first and not flags[gi].all():
+            whole = False  # runs that only share a hash: what the index found counts
         if whole:
             r = reply(bid[e])
             r["full"].append(a["content"][e])
@@ -470,8 +471,12 @@ def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, ke
     rest = [c for c in df.columns if c not in (text, *schema)]
     d = df.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest") if rest else F.lit(0).alias("__rest"),
-        F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("binary").alias("__text"),
+        F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("binary").alias("__text"),
     )
+    if dict(d.dtypes)["__id"] not in ("tinyint", "smallint", "int", "bigint"):  # other ids by their rank
+        ranks = numbered(d.where("__id is not null").select(F.col("__id").alias("__known")).distinct(), "__known")
+        d = d.join(ranks, F.col("__id") == F.col("__known"), "left").withColumn("__id", F.col("pos")).drop("__known", "pos")
+    d = d.withColumn("__id", F.col("__id").cast("long"))
     size = input_bytes(df, text)
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     d = d.withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)))

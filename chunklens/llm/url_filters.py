@@ -45,11 +45,16 @@ HISTORIES = {
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """From (key, action, day) to (key, since, until): half-open validity of each ``add``; until is null while it lasts."""
+    """From (key, action, day) to (key, since, until): half-open validity of each ``add``; until is null while it lasts.
+
+    Keys are one if they differ only in case, or in a dot or port after the host.
+    """
     w = W.Window.partitionBy("key").orderBy("day", "action")
-    d = entries.where(F.col("key").isNotNull() & F.col("day").isNotNull())
+    host = F.substring_index(F.lower("key"), "/", 1)
+    plain = F.concat(F.regexp_replace(host, r"\.?(:[0-9]*)?$", ""), F.substring(F.lower("key"), F.length(host) + 1, F.length("key")))
+    d = entries.where(F.col("key").isNotNull() & F.col("day").isNotNull()).withColumn("key", plain)
     d = d.withColumn("until", F.lead("day").over(w)).where(F.col("action") == "add")
-    return d.select(F.lower("key").alias("key"), F.col("day").alias("since"), "until").where("until IS NULL OR until > since").distinct()
+    return d.select("key", F.col("day").alias("since"), "until").where("until IS NULL OR until > since").distinct()
 
 
 def keys(url):

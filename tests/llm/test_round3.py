@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunklens.llm import digest_index, hard_negatives, lexical
+from chunklens.llm import digest_index, fm_index, hard_negatives, lexical, suffix_levels, url_filters
 from chunklens.llm.common import table
 from chunklens.llm.digest_index import DigestIndex
 
@@ -196,3 +196,26 @@ def test_ties_at_the_edge_go_by_id(spark):
 def test_terms_equal_the_pattern(spark, sf):
     for r in table(spark, sf, "documents").select("text").limit(50).collect():
         assert [w.decode() for w in lexical.terms(r["text"].encode())] == TERM.findall(r["text"].translate(LOW))
+
+
+# ---- earlier operators: keys and ids of any form ----
+
+
+def test_list_keys_differ_in_case_dot_and_port(spark):
+    rows = [("Example.com", "add", "2024-01-01"), ("example.COM.", "remove", "2024-02-01"), ("Example.com:80/Shop", "add", "2024-01-05"), ("example.com/shop", "add", "2024-01-05"), ("example.com/shop", "remove", "2024-03-01")]
+    listed = spark.createDataFrame(rows, "key string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    got = sorted((r["key"], str(r["since"]), str(r["until"])) for r in url_filters.intervals(listed).collect())
+    assert got == [("example.com", "2024-01-01", "2024-02-01"), ("example.com/shop", "2024-01-05", "2024-03-01")]
+    d = spark.createDataFrame([("http://EXAMPLE.com/", "2024-06-01"), ("http://example.com/shop/a", "2024-02-10")], "url string, fetched string").withColumn("fetched", F.col("fetched").cast("date"))
+    assert [(r["allowed"], r["n_active"]) for r in url_filters.filter_urls(d, listed).orderBy("url").collect()] == [(True, 0), (False, 1)]
+
+
+@pytest.mark.parametrize("dedup", [fm_index.dedup, suffix_levels.dedup])
+def test_ids_that_are_no_numbers(spark, dedup):
+    passage = " ".join(f"w{i}" for i in range(50))
+    texts = [f"one {passage} end", f"two {passage} more", passage, None, "short", f"{passage} {passage}"]
+    named = spark.createDataFrame([(f"doc {chr(97 + i)}", t) for i, t in enumerate(texts)] + [(None, "no id")], "doc_id string, text string")
+    plain = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "no id")], "doc_id long, text string")
+    what = lambda d: [(r["n_removed"], r["kept_sha256"]) for r in dedup(d).orderBy("doc_id").collect()]
+    assert what(named) == what(plain)
+    assert sum(n for n, _ in what(named)) > 0
