@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -132,30 +133,72 @@ def steepest_length_change(group: list[str]) -> int | None:
     return 1 + max(range(len(gaps)), key=lambda i: (gaps[i], -i))
 
 
+class Refused(Exception):
+    """A judge that won't look at a group of parts."""
+
+
+class Failed(Exception):
+    """A judge that couldn't be asked."""
+
+
 def judged_boundaries(parts: list[str], judge: Judge = steepest_length_change, budget: int = 550, tail: int = 5) -> list[int]:
     """Ends of chunks: from a pointer, parts are gathered up to a token budget, and a judge names the part where content shifts.
 
     Runs while the pointer is ``tail`` parts before the end. Parts are counted with the number that is shown before
     them (two words) and never gathered up to the last part of the text; the part that went over is left out unless
     it is the only one. The part that the judge names begins a chunk, and the pointer goes one past it. Without an answer
-    the pointer goes past the group, by one part at least, so that it always ends. The last chunk ends with the parts.
+    the pointer goes past the group, by one part at least, so that it always ends. If the judge refuses the group, the pointer
+    goes one part further still; if it fails, nothing more is asked. The last chunk ends with the parts.
     """
+    return judged(parts, judge, budget, tail)[0]
+
+
+def judged(parts: list[str], judge: Judge = steepest_length_change, budget: int = 550, tail: int = 5) -> tuple[list[int], int, bool]:
+    """As ``judged_boundaries``, with the number of groups refused and whether a failed call ended the work."""
     size = [len(p.split()) + 2 for p in parts]
-    at, ends = 0, []
+    at, ends, refused = 0, [], 0
     while at < len(parts) - tail:
         total = n = 0
         while total < budget and at + n < len(parts) - 1:
             total, n = total + size[at + n], n + 1
         shown = max(1, n - 1)
-        answer = judge(parts[at : at + shown])
+        try:
+            answer = judge(parts[at : at + shown])
+        except Refused:
+            at, refused = at + max(0, n - 1) + 1, refused + 1
+            continue
+        except Failed:
+            return [*ends, len(parts)], refused, True
         if answer is not None:
             ends.append(at + answer)
         at += shown if answer is None else answer + 1
-    return [*ends, len(parts)]
+    return [*ends, len(parts)], refused, False
+
+
+def asking_judge(ask: Callable[[str], tuple[str, str]], task: str = "") -> Judge:
+    """A judge that shows a model numbered parts and reads ``Answer: ID n`` from its reply.
+
+    ask: from a prompt to (status, reply), status being answered, refused, or anything else for a failed call. A number
+    that wasn't shown is no answer.
+    """
+
+    def judge(group: list[str]) -> int | None:
+        status, reply = ask(task + "\nDocument:\n" + "\n".join(f"ID {i}: {p}" for i, p in enumerate(group)))
+        if status == "refused":
+            raise Refused
+        if status != "answered":
+            raise Failed(reply)
+        named = re.search(r"Answer: ID \w*?(\d+)", reply)
+        return int(named[1]) if named and 0 <= int(named[1]) < len(group) else None
+
+    return judge
 
 
 def judged_chunks(docs: DataFrame, key: str, parts: str, judge: Judge = steepest_length_change, budget: int = 550) -> DataFrame:
-    """(key, chunk, start, chunk_text) by ``judged_boundaries``; each document is one row, so tasks hold one at a time."""
+    """(key, chunk, start, chunk_text, refused, failed) by ``judged``; each document is one row, so tasks hold one at a time.
+
+    ``refused`` is the number of groups of the document that the judge refused, ``failed`` whether a failed call left its end in one chunk.
+    """
     import pyarrow as pa
 
     from ..session import ship
@@ -167,10 +210,9 @@ def judged_chunks(docs: DataFrame, key: str, parts: str, judge: Judge = steepest
         for b in batches:
             rows = []
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ends = judged_boundaries(p or [], judge, budget)
-                rows += [(k, i, s, "\n".join((p or [])[s:e])) for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "chunk", "start", "chunk_text"])
+                ends, refused, failed = judged(p or [], judge, budget)
+                rows += [(k, i, s, "\n".join((p or [])[s:e]), refused, failed) for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "chunk", "start", "chunk_text", "refused", "failed"])
 
-    return docs.select(key, parts).mapInArrow(run, f"`{key}` {kind}, chunk int, start int, chunk_text string")
+    return docs.select(key, parts).mapInArrow(run, f"`{key}` {kind}, chunk int, start int, chunk_text string, refused int, failed boolean")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .etl import first_wins
+
 
 def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(100.0 * part, whole.cast("double")), F.lit(0.0))
@@ -29,6 +31,13 @@ def with_domain(records: DataFrame, questions: DataFrame, key: str, domain: str
     return records.drop(domain).join(questions.select(key, domain), key, "left").withColumn(domain, F.coalesce(domain, F.lit(unknown)))
 
 
+def first_answers(records: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """Records of ``readers.result_lines`` with their domain looked up; of several for one method, size, domain, cut-off and question the first counts,
+    in order of file names and lines."""
+    d = with_domain(records, questions, key)
+    return first_wins(d, ("method", "size", "domain", "topk", key), F.col("_file"), F.col("_path"), F.col("_line"))
+
+
 def mean_and_deviation(runs: DataFrame, *keys: str, value: str = "acc_pct") -> DataFrame:
     """Mean and sample deviation over runs; 0 for one run."""
     return runs.groupBy(*keys).agg(

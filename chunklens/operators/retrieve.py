@@ -30,6 +30,40 @@ def sentence_buckets(sentences: Column, buckets: int = BUCKETS) -> Column:
     return word_buckets(buckets)(F.coalesce(sentences, F.array().cast("array<string>")))
 
 
+def _sizes(x: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _flat(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _before(n: np.ndarray) -> np.ndarray:
+    return np.cumsum(n) - n
+
+
+def _scores(found: pa.Array, rows: pa.Array, asked: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the store rows of all documents of a batch: number of the document, number in its store, score."""
+    of_doc, of_row, inner, each = _sizes(found), _sizes(rows), found.flatten(), rows.flatten()
+    words, ends = _flat(inner.flatten()), np.append(0, np.cumsum(_sizes(inner)))
+    docs = np.arange(len(of_doc))
+    doc = np.repeat(docs, of_row)
+    start = _before(of_doc)[doc] + _flat(pc.struct_field(each, "start"))
+    low = ends[start]
+    n = ends[start + _flat(pc.struct_field(each, "len"))] - low
+    q = np.bincount(np.repeat(docs, _sizes(asked)) * buckets + _flat(asked.flatten()), minlength=len(docs) * buckets).reshape(-1, buckets)
+    score = np.zeros(len(doc))
+    block = np.cumsum(n + buckets) // BLOCK
+    edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(doc)).tolist()
+    for i, j in zip(edges, edges[1:], strict=False):
+        m = n[i:j]
+        at = np.repeat(low[i:j] - _before(m), m) + np.arange(m.sum())
+        h = np.bincount(np.repeat(np.arange(j - i), m) * buckets + words[at], minlength=(j - i) * buckets).reshape(-1, buckets)
+        square = (h * h).sum(axis=1)
+        score[i:j] = (h * q[doc[i:j]]).sum(axis=1) / np.sqrt(np.maximum(square, 1))
+    return doc, np.arange(len(doc)) - _before(of_row)[doc], score
+
+
 def ranker(k: int, buckets: int = BUCKETS):
     """A batch function from (buckets of sentences, store rows, buckets of the question) to each document's k best rows.
 
@@ -41,36 +75,60 @@ def ranker(k: int, buckets: int = BUCKETS):
 
     @F.arrow_udf("array<struct<score:double,row_idx:int>>")
     def best(found: pa.Array, rows: pa.Array, asked: pa.Array) -> pa.Array:
-        sizes = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
-        before = lambda n: np.cumsum(n) - n
-        of_doc, of_row, inner, each = sizes(found), sizes(rows), found.flatten(), rows.flatten()
-        words, ends = flat(inner.flatten()), np.append(0, np.cumsum(sizes(inner)))
-        docs = np.arange(len(of_doc))
-        doc = np.repeat(docs, of_row)
-        start = before(of_doc)[doc] + flat(pc.struct_field(each, "start"))
-        low = ends[start]
-        n = ends[start + flat(pc.struct_field(each, "len"))] - low
-        q = np.bincount(np.repeat(docs, sizes(asked)) * buckets + flat(asked.flatten()), minlength=len(docs) * buckets).reshape(-1, buckets)
-        score = np.zeros(len(doc))
-        block = np.cumsum(n + buckets) // BLOCK
-        edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(doc)).tolist()
-        for i, j in zip(edges, edges[1:], strict=False):
-            m = n[i:j]
-            at = np.repeat(low[i:j] - before(m), m) + np.arange(m.sum())
-            h = np.bincount(np.repeat(np.arange(j - i), m) * buckets + words[at], minlength=(j - i) * buckets).reshape(-1, buckets)
-            square = (h * h).sum(axis=1)
-            score[i:j] = (h * q[doc[i:j]]).sum(axis=1) / np.sqrt(np.maximum(square, 1))
-        number = np.arange(len(doc)) - before(of_row)[doc]
+        doc, number, score = _scores(found, rows, asked, buckets)
         order = np.lexsort((-number, -score, doc))
         order = order[number < k]  # rows stay with their documents, so places in the order are numbers too
-        offsets = np.append(0, np.cumsum(np.minimum(of_row, k))).astype(np.int32)
+        offsets = np.append(0, np.cumsum(np.minimum(_sizes(rows), k))).astype(np.int32)
         hits = pa.StructArray.from_arrays([pa.array(score[order]), pa.array(number[order].astype(np.int32))], names=["score", "row_idx"])
         return pa.ListArray.from_arrays(pa.array(offsets), hits)
 
     return best
 
 
+def subset_ranker(k: int, granularities: tuple[int, ...], buckets: int = BUCKETS):
+    """As ``ranker``, with the k best of each set of granularities, from one pass of scores: (subset, rank, score, row_idx).
+
+    A set is a bit mask: bit 0 for sentences, bit i for the i-th granularity; the span that stands for a short document counts as the first.
+    """
+    bit = {g: 2 << i for i, g in enumerate(granularities)}
+
+    @F.arrow_udf("array<struct<subset:int,rank:int,score:double,row_idx:int>>")
+    def best(found: pa.Array, rows: pa.Array, asked: pa.Array) -> pa.Array:
+        doc, number, score = _scores(found, rows, asked, buckets)
+        g, n = _flat(pc.struct_field(rows.flatten(), "granularity")), _sizes(found)[doc]
+        own = np.full(len(doc), 2)
+        for size, b in bit.items():
+            own[g == size] = b
+        own[number < n] = 1
+        order = np.lexsort((-number, -score, doc))
+        parts = []
+        for mask in range(1, 2 << len(bit)):
+            pick = order[(own[order] & mask) > 0]
+            first = np.flatnonzero(np.diff(doc[pick], prepend=-1))
+            rank = np.arange(len(pick)) - np.repeat(first, np.diff(np.append(first, len(pick))))
+            pick, rank = pick[rank < k], rank[rank < k]
+            parts.append((np.full(len(pick), mask), rank + 1, pick))
+        mask, rank, pick = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((rank, mask, doc[pick]))
+        mask, rank, pick = mask[by], rank[by], pick[by]
+        hits = [pa.array(mask, pa.int32()), pa.array(rank, pa.int32()), pa.array(score[pick]), pa.array(number[pick], pa.int32())]
+        offsets = np.append(0, np.cumsum(np.bincount(doc[pick], minlength=len(rows)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(hits, names=["subset", "rank", "score", "row_idx"]))
+
+    return best
+
+
+def ablation(docs: DataFrame, sentences: str, question: str, k: int, granularities: tuple[int, ...] = GRANULARITIES) -> DataFrame:
+    """One row for each document, set of granularities and hit: the columns of ``docs`` with subset, rank, score, row_idx, start, len."""
+    ship(docs.sparkSession)
+    s = F.col(sentences)
+    rows = store_rows(s, granularities)
+    asked = F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS))
+    d = docs.withColumn("_rows", rows).withColumn("_h", subset_ranker(k, granularities)(sentence_buckets(s), rows, asked))
+    d = d.withColumn("_h", F.explode("_h")).withColumn("_r", F.col("_rows")[F.col("_h.row_idx")])
+    return d.select(*docs.columns, "_h.subset", "_h.rank", "_h.score", "_h.row_idx", "_r.start", "_r.len")
+
+
 def search(docs: DataFrame, sentences: str, question: str, k: int, granularities: tuple[int, ...] = GRANULARITIES) -> DataFrame:
     """Add ``hits``: the k best rows of each document's store for its question, as (rank, score, row_idx, granularity, start, len)."""
     ship(docs.sparkSession)

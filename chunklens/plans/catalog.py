@@ -284,6 +284,18 @@ def redundancy_dispersion(spark, sf):
     return d.select("doc_id", F.round(R.redundancy(F.col("hits")), 6).alias("redundancy"), R.dispersion(F.col("hits")).alias("dispersion"))
 
 
+@query(f"""{_RAG}, sets AS (SELECT unnest(range(1, 8))::INT AS subset),
+bits AS (SELECT r.*, CASE WHEN row_idx < n.n THEN 1 WHEN len = 4 AND n.n >= 2 THEN 4 ELSE 2 END AS bit FROM ranked AS r JOIN n USING (doc_id)),
+best AS (SELECT doc_id, subset, row_idx, start, len, score, row_number() OVER (PARTITION BY doc_id, subset ORDER BY score DESC, row_idx DESC) AS rank FROM bits, sets WHERE bit & subset > 0)
+SELECT doc_id, subset, count(*) AS n_hits, string_agg(row_idx::VARCHAR, ',' ORDER BY rank) AS hits, round(max(score), 6) AS best, round(sum(score), 6) AS total FROM best WHERE rank <= 5 GROUP BY doc_id, subset""")
+def granularity_ablation(spark, sf):
+    """The five best rows of each document's store under each menu of sentences and spans."""
+    d = R.ablation(_asked(spark, sf).select("doc_id", "sentences", "question"), "sentences", "question", 5)
+    row = F.array_sort(F.collect_list(F.struct("rank", "row_idx")))
+    d = d.groupBy("doc_id", "subset").agg(F.count("*").alias("n_hits"), F.transform(row, lambda x: x["row_idx"].cast("string")).alias("h"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 6).alias("total"))
+    return d.select("doc_id", "subset", "n_hits", F.array_join("h", ",").alias("hits"), "best", "total")
+
+
 @query(f"""WITH RECURSIVE {_RAG.removeprefix("WITH ").replace("rank <= 5", "rank <= 10")},
 h AS (SELECT doc_id, list({{'rank': rank, 'score': score, 'ids': range(start, start + len), 'len': len}} ORDER BY rank) AS hits FROM hit GROUP BY doc_id),
 s AS (SELECT doc_id, hits, 0 AS it, CAST([] AS INT[]) AS chosen, CAST([] AS BIGINT[]) AS seen FROM h UNION ALL

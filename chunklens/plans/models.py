@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
+from ..operators import ask as Q
 from ..operators import attention as A
+from ..operators import boundaries as B
 from ..operators import chunkers as C
 from ..operators import spans as S
 from ..session import ship
@@ -82,3 +86,57 @@ def span_attention(spark, sf):
     d = _t(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 12).alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("v"))
     d = d.select("doc_id", F.posexplode(A.attended(F.col("v"), S.spans(F.size("v")))).alias("span_id", "y"))
     return d.select("doc_id", "span_id", F.round(F.aggregate("y", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("l1"), F.round(F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x), 6).alias("sq"))
+
+
+def moody_judge(group: list[str]) -> int | None:
+    """The default judge, which refuses and fails by the length of a group's first part."""
+    if len(group[0]) % 31 == 0:
+        raise B.Failed("no reply")
+    if len(group[0]) % 7 == 0:
+        raise B.Refused
+    return B.steepest_length_change(group)
+
+
+@query(rf"""WITH RECURSIVE {_SENT}, c AS (SELECT sent.doc_id, sent_id, sentence, n, sum(len(regexp_extract_all(sentence, '\S+')) + 2) OVER w AS upto, abs(length(sentence) - lag(length(sentence)) OVER w) AS gap
+  FROM sent JOIN n USING (doc_id) WINDOW w AS (PARTITION BY sent.doc_id ORDER BY sent_id)),
+g0 AS (SELECT a.doc_id, a.sent_id AS spot, any_value(length(a.sentence)) AS l, least(coalesce(min(b.sent_id) - a.sent_id + 1, a.n), a.n - 1 - a.sent_id) AS got
+  FROM (SELECT *, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY sent_id), 0) AS before FROM c) AS a LEFT JOIN c AS b ON a.doc_id = b.doc_id AND b.sent_id >= a.sent_id AND b.upto - a.before >= 550
+  WHERE a.sent_id < a.n - 5 GROUP BY a.doc_id, a.sent_id, a.n),
+g AS (SELECT *, greatest(1, got - 1) AS shown, CASE WHEN l % 31 = 0 THEN 'failed' WHEN l % 7 = 0 THEN 'refused' ELSE 'ok' END AS mode FROM g0),
+j AS MATERIALIZED (SELECT g.doc_id, spot, any_value(shown) AS shown, any_value(got) AS got, any_value(mode) AS mode, arg_max(sent_id, gap * 100000 - sent_id) AS answer FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND sent_id > spot AND sent_id < spot + shown GROUP BY g.doc_id, spot),
+r AS (SELECT doc_id, 0 AS spot, CAST(NULL AS INT) AS answer, 0 AS refused, false AS failed FROM n UNION ALL
+  SELECT r.doc_id, CASE mode WHEN 'failed' THEN 1 << 30 WHEN 'refused' THEN j.spot + greatest(0, got - 1) + 1 ELSE coalesce(j.answer + 1, j.spot + shown) END::INT, CASE WHEN mode = 'ok' THEN j.answer END,
+    r.refused + (mode = 'refused')::INT, mode = 'failed' FROM r JOIN j ON j.doc_id = r.doc_id AND j.spot = r.spot),
+f AS (SELECT doc_id, max(refused) AS refused, bool_or(failed) AS failed FROM r GROUP BY doc_id),
+e AS (SELECT doc_id, answer AS stop FROM r WHERE answer IS NOT NULL UNION ALL SELECT doc_id, n FROM n),
+k AS (SELECT doc_id, (row_number() OVER w - 1)::INT AS chunk, coalesce(lag(stop) OVER w, 0)::INT AS start FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY stop))
+SELECT k.doc_id, chunk, start, refused, failed FROM k JOIN f USING (doc_id)""")
+def judged_with_refusals(spark, sf):
+    """Chunks by the judge loop where the judge refuses some groups and can't be asked about others."""
+    d = B.judged_chunks(_docs(spark, sf).where(F.size("sentences") > 0), "doc_id", "sentences", moody_judge)
+    return d.select("doc_id", "chunk", "start", "refused", "failed")
+
+
+class MoodyModel:
+    """Replies with the end of a prompt, in three forms; refuses, fails or fails once by its last digit."""
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def chat(self, prompt: str) -> object:
+        end = prompt[-1]
+        if end == "0":
+            return Q.REFUSAL
+        if end == "1" or (end == "2" and prompt not in self.seen):
+            self.seen.add(prompt)
+            raise ValueError(prompt[-4:])
+        text = prompt[-8:]
+        return text if end in "abc" else [text, "more"] if end in "def" else SimpleNamespace(text=text)
+
+
+@query("""SELECT doc_id, CASE right(p, 1) WHEN '0' THEN 'refused' WHEN '1' THEN 'failed' ELSE 'answered' END AS status, CASE right(p, 1) WHEN '0' THEN 'content_flag_increment' WHEN '1' THEN 'ValueError: ' || right(p, 4) ELSE right(p, 8) END AS reply,
+  CASE right(p, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 ELSE 1 END::INT AS tries FROM (SELECT doc_id, md5(doc_id || ':' || text) AS p FROM documents)""")
+def model_answers(spark, sf):
+    """A prompt for each document to a model that refuses, fails and recovers."""
+    d = _t(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text")).alias("p"))
+    return Q.answers(d, "p", MoodyModel).select("doc_id", "status", "reply", "tries")

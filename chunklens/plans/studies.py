@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import chunkers as C
 from ..operators import embedding as EM
 from ..operators import etl as E
+from ..operators import evaluate as EV
 from ..operators import retrieve as R
 from ..operators import spans as S
 from ..session import ensure_checkpoint_dir, ship
@@ -139,6 +140,30 @@ def csv_report(spark, sf):
     return readers.csv_report(spark, at, "lang string, n long")
 
 
+_ANSWER = """a AS (SELECT 'raw_' || method || '_shard' || shard || '_rep1_20250102_030405.jsonl' AS f, * FROM (
+  SELECT l.doc_id, d.source AS method, d.lang, k AS topk, again, ((l.doc_id + again) % 3)::INT AS shard, (l.quality + again + k) % 2 = 0 AS is_correct, (l.doc_id % 10 + again) / 4.0 AS seconds
+  FROM labels AS l JOIN documents AS d USING (doc_id), (VALUES (5), (10)) AS t(k), (VALUES (0), (1), (3)) AS u(again)))"""
+
+
+@query(f"""WITH {_ANSWER}, r AS (SELECT *, row_number() OVER (PARTITION BY method, topk, doc_id ORDER BY f, again) AS n FROM a)
+SELECT method, coalesce(lang, 'unknown') AS domain, topk, count(*) FILTER (WHERE is_correct) AS correct, count(*) AS total, round(sum(seconds), 6) AS seconds FROM r WHERE n = 1 GROUP BY ALL""")
+def accuracy_first_wins(spark, sf):
+    """Each question answered three times, in two or three files of its method and twice in one of them: the first in order of files and lines counts.
+    Every second line of the files is blank or torn."""
+    at = _place(spark)
+    d = _t(spark, sf, "labels").join(_t(spark, sf, "documents").select("doc_id", F.col("source").alias("method"), "lang"), "doc_id")
+    d = d.withColumn("topk", F.explode(F.array(F.lit(5), F.lit(10)))).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))))
+    name = F.concat(F.lit("raw_"), "method", F.lit("_shard"), ((F.col("doc_id") + F.col("again")) % 3).cast("string"), F.lit("_rep1_20250102_030405.jsonl"))
+    record = F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("question_id"), "topk", ((F.col("quality") + F.col("again") + F.col("topk")) % 2 == 0).alias("is_correct"), ((F.col("doc_id") % 10 + F.col("again")) / 4.0).alias("total_sample_time")))
+    d = d.select(name.alias("_name"), "doc_id", "again", "topk", record.alias("value")).repartition("_name").sortWithinPartitions("_name", "doc_id", "again", "topk")
+    torn = F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.substring("value", 1, 20))
+    d.select("_name", F.explode(F.array("value", torn)).alias("value")).write.partitionBy("_name").text(at)
+    ids = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("question_id"), F.col("lang").alias("domain"))
+    r = EV.first_answers(readers.result_lines(spark, at), ids)
+    return r.groupBy("method", "domain", "topk").agg(F.count_if("is_correct").alias("correct"), F.count("*").alias("total"), F.round(F.sum("total_sample_time"), 6).alias("seconds"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 WHEN lang = 'en' THEN 1 ELSE 2 END AS src_prio FROM documents")
 def dataset_family(spark, sf):
     """A dataset, its shard and its gap fill, written as folders, found by name and merged with the first winning."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from ..functions.text import file_facts
+from ..session import cut
 
 #: Names under which a split may be stored.
 ALIASES = {"validation": ("validation", "val"), "val": ("val", "validation"), "train": ("train",), "test": ("test",)}
@@ -48,12 +50,40 @@ def json_log(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
     return d.select(*[F.col(f"_r.`{f.name}`") for f in schema.fields], "_file", "_line")
 
 
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(value, _path, _line): lines of text files with their numbers from 0, also where a file is read in several blocks.
+
+    Lines are written once with the block that they come from, and a block's number in its file is a sum over the counts
+    of the blocks before it, so no file is read by one task.
+    """
+    d = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    d = cut(d.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_in")))
+    blocks = d.groupBy("_path", "_block").agg(F.min("_in").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.Window.partitionBy("_path").orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1))
+    blocks = blocks.select("_path", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return d.join(blocks, ["_path", "_block"]).select("value", "_path", (F.col("_before") + F.col("_in") - F.col("_first")).alias("_line"))
+
+
+def result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``result_files``, with the place of each record: ``_file`` (its name), ``_path`` and ``_line``; blank and torn lines are left out but counted."""
+    d = numbered_lines(spark, path)
+    whole = T.StructType([*RESULT.fields, T.StructField("_corrupt", T.StringType())])
+    d = d.where(F.trim("value") != "").withColumn("_r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    d = d.where(F.col("_r").isNotNull() & F.col("_r._corrupt").isNull()).withColumn("_file", _result_name(F.col("_path")))
+    d = d.withColumn("_f", file_facts(F.col("_file"))).where("_f IS NOT NULL")
+    return d.select(*[F.col(f"_r.`{f.name}`") for f in RESULT.fields], "_f.method", "_f.size", "_f.shard", "_f.rep", "_f.at", "_file", "_path", "_line")
+
+
+def _result_name(path: Column) -> Column:
+    """Name of a result file, or of the folder that ``writers.result_files`` makes of one."""
+    return F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"(?:^|[/=])(raw_[^/]*\.jsonl)(?:/[^/]*)?$", 1)
+
+
 def result_files(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation records with method, size, shard, repeat and time from the names of their files, or of the folders that
     ``writers.result_files`` makes; files with other names are left out.
     """
-    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    d = spark.read.schema(RESULT).json(path).withColumn("_file", F.regexp_extract(place, r"(?:^|[/=])(raw_[^/]*\.jsonl)(?:/[^/]*)?$", 1))
+    d = spark.read.schema(RESULT).json(path).withColumn("_file", _result_name(F.col("_metadata.file_path")))
     d = d.withColumn("_f", file_facts(F.col("_file"))).where("_f IS NOT NULL")
     return d.select("*", "_f.method", "_f.size", "_f.shard", "_f.rep", "_f.at").drop("_f")
 
