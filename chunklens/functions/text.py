@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,17 +56,37 @@ def shorten(sentence: Column) -> Column:
     return out
 
 
+def joined_at(parts: Column, ends: Column, joint: str = "") -> Column:
+    """Parts joined into texts, of which one ends with each part whose number (from 0, sorted) is given, and the last with the parts."""
+
+    def texts(v: Column) -> Column:
+        last = F.size(v["p"]) - 1
+        edges = F.concat(F.array(F.lit(-1)), F.filter(v["e"], lambda e: e < last), F.array(last))
+        return let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.array_join(F.slice(v["p"], e[i] + 2, e[i + 1] - e[i]), joint)))
+
+    return let(F.struct(parts.alias("p"), ends.alias("e")), texts)
+
+
 def positions(text: Column, parts: Column) -> Column:
-    """Half-open character offsets of each part, searched from the end of the one before; a miss is put where the last one ended."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sentence:string,start:int,end:int>>").alias("out"))
+    """Half-open character offsets of each part, searched from the end of the one before; a miss is put where the last one ended.
 
-    def step(a: Column, s: Column) -> Column:
-        found = F.call_function("locate", s, text, a["at"] + 1) - 1
-        at = F.when(found < 0, a["at"]).otherwise(found)
-        end = at + F.length(s)
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("sentence"), at.alias("start"), end.alias("end")))).alias("out"))
+    One pass over a text in a batch function: in the JVM, a search from a place would count characters from the start each time.
+    """
 
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+    @F.arrow_udf("array<struct<sentence:string,start:int,end:int>>")
+    def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), parts.to_pylist(), strict=True):
+            rows, at = [], 0
+            for s in own or []:
+                found = (text or "").find(s, at)
+                start = found if found >= 0 else at
+                at = start + len(s)
+                rows.append({"sentence": s, "start": start, "end": at})
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([("sentence", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    return run(text, parts)
 
 
 def token_windows(tokens: Column, size: int, overlap: int = 0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -49,8 +50,6 @@ def minima_dynamic(df: DataFrame, stream: str, series: str, position: str, value
     A stream's rows reach one task in order, a batch at a time, and its state is ``history`` numbers, so no stream is held as a whole;
     the threshold is the one after the minimum. Series of a stream follow each other by their order values.
     """
-    import pyarrow as pa
-
     from ..session import ship
 
     ship(df.sparkSession)
@@ -110,16 +109,25 @@ def breakpoints(gaps: Column, percent: float = 0.5) -> Column:
 def greedy_merge(sizes: Column, target: int) -> Column:
     """Group number of each part when parts join while their total stays within the target.
 
-    It starts from an empty group: a first part above the target begins group 1 and leaves group 0 empty.
+    It starts from an empty group: a first part above the target begins group 1 and leaves group 0 empty. A fold in a batch
+    function, in time proportional to the parts.
     """
-    init = F.struct(F.lit(0).alias("total"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        fits = a["total"] + s <= target
-        group = F.when(fits, a["group"]).otherwise(a["group"] + 1).cast("int")
-        return F.struct(F.when(fits, a["total"] + s).otherwise(s).cast("int").alias("total"), group.alias("group"), F.concat(a["out"], F.array(group)).alias("out"))
+    @F.arrow_udf("array<int>")
+    def run(lists: pa.Array) -> pa.Array:
+        out = []
+        for own in lists.to_pylist():
+            total, group, groups = 0, 0, []
+            for s in own or []:
+                if total + s <= target:
+                    total += s
+                else:
+                    total, group = s, group + 1
+                groups.append(group)
+            out.append(groups)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    return F.aggregate(sizes, init, step, lambda a: a["out"])
+    return run(sizes)
 
 
 Judge = Callable[[list[str]], int | None]
@@ -199,8 +207,6 @@ def judged_chunks(docs: DataFrame, key: str, parts: str, judge: Judge = steepest
 
     ``refused`` is the number of groups of the document that the judge refused, ``failed`` whether a failed call left its end in one chunk.
     """
-    import pyarrow as pa
-
     from ..session import ship
 
     ship(docs.sparkSession)

@@ -11,9 +11,12 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.text import joined_at, let
 from ..session import ship
-from .boundaries import fold_minima
+from .boundaries import breakpoints, fold_minima
+from .embedding import Model, gaps, hashed
 
 #: From parts to the number of tokens of each, and the loss of every token but the first of all.
 LossModel = Callable[[list[str]], tuple[list[int], list[float]]]
@@ -199,6 +202,19 @@ def by_loss_of_any_length(
     return chunk_by(docs, key, parts, chunks)
 
 
+def by_meaning(docs: DataFrame, key: str, parts: str, model: Model | None = None, percent: float = 0.5, joint: str = " ") -> DataFrame:
+    """(key, chunk, chunk_text): a chunk ends where the distance to the next part is above the document's percentile of distances.
+
+    A document that the model can't embed has no chunks, and others of its batch are not touched by that. So has one without parts.
+    """
+    ship(docs.sparkSession)
+    d = docs.select(key, F.col(parts).alias("_p")).withColumn("_g", gaps(model or hashed(16), on_error="none")(F.coalesce("_p", F.array().cast("array<string>"))))
+    cuts = lambda g: F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.try_element_at(g, i + 1))
+    whole = let(breakpoints(F.col("_g")), lambda flags: joined_at(F.col("_p"), cuts(flags), joint))
+    d = d.where(F.col("_g").isNotNull() & (F.size("_p") > 0)).select(key, F.posexplode(whole).alias("chunk", "chunk_text"))
+    return d.select(key, "chunk", "chunk_text")
+
+
 def by_decision(docs: DataFrame, key: str, parts: str, decide: Decision = words_differ, block: int = 4096, joint: str = " ", split: Callable[[str], list[str]] = plain_sentences) -> DataFrame:
     """(key, chunk, chunk_text, lost) by ``decided_chunks``."""
     return chunk_rows(docs, key, parts, lambda p: decided_chunks(p, decide, block, split, joint))

@@ -116,21 +116,35 @@ def vectors(model: Model):
     return run
 
 
-def gaps(model: Model, digits: int = 9):
-    """A batch function from texts of a row to the cosine distances of neighbours, rounded."""
+def gaps(model: Model, digits: int = 9, on_error: str = "raise"):
+    """A batch function from texts of a row to the cosine distances of neighbours, rounded.
+
+    on_error "none": where the model fails on a block of rows they are tried one by one, and those that fail alone give null.
+    """
+
+    def of(size: np.ndarray, texts: pa.Array) -> pa.Array:
+        v = model.get().encode(texts)
+        n = np.sqrt((v * v).sum(axis=1)) + EPS
+        d = 1 - (v[:-1] * v[1:]).sum(axis=1) / (n[:-1] * n[1:])
+        inner = np.ones(len(v), bool)
+        inner[np.cumsum(size)[size > 0] - 1] = False  # from the last text of a row to the next row
+        each = np.maximum(size - 1, 0)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), pa.array(np.round(d[inner[:-1]], digits)))
+
+    def careful(size: np.ndarray, texts: pa.Array) -> pa.Array:
+        try:
+            return of(size, texts)
+        except Exception:
+            if on_error == "raise":
+                raise
+            if len(size) == 1:
+                return pa.array([None], pa.list_(pa.float64()))
+            first = np.cumsum(size) - size
+            return pa.concat_arrays([careful(size[i : i + 1], texts.slice(int(first[i]), int(size[i]))) for i in range(len(size))])
 
     @F.arrow_udf("array<double>")
     def run(lists: pa.Array) -> pa.Array:
-        out = []
-        for size, texts in _blocks(lists):
-            v = model.get().encode(texts)
-            n = np.sqrt((v * v).sum(axis=1)) + EPS
-            d = 1 - (v[:-1] * v[1:]).sum(axis=1) / (n[:-1] * n[1:])
-            inner = np.ones(len(v), bool)
-            inner[np.cumsum(size)[size > 0] - 1] = False  # from the last text of a row to the next row
-            each = np.maximum(size - 1, 0)
-            out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), pa.array(np.round(d[inner[:-1]], digits))))
-        return _joined(out, pa.list_(pa.float64()))
+        return _joined([careful(size, texts) for size, texts in _blocks(lists)], pa.list_(pa.float64()))
 
     return run
 

@@ -179,11 +179,18 @@ def shard_laws(assigned: DataFrame, key: str, shard: str, shards: int) -> DataFr
 
 
 def in_slice(df: DataFrame, group: str, *order: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of each group in a total order. Rows are numbered over all groups first, so that a large group is no single task."""
+    """Rows ``offset`` to ``offset + limit`` of each group in a total order, with ``pos``.
+
+    With a limit, each task keeps the first rows of its groups and only these are shuffled. Without one, rows are
+    numbered over all groups first, so that a large group is no single task.
+    """
+    if limit is not None:
+        n = F.row_number().over(W.Window.partitionBy(group).orderBy(*order))
+        return df.withColumn("_n", n).where(F.col("_n") <= offset + limit).withColumn("pos", (F.col("_n") - 1).cast("long")).where(F.col("pos") >= offset).drop("_n")
     d = numbered(df, group, *order)
     first = d.groupBy(F.col(group).alias("_g")).agg(F.min("pos").alias("_zero"))
     d = d.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn("pos", F.col("pos") - F.col("_zero")).drop("_g", "_zero")
-    return d.where((F.col("pos") >= offset) & (F.lit(limit is None) | (F.col("pos") < offset + (limit or 0))))
+    return d.where(F.col("pos") >= offset)
 
 
 def picked(df: DataFrame, key: str, include: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:

@@ -135,9 +135,5 @@ def split(docs: DataFrame, key: str, text: str = "text", model: dict[str, DataFr
     ends = decide(words, model or train(words)).where("ends").groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ends, "key", "left")
 
-    def parts(v: Column) -> Column:
-        edges = F.concat(F.array(F.lit(-1)), F.coalesce(v["cuts"], F.array().cast("array<int>")), F.array(F.size(v["p"]) - 1))
-        return X.let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: X.strip(F.array_join(F.slice(v["p"], e[i] + 2, e[i + 1] - e[i]), ""))))
-
-    whole = X.let(F.struct(pieces(F.col("text")).alias("p"), F.col("cuts")), parts)
-    return d.select(F.col("key").alias(key), F.filter(whole, lambda s: s != "").alias("sentences"))
+    texts = X.joined_at(pieces(F.col("text")), F.coalesce("cuts", F.array().cast("array<int>")))
+    return d.select(F.col("key").alias(key), F.filter(F.transform(texts, X.strip), lambda s: s != "").alias("sentences"))

@@ -46,11 +46,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 # Shared SQL: sentences with their numbers, and spans of [2, 4] of each document.
 _SENT = r"""
-sent AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS sent_id, s AS sentence FROM (
+sent AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS sent_id, s AS sentence FROM (
   SELECT doc_id, k, regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '') AS s FROM (
     SELECT doc_id, unnest(regexp_extract_all(text, '[^.?!]+[.?!]*')) AS x, generate_subscripts(regexp_extract_all(text, '[^.?!]+[.?!]*'), 1) AS k FROM documents))
   WHERE s <> ''),
-n AS (SELECT doc_id, count(*)::INT AS n FROM sent GROUP BY doc_id)"""
+n AS MATERIALIZED (SELECT doc_id, count(*)::INT AS n FROM sent GROUP BY doc_id)"""
 
 
 def _spans_sql(granularities=(2, 4)) -> str:
@@ -243,16 +243,17 @@ def cosine_loss_weighted(spark, sf):
 # ---- retrieval -------------------------------------------------------------------------------
 
 _RAG = rf"""WITH {_SENT}, {_spans_sql()},
-store AS (SELECT doc_id, sent_id AS row_idx, sent_id AS start, 1 AS len FROM sent UNION ALL SELECT doc_id, n + span_id, start, len FROM span),
+store AS MATERIALIZED (SELECT doc_id, sent_id AS row_idx, sent_id AS start, 1 AS len FROM sent UNION ALL SELECT doc_id, n + span_id, start, len FROM span),
+holds AS MATERIALIZED (SELECT doc_id, row_idx, unnest(range(start, start + len))::INT AS sent_id FROM store),
 tok AS (SELECT doc_id, sent_id, ('0x' || substr(md5(lower(w)), 1, 4))::INT % 64 AS b FROM (SELECT doc_id, sent_id, unnest(regexp_extract_all(sentence, '\S+')) AS w FROM sent)),
-bag AS (SELECT doc_id, sent_id, b, count(*) AS c FROM tok GROUP BY ALL),
-vec AS (SELECT store.doc_id, row_idx, b, sum(c) AS c FROM store JOIN bag ON bag.doc_id = store.doc_id AND sent_id >= start AND sent_id < start + len GROUP BY ALL),
+bag AS MATERIALIZED (SELECT doc_id, sent_id, b, count(*) AS c FROM tok GROUP BY ALL),
+vec AS MATERIALIZED (SELECT holds.doc_id, row_idx, b, sum(c) AS c FROM holds JOIN bag ON bag.doc_id = holds.doc_id AND bag.sent_id = holds.sent_id GROUP BY ALL),
 items AS (SELECT count(*) AS m FROM benchmark),
-ask AS (SELECT d.doc_id, q.text AS question FROM documents AS d JOIN benchmark AS q ON q.item_id = d.doc_id % (SELECT m FROM items)),
-qb AS (SELECT doc_id, b, count(*) AS c FROM (SELECT doc_id, ('0x' || substr(md5(lower(w)), 1, 4))::INT % 64 AS b FROM (SELECT doc_id, unnest(regexp_extract_all(question, '\S+')) AS w FROM ask)) GROUP BY ALL),
+ask AS MATERIALIZED (SELECT d.doc_id, q.text AS question FROM documents AS d JOIN benchmark AS q ON q.item_id = d.doc_id % (SELECT m FROM items)),
+qb AS MATERIALIZED (SELECT doc_id, b, count(*) AS c FROM (SELECT doc_id, ('0x' || substr(md5(lower(w)), 1, 4))::INT % 64 AS b FROM (SELECT doc_id, unnest(regexp_extract_all(question, '\S+')) AS w FROM ask)) GROUP BY ALL),
 sc AS (SELECT v.doc_id, row_idx, coalesce(sum(v.c * q.c), 0)::BIGINT AS dot, sum(v.c * v.c)::BIGINT AS sq FROM vec AS v LEFT JOIN qb AS q ON q.doc_id = v.doc_id AND q.b = v.b GROUP BY ALL),
-ranked AS (SELECT s.doc_id, s.row_idx, s.start, s.len, coalesce(dot / sqrt(sq::DOUBLE), 0) AS score FROM store AS s LEFT JOIN sc USING (doc_id, row_idx) JOIN ask USING (doc_id)),
-hit AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_idx DESC))::INT AS rank FROM ranked) WHERE rank <= 5)"""
+ranked AS MATERIALIZED (SELECT s.doc_id, s.row_idx, s.start, s.len, coalesce(dot / sqrt(sq::DOUBLE), 0) AS score FROM store AS s LEFT JOIN sc USING (doc_id, row_idx) JOIN ask USING (doc_id)),
+hit AS MATERIALIZED (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_idx DESC))::INT AS rank FROM ranked) WHERE rank <= 5)"""
 
 
 def _asked(spark, sf) -> DataFrame:
@@ -269,7 +270,7 @@ def rag_topk_none(spark, sf):
     return d.select("doc_id", "h.rank", "h.row_idx", "h.len", F.round("h.score", 6).alias("score"))
 
 
-@query(f"""{_RAG}, ids AS (SELECT DISTINCT h.doc_id, sent_id, sentence FROM hit AS h JOIN sent ON sent.doc_id = h.doc_id AND sent_id >= start AND sent_id < start + len),
+@query(f"""{_RAG}, ids AS (SELECT DISTINCT h.doc_id, sent.sent_id, sentence FROM hit AS h JOIN holds ON holds.doc_id = h.doc_id AND holds.row_idx = h.row_idx JOIN sent ON sent.doc_id = holds.doc_id AND sent.sent_id = holds.sent_id),
 g AS (SELECT *, lag(sent_id) OVER (PARTITION BY doc_id ORDER BY sent_id) AS p FROM ids)
 SELECT doc_id, md5(string_agg(CASE WHEN p IS NOT NULL AND sent_id <> p + 1 THEN '...' ELSE '' END || sentence, '' ORDER BY sent_id)) AS context_md5, count(*)::INT AS n_sentences FROM g GROUP BY doc_id""")
 def rag_post_aggregate(spark, sf):
@@ -277,7 +278,7 @@ def rag_post_aggregate(spark, sf):
     return d.select("doc_id", F.md5("context").alias("context_md5"), F.size(F.array_distinct(R.covered(F.col("hits")))).alias("n_sentences"))
 
 
-@query(f"""{_RAG}, ids AS (SELECT h.doc_id, sent_id FROM hit AS h JOIN sent ON sent.doc_id = h.doc_id AND sent_id >= start AND sent_id < start + len)
+@query(f"""{_RAG}, ids AS (SELECT h.doc_id, sent.sent_id FROM hit AS h JOIN holds ON holds.doc_id = h.doc_id AND holds.row_idx = h.row_idx JOIN sent ON sent.doc_id = holds.doc_id AND sent.sent_id = holds.sent_id)
 SELECT doc_id, round(count(DISTINCT sent_id) / count(*), 6) AS redundancy, (max(sent_id) - min(sent_id))::INT AS dispersion FROM ids GROUP BY doc_id""")
 def redundancy_dispersion(spark, sf):
     d = R.search(_asked(spark, sf), "sentences", "question", 5)

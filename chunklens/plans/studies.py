@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import answering as AN
 from ..operators import chunkers as C
 from ..operators import embedding as EM
 from ..operators import etl as E
@@ -55,23 +57,61 @@ def propositions(spark, sf):
 
 
 @query(rf"""{_RAG.replace("rank <= 5", "rank <= 10")},
-txt AS (SELECT h.doc_id, h.rank, string_agg(sentence, ' ' ORDER BY sent_id) AS t FROM hit AS h JOIN sent ON sent.doc_id = h.doc_id AND sent_id >= start AND sent_id < start + len GROUP BY ALL),
-ctx AS (SELECT doc_id, k AS topk, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS c FROM txt, (VALUES (5), (10)) AS x(k) WHERE rank <= k GROUP BY ALL),
-cut AS (SELECT doc_id, topk, CASE WHEN len(regexp_extract_all(c, '\S+')) <= 300 THEN c ELSE array_to_string(regexp_extract_all(c, '\S+')[1:300], ' ') END AS c FROM ctx),
-p AS (SELECT doc_id, topk, 'Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'A) yes' || chr(10) || 'B) no' || chr(10) || 'Reply with {{"answer": letter}}.' AS p FROM cut JOIN ask USING (doc_id)),
+txt AS MATERIALIZED (SELECT h.doc_id, h.rank, string_agg(sentence, ' ' ORDER BY sent.sent_id) AS t FROM hit AS h JOIN holds ON holds.doc_id = h.doc_id AND holds.row_idx = h.row_idx JOIN sent ON sent.doc_id = holds.doc_id AND sent.sent_id = holds.sent_id GROUP BY ALL),
+ctx AS MATERIALIZED (SELECT doc_id, 5 AS topk, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS c FROM txt WHERE rank <= 5 GROUP BY ALL UNION ALL SELECT doc_id, 10, string_agg(t, chr(10) || chr(10) ORDER BY rank) FROM txt WHERE rank <= 10 GROUP BY ALL),
+cut AS MATERIALIZED (SELECT doc_id, topk, c, regexp_extract_all(c, '\S+') AS w FROM ctx),
+p AS MATERIALIZED (SELECT doc_id, topk, 'Context:' || chr(10) || CASE WHEN len(w) <= 300 THEN c ELSE array_to_string(w[1:300], ' ') END || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'A) yes' || chr(10) || 'B) no' || chr(10) || 'Reply with {{"answer": letter}}.' AS p FROM cut JOIN ask USING (doc_id)),
 r AS (SELECT doc_id, topk, p, CASE WHEN ('0x' || substr(md5(lower(p)), 1, 4))::INT % 2 = 0 THEN 'A' ELSE 'B' END AS answer FROM p)
 SELECT doc_id, topk, md5(p) AS prompt_h, answer, answer = CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS is_correct FROM r""")
 def question_answering(spark, sf):
     """Each document asked once and answered for two cut-offs; the default model answers by a hash of the prompt."""
     d = R.search(_asked(spark, sf), "sentences", "question", 10).withColumn("topk", F.explode(F.array(F.lit(5), F.lit(10))))
     texts = F.transform(F.slice("hits", F.lit(1), F.col("topk")), lambda h: F.array_join(F.slice(F.col("sentences"), h["start"] + 1, h["len"]), " "))
-    choices = F.create_map(F.lit("A"), F.lit("yes"), F.lit("B"), F.lit("no"))
-    d = d.withColumn("p", X.prompt(X.truncate_tokens(F.array_join(texts, "\n\n"), F.lit(300)), F.col("question"), choices))
+    d = d.withColumn("p", X.prompt(X.truncate_tokens(F.array_join(texts, "\n\n"), F.lit(300)), F.col("question"), AN.choices(F.lit("yes"), F.lit("no"))))
     reply = F.concat(F.lit('I think {"answer": "'), F.when(X.bucket(F.col("p"), 2) == 0, "A").otherwise("B"), F.lit('"}'))
     d = d.withColumn("answer", X.parse_answer(reply))
     return d.select("doc_id", "topk", F.md5("p").alias("prompt_h"), "answer", (F.upper("answer") == F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B")).alias("is_correct"))
 
 
+class HashedAnswers:
+    """Answers by a hash of the prompt; one in sixteen replies names no letter."""
+
+    def chat(self, prompt: str) -> str:
+        n = int(hashlib.md5(prompt.encode()).hexdigest()[:4], 16)
+        return "I can't tell." if n % 16 == 0 else f'I think {{"answer": "{AN.LETTERS[n // 16 % 4]}"}}, but look again.'
+
+
+_SYSTEM = "You answer multiple choice questions."
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
+c AS MATERIALIZED (SELECT doc_id, a // 64 AS win, array_to_string(w[a + 1:a + 64], ' ') AS c, w[a + 1:a + 64] AS w FROM (SELECT doc_id, w, unnest(range(0, len(w), 64)) AS a FROM t)),
+cb AS MATERIALIZED (SELECT doc_id, win, b, count(*)::DOUBLE AS n FROM (SELECT doc_id, win, ('0x' || substr(md5(lower(x)), 1, 4))::INT % 64 AS b FROM (SELECT doc_id, win, unnest(w) AS x FROM c)) GROUP BY ALL),
+ask AS MATERIALIZED (SELECT d.doc_id, q.text AS question FROM documents AS d JOIN benchmark AS q ON q.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+qb AS MATERIALIZED (SELECT doc_id, b, count(*)::DOUBLE AS n FROM (SELECT doc_id, ('0x' || substr(md5(lower(x)), 1, 4))::INT % 64 AS b FROM (SELECT doc_id, unnest(regexp_extract_all(question, '\S+')) AS x FROM ask)) GROUP BY ALL),
+dot AS MATERIALIZED (SELECT cb.doc_id, win, sum(cb.n * qb.n) AS d FROM cb JOIN qb ON qb.doc_id = cb.doc_id AND qb.b = cb.b GROUP BY ALL),
+cn AS MATERIALIZED (SELECT doc_id, win, sum(n * n) AS s FROM cb GROUP BY ALL), qn AS MATERIALIZED (SELECT doc_id, sum(n * n) AS s FROM qb GROUP BY ALL),
+sim AS MATERIALIZED (SELECT cn.doc_id, cn.win, coalesce(d, 0) / (sqrt(cn.s) * sqrt(qn.s)) AS sim FROM cn JOIN qn ON qn.doc_id = cn.doc_id LEFT JOIN dot ON dot.doc_id = cn.doc_id AND dot.win = cn.win),
+hit AS MATERIALIZED (SELECT doc_id, win, sim, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, win DESC) AS rank FROM sim),
+ctx AS MATERIALIZED (SELECT hit.doc_id, k AS topk, string_agg(c, chr(10) || chr(10) ORDER BY rank) AS c, sum(sim) AS total, count(*) AS n FROM hit JOIN c ON c.doc_id = hit.doc_id AND c.win = hit.win, (VALUES (5), (10)) AS x(k) WHERE rank <= k GROUP BY ALL),
+w AS MATERIALIZED (SELECT ctx.*, question, regexp_extract_all(c, '\S+') AS w, 400 - {len(_SYSTEM.split())} - 20 - len(regexp_extract_all(question, '\S+')) AS most FROM ctx JOIN ask ON ask.doc_id = ctx.doc_id),
+p AS MATERIALIZED (SELECT doc_id, topk, total, n, 'Context:' || chr(10) || CASE WHEN len(w) <= most THEN c ELSE array_to_string(w[1:most], ' ') END || chr(10) || chr(10) || 'Question: ' || question || chr(10)
+  || 'A) yes' || chr(10) || 'B) no' || chr(10) || 'C) both' || chr(10) || 'D) neither' || chr(10) || 'Reply with {{"answer": letter}}.' AS p FROM w),
+r AS (SELECT *, ('0x' || substr(md5(p), 1, 4))::INT AS h FROM p),
+a AS (SELECT *, CASE WHEN h % 16 = 0 THEN 'UNKNOWN' ELSE ['A', 'B', 'C', 'D'][h // 16 % 4 + 1] END AS model_answer FROM r)
+SELECT doc_id::VARCHAR AS question_id, topk, n AS n_chunks, round(total, 6) AS similarity, md5(p) AS prompt_h, CASE WHEN h % 16 = 0 THEN 'I can''t tell.' ELSE 'I think {{"answer": "' || model_answer || '"}}, but look again.' END AS raw_response,
+  model_answer, model_answer = ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS is_correct FROM a""")
+def answer_records(spark, sf):
+    """The whole record of each document's question over its windows of 64 words, for two cut-offs, from a model that sometimes names no answer."""
+    q = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    d = _t(spark, sf, "documents").withColumn("item_id", F.pmod(F.col("doc_id"), F.lit(q.count()))).join(q, "item_id")
+    d = d.select(F.col("doc_id").cast("string").alias("question_id"), "question", F.col("lang").alias("domain"), F.col("text").alias("context"), F.element_at(F.array(*map(F.lit, AN.LETTERS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("answer"))
+    d = d.withColumn("choices", AN.choices(F.lit("yes"), F.lit("no"), F.lit("both"), F.lit("neither")))
+    r = AN.records(AN.sample(d, X.token_windows(X.words(F.col("context")), 64), F.lit(0.0)).where(F.size("chunks") > 0), HashedAnswers, EM.hashed(), limit=400, system=_SYSTEM, reserve=20)
+    total = F.aggregate("retrieved_chunks", F.lit(0.0), lambda s, x: s + x["similarity"])
+    return r.select("question_id", "topk", F.size("retrieved_chunks").cast("long").alias("n_chunks"), F.round(total, 6).alias("similarity"), F.md5("prompt").alias("prompt_h"), "raw_response", "model_answer", "is_correct")
+
+
 # ---- vectors ---------------------------------------------------------------------------------
 
 
