@@ -149,23 +149,48 @@ def gaps(model: Model, digits: int = 9, on_error: str = "raise"):
     return run
 
 
+def unit_means(encoder: Encoder, lists: pa.Array, spans: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of rows (texts, spans over them): texts and spans of each row, and the unit mean vector of each span."""
+    at = 0
+    for size, texts in _blocks(lists):
+        own = spans.slice(at, len(size))
+        at += len(size)
+        v, each, count = encoder.encode(texts), own.flatten(), _lengths(own)
+        number = lambda c: pc.struct_field(each, c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        n = number("len")
+        first = np.repeat(np.cumsum(size) - size, count) + number("start")
+        gather = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.add.reduceat(v[gather], np.cumsum(n) - n, axis=0) if len(n) else v[:0]
+        mean = sums / np.maximum(n, 1)[:, None]
+        yield size, count, mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-12)
+
+
 def pooled(model: Model):
     """A batch function from (texts, spans over them) to unit vectors of the spans' means; a span of one text has its vector."""
 
     @F.arrow_udf("array<array<double>>")
     def run(lists: pa.Array, spans: pa.Array) -> pa.Array:
-        out, at = [], 0
-        for size, texts in _blocks(lists):
-            own = spans.slice(at, len(size))
-            at += len(size)
-            v, each, count = model.get().encode(texts), own.flatten(), _lengths(own)
-            number = lambda c: pc.struct_field(each, c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
-            n = number("len")
-            first = np.repeat(np.cumsum(size) - size, count) + number("start")
-            gather = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            sums = np.add.reduceat(v[gather], np.cumsum(n) - n, axis=0) if len(n) else v[:0]
-            mean = sums / np.maximum(n, 1)[:, None]
-            out.append(_nested(count, mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-12)))
-        return _joined(out, pa.list_(pa.list_(pa.float64())))
+        return _joined([_nested(count, rows) for _, count, rows in unit_means(model.get(), lists, spans)], pa.list_(pa.list_(pa.float64())))
+
+    return run
+
+
+def cosines():
+    """A batch function from two lists of vectors to the matrix of their cosines, EPS added to norms; null without either."""
+
+    def rows(x: pa.Scalar) -> np.ndarray:
+        n, flat = len(x), x.values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(n, -1) if n else np.zeros((0, 0))
+
+    @F.arrow_udf("array<array<double>>")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if not x.is_valid or not y.is_valid:
+                out.append(None)
+                continue
+            a, b = rows(x), rows(y)
+            out.append((unit(a) @ unit(b).T).tolist() if len(a) and len(b) else [[]] * len(a))
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
 
     return run

@@ -7,6 +7,8 @@ the JVM: a batch function over whole numbers, to which no text goes.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +18,8 @@ from pyspark.sql import window as W
 
 from ..functions import text as T
 from ..session import ship
-from .embedding import word_buckets
-from .spans import GRANULARITIES, store_rows
+from .embedding import Model, pooled, unit_means, word_buckets
+from .spans import GRANULARITIES, span_text, store_rows
 
 BUCKETS = 64
 #: Counts of the histograms that are held at once.
@@ -129,12 +131,48 @@ def ablation(docs: DataFrame, sentences: str, question: str, k: int, granulariti
     return d.select(*docs.columns, "_h.subset", "_h.rank", "_h.score", "_h.row_idx", "_r.start", "_r.len")
 
 
-def search(docs: DataFrame, sentences: str, question: str, k: int, granularities: tuple[int, ...] = GRANULARITIES) -> DataFrame:
-    """Add ``hits``: the k best rows of each document's store for its question, as (rank, score, row_idx, granularity, start, len)."""
+def model_ranker(k: int, model: Model):
+    """As ``ranker`` for any encoder, from (sentences, store rows, question): a row's vector is the unit mean of its sentences', the question's is as it comes.
+
+    Scores are rounded to nine digits, so that rows that differ by the order of a sum only are equal.
+    """
+
+    @F.arrow_udf("array<struct<score:double,row_idx:int>>")
+    def best(lists: pa.Array, rows: pa.Array, questions: pa.Array) -> pa.Array:
+        asked, out, at = model.get().encode(questions), [], 0
+        for size, count, vectors in unit_means(model.get(), lists, rows):
+            first = np.cumsum(count) - count
+            score = np.round((vectors * asked[np.repeat(np.arange(at, at + len(size)), count)]).sum(axis=1), 9) if len(vectors) else np.zeros(0)
+            at += len(size)
+            for a, n in zip(first.tolist(), count.tolist(), strict=True):
+                own = score[a : a + n]
+                out.append([{"score": float(own[i]), "row_idx": int(i)} for i in np.lexsort((-np.arange(n), -own))[:k]])
+        return pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("row_idx", pa.int32())])))
+
+    return best
+
+
+def build_store(docs: DataFrame, key: str, sentences: str, model: Model, granularities: tuple[int, ...] = GRANULARITIES) -> DataFrame:
+    """A store as rows (key, row_idx, granularity, start, len, text, embedding): vectors beside their texts, by place."""
+    ship(docs.sparkSession)
+    s = F.col(sentences)
+    d = docs.withColumn("_rows", store_rows(s, granularities)).withColumn("_v", pooled(model)(s, F.col("_rows")))
+    d = d.select(key, s.alias("_s"), F.posexplode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_v").alias("v"))).alias("row_idx", "x"))
+    return d.select(key, "row_idx", "x.r.granularity", "x.r.start", "x.r.len", span_text(F.col("_s"), F.col("x.r.start"), F.col("x.r.len")).alias("text"), F.col("x.v").alias("embedding"))
+
+
+def search(docs: DataFrame, sentences: str, question: str, k: int, granularities: tuple[int, ...] = GRANULARITIES, model: Model | None = None) -> DataFrame:
+    """Add ``hits``: the k best rows of each document's store for its question, as (rank, score, row_idx, granularity, start, len).
+
+    Without a model by the hashed bags of words, which need only counts.
+    """
     ship(docs.sparkSession)
     s = F.col(sentences)
     rows = store_rows(s, granularities)
-    found = ranker(k)(sentence_buckets(s), rows, F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS)))
+    if model is None:
+        found = ranker(k)(sentence_buckets(s), rows, F.transform(T.words(F.col(question)), lambda w: T.bucket(w, BUCKETS)))
+    else:
+        found = model_ranker(k, model)(F.coalesce(s, F.array().cast("array<string>")), rows, F.coalesce(F.col(question), F.lit("")))
 
     def named(v: Column) -> Column:
         hit = lambda h, i: F.struct(
@@ -161,12 +199,14 @@ def covered(hits: Column) -> Column:
     return F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
 
 
-def retrieve(docs: DataFrame, sentences: str, question: str, k: int, mode: str = "none") -> DataFrame:
+def retrieve(docs: DataFrame, sentences: str, question: str, k: int, mode: str = "none", model: Model | None = None) -> DataFrame:
     """Add ``hits`` and, in mode ``post``, ``context``: the hits' sentences once each, in order, with gap marks.
 
-    Any other mode than ``post`` gives the plain hits, with their texts in ``texts``.
+    Any other mode gives the plain hits, with their texts in ``texts``; one that isn't ``none`` is warned of.
     """
-    d = search(docs, sentences, question, k)
+    if mode not in ("none", "post"):
+        warnings.warn(f"unknown mode {mode}: hits are given as they are", stacklevel=2)
+    d = search(docs, sentences, question, k, model=model)
     if mode == "post":
         return d.withColumn("context", assemble(F.col(sentences), covered(F.col("hits"))))
     return d.withColumn("texts", F.transform("hits", lambda h: F.array_join(F.slice(F.col(sentences), h["start"] + 1, h["len"]), " ")))
@@ -225,3 +265,14 @@ def select_covering(hits: Column, k: int) -> Column:
         return F.when(F.coalesce(best["gain"], F.lit(-1.0)) < 0, a).otherwise(grown)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(k)), init, step, lambda a: a["chosen"])
+
+
+def compare_selections(docs: DataFrame, sentences: str, k: int) -> DataFrame:
+    """Two rows for each row with ``hits``: the k best scores, and k that ``select_covering`` chooses from all hits; with
+    selection, chosen (ranks in order), context (their texts), covered (different sentences) and budget (sentences with repeats)."""
+    by_score = F.transform(F.slice("hits", 1, k), lambda h: h["rank"])
+    both = F.array(F.struct(F.lit("score").alias("selection"), by_score.alias("chosen")), F.struct(F.lit("covering").alias("selection"), select_covering(F.col("hits"), k).alias("chosen")))
+    d = docs.withColumn("_x", F.explode(both)).withColumn("chosen", F.col("_x.chosen")).withColumn("_h", F.transform("_x.chosen", lambda r: F.col("hits")[r - 1]))
+    texts = F.transform("_h", lambda h: span_text(F.col(sentences), h["start"], h["len"]))
+    d = d.withColumn("selection", F.col("_x.selection")).withColumn("context", F.array_join(texts, "\n\n"))
+    return d.withColumn("covered", F.size(F.array_distinct(covered(F.col("_h"))))).withColumn("budget", F.size(covered(F.col("_h")))).drop("_x", "_h")

@@ -6,6 +6,7 @@ import hashlib
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vectors as V
@@ -18,6 +19,7 @@ from ..operators import retrieve as R
 from ..operators import spans as S
 from ..session import ensure_checkpoint_dir, ship
 from ..sources import readers, writers
+from ..streaming.incremental import chunk_new, token_chunks
 from .catalog import _DIM, _LOSS, _RAG, _SENT, _asked, _docs, _loss, _t, query
 
 
@@ -129,9 +131,11 @@ def vector_store(spark, sf):
 FROM v AS a JOIN v AS b ON a.vec_id // 8 = b.vec_id // 8 AND a.d = b.d GROUP BY ALL""")
 def cosine_matrix(spark, sf):
     """The matrix of cosines inside each block of eight vectors."""
+    ship(spark)
     e = _t(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 8).alias("b")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
-    d = e.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    return d.select("x.vec_id", F.col("y.vec_id").alias("other"), F.round(V.cosine(F.col("x.embedding"), F.col("y.embedding")), 6).alias("cosine"))
+    e = e.select(F.transform("m", lambda x: x["vec_id"]).alias("ids"), F.transform("m", lambda x: x["embedding"]).alias("v"))
+    d = e.select("ids", F.posexplode(EM.cosines()("v", "v")).alias("i", "row")).select(F.col("ids")[F.col("i")].alias("vec_id"), "ids", F.posexplode("row").alias("j", "c"))
+    return d.select("vec_id", F.col("ids")[F.col("j")].alias("other"), F.round("c", 6).alias("cosine"))
 
 
 @query(f"{_LOSS} SELECT round(avg(1 - cos), 6) AS loss, count(*)::BIGINT AS n FROM (SELECT cos FROM k ORDER BY vec_id LIMIT 200)")
@@ -140,6 +144,45 @@ def validation_loss(spark, sf):
     return _loss(spark, sf).orderBy("vec_id").limit(200).agg(F.round(F.avg(1 - F.col("cos")), 6).alias("loss"), F.count("*").alias("n"))
 
 
+@query(f"""{_RAG}, txt AS (SELECT holds.doc_id, row_idx, string_agg(sentence, ' ' ORDER BY sent.sent_id) AS t FROM holds JOIN sent ON sent.doc_id = holds.doc_id AND sent.sent_id = holds.sent_id GROUP BY ALL),
+f AS (SELECT doc_id, row_idx, sum(c) / sqrt(sum(c * c)) AS l1 FROM vec GROUP BY ALL)
+SELECT store.doc_id, store.row_idx::INT AS row_idx, store.start::INT AS start, store.len::INT AS len, md5(t) AS h, round(l1, 6) AS l1 FROM store JOIN txt USING (doc_id, row_idx) JOIN f USING (doc_id, row_idx)""")
+def store_texts(spark, sf):
+    """Every row of every store: its text beside its vector."""
+    d = R.build_store(_docs(spark, sf).where(F.size("sentences") > 0), "doc_id", "sentences", EM.hashed())
+    l1 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x))
+    return d.select("doc_id", "row_idx", "start", "len", F.md5("text").alias("h"), F.round(l1, 6).alias("l1"))
+
+
+@query(f"""{_RAG}, again AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, row_idx DESC) AS r FROM ranked)
+SELECT doc_id, r::INT AS rank, row_idx::INT AS row_idx, round(round(score, 9), 6) AS score FROM again WHERE r <= 5""")
+def rag_topk_model(spark, sf):
+    """As ``rag_topk_none``, by way of an encoder that is plugged in."""
+    d = R.search(_asked(spark, sf), "sentences", "question", 5, model=EM.hashed())
+    return d.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.rank", "h.row_idx", F.round("h.score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_RAG.removeprefix("WITH ").replace("rank <= 5", "rank <= 10")},
+h AS (SELECT doc_id, list({{'rank': rank, 'score': score, 'ids': range(start, start + len), 'len': len}} ORDER BY rank) AS hits FROM hit GROUP BY doc_id),
+s AS (SELECT doc_id, hits, 0 AS it, CAST([] AS INT[]) AS chosen, CAST([] AS BIGINT[]) AS seen FROM h UNION ALL
+  SELECT doc_id, hits, it + 1, list_append(chosen, b.rank), list_concat(seen, b.ids) FROM (
+    SELECT doc_id, hits, it, chosen, seen, list_sort(list_transform(list_filter(hits, lambda x: NOT list_contains(chosen, x.rank)),
+      lambda x: {{'gain': -x.score * len(list_filter(x.ids, lambda i: NOT list_contains(seen, i))) / x.len, 'rank': x.rank, 'ids': x.ids}}))[1] AS b FROM s WHERE it < 5) WHERE b IS NOT NULL),
+best AS (SELECT doc_id, arg_max(chosen, it) AS chosen FROM s GROUP BY doc_id),
+pick AS MATERIALIZED (SELECT doc_id, 'covering' AS selection, unnest(chosen) AS rank, generate_subscripts(chosen, 1) AS k FROM best UNION ALL SELECT doc_id, 'score', rank, rank FROM hit WHERE rank <= 5),
+txt AS MATERIALIZED (SELECT h.doc_id, h.rank, any_value(h.len) AS len, string_agg(sentence, ' ' ORDER BY sent.sent_id) AS t FROM hit AS h JOIN holds ON holds.doc_id = h.doc_id AND holds.row_idx = h.row_idx JOIN sent ON sent.doc_id = holds.doc_id AND sent.sent_id = holds.sent_id GROUP BY ALL),
+cover AS MATERIALIZED (SELECT pick.doc_id, selection, count(DISTINCT sent_id) AS sentences FROM pick JOIN hit ON hit.doc_id = pick.doc_id AND hit.rank = pick.rank JOIN holds ON holds.doc_id = hit.doc_id AND holds.row_idx = hit.row_idx GROUP BY ALL),
+ctx AS MATERIALIZED (SELECT pick.doc_id, selection, string_agg(t, chr(10) || chr(10) ORDER BY k) AS c, sum(len) AS budget FROM pick JOIN txt ON txt.doc_id = pick.doc_id AND txt.rank = pick.rank GROUP BY ALL),
+a AS (SELECT ctx.doc_id, selection, budget, sentences, ('0x' || substr(md5(c), 1, 4))::INT % 2 = ctx.doc_id % 2 AS ok FROM ctx JOIN cover USING (doc_id, selection))
+SELECT selection, count(*) FILTER (WHERE ok) AS correct, count(*) AS total, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 6) AS acc_pct, sum(sentences)::BIGINT AS sentences, sum(budget)::BIGINT AS budget FROM a GROUP BY selection""")
+def selection_ceiling(spark, sf):
+    """What five of ten hits reach when chosen for what they cover, against the five best scores: accuracy of a judge, sentences covered, sentences paid for."""
+    d = R.compare_selections(R.search(_asked(spark, sf), "sentences", "question", 10), "sentences", 5)
+    right = F.conv(F.substring(F.md5("context"), 1, 4), 16, 10).cast("int") % 2 == F.col("doc_id") % 2
+    d = d.groupBy("selection").agg(F.count_if(right).alias("correct"), F.count("*").alias("total"), F.sum(F.col("covered").cast("long")).alias("sentences"), F.sum(F.col("budget").cast("long")).alias("budget"))
+    return d.withColumn("acc_pct", F.round(100.0 * F.col("correct") / F.col("total"), 6))
+
+
 # ---- slices, orders, samples -----------------------------------------------------------------
 
 
@@ -154,6 +197,17 @@ def epoch_order(spark, sf):
     return E.epoch_order(_t(spark, sf, "documents").select("doc_id"), "doc_id", 7, 3, 40).select("doc_id", "pos")
 
 
+@query("""WITH RECURSIVE c AS (SELECT lang, sum(n_chars)::DOUBLE AS cost FROM documents GROUP BY lang), l AS (SELECT list(lang ORDER BY lang) AS langs, list(cost ORDER BY lang) AS costs FROM c),
+r AS (SELECT 0 AS k, langs, costs, list_transform(costs, lambda x: 1) AS w FROM l UNION ALL
+  SELECT k + 1, langs, costs, list_transform(w, lambda n, i: CASE WHEN i = list_position(list_transform(costs, lambda c, j: c / w[j]), list_max(list_transform(costs, lambda c, j: c / w[j]))) THEN n + 1 ELSE n END) FROM r WHERE k < 12)
+SELECT unnest(langs) AS lang, unnest(w)::INT AS workers FROM r WHERE k = 12""")
+def spare_workers(spark, sf):
+    """A worker for each language, and each of twelve spare ones to the language with most characters a worker."""
+    d = _t(spark, sf, "documents").groupBy("lang").agg(F.sum("n_chars").alias("cost")).groupBy().agg(F.array_sort(F.collect_list(F.struct("lang", "cost"))).alias("c"))
+    d = d.select("c", E.spare_split(F.transform("c", lambda x: x["cost"].cast("double")), 12).alias("w"))
+    return d.select(F.explode(F.arrays_zip(F.transform("c", lambda x: x["lang"]).alias("lang"), F.col("w").alias("workers"))).alias("x")).select("x.lang", "x.workers")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 20")
 def seeded_sample(spark, sf):
     return E.seeded_sample(_t(spark, sf, "documents").select("doc_id"), "doc_id", 7, 20)
@@ -172,6 +226,19 @@ def torn_log(spark, sf):
     return readers.json_log(spark, at, schema).select("doc_id", F.md5("text").alias("h"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) SELECT doc_id, ceil(len(w) / 256)::INT AS n_chunks, md5(array_to_string(w[1:256], ' ')) AS first_h FROM t""")
+def incremental_log(spark, sf):
+    """All documents appended to a log of JSON lines as they are done, in two runs with the second half of them new; torn lines of a broken run don't matter."""
+    at, d = _place(spark), _t(spark, sf, "documents").select("doc_id", "text")
+    half = d.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    for part in (d.where(F.col("doc_id") <= half), d.where(F.col("doc_id") > half)):
+        part.write.mode("append").parquet(f"{at}/in")
+        chunk_new(spark, f"{at}/in", d.schema, f"{at}/log", f"{at}/state", chunker=lambda x: token_chunks(x).drop("text"), form="json").awaitTermination()
+    d.limit(1).select(F.lit('{"doc_id":').alias("value")).write.mode("append").text(f"{at}/log/torn")
+    log = readers.json_log(spark, [f"{at}/log/*.json", f"{at}/log/torn"], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("chunks", T.ArrayType(T.StringType()))]))
+    return log.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.coalesce(F.try_element_at("chunks", F.lit(1)), F.lit(""))).alias("first_h"))
+
+
 @query("SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY lang")
 def csv_report(spark, sf):
     """A report written with a byte-order mark and read again."""

@@ -92,12 +92,20 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in rows]]) + "\n"
 
 
-def loss_plot(df: DataFrame, path: str, step: str = "step", value: str = "mean") -> None:
-    """A PNG of a binned series, where matplotlib is installed."""
+def loss_plot(df: DataFrame, path: str, step: str = "step", value: str = "mean", points: int = 2000) -> None:
+    """A PNG of a series, where matplotlib is installed; a longer one than ``points`` is binned first, so no more come to the driver."""
     import matplotlib.pyplot as plt  # optional
 
-    rows = df.select(step, value).orderBy(step).collect()
+    rows = plot_points(df, step, value, points).orderBy("step").collect()
     fig, ax = plt.subplots()
-    ax.plot([r[0] for r in rows], [r[1] for r in rows])
+    ax.plot([r["step"] for r in rows], [r["mean"] for r in rows])
     fig.savefig(path)
     plt.close(fig)
+
+
+def plot_points(df: DataFrame, step: str, value: str, points: int) -> DataFrame:
+    """(step, mean) of at most ``points`` bins of equal width; step is the last of a bin."""
+    ends = df.agg(F.min(step).alias("a"), F.max(step).alias("b"))
+    d = df.select(F.col(step).alias("_x"), F.col(value).alias("_y")).crossJoin(F.broadcast(ends))  # one row
+    bin_ = F.when(F.col("b") > F.col("a"), F.floor((F.col("_x") - F.col("a")) * points / (F.col("b") - F.col("a") + 1))).otherwise(0)
+    return d.groupBy(bin_.alias("_bin")).agg(F.max("_x").alias("step"), F.avg("_y").alias("mean")).drop("_bin")

@@ -18,12 +18,13 @@ def token_chunks(docs: DataFrame, text: str = "text", size: int = 256) -> DataFr
 
 
 def chunk_new(
-    spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, key: str = "doc_id", chunker: Callable[[DataFrame], DataFrame] = token_chunks
+    spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, key: str = "doc_id", chunker: Callable[[DataFrame], DataFrame] = token_chunks,
+    form: str = "parquet",
 ) -> StreamingQuery:
-    """Chunk what is new in a folder of parquet files, append it to ``sink``, and stop.
+    """Chunk what is new in a folder of parquet files, append it to ``sink`` (as parquet, or as a log of JSON lines with ``form`` json), and stop.
 
     Files and keys that are done are in the checkpoint; a run that broke off goes on where it stopped, and a key comes out once.
     """
     new = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
     out = chunker(new)
-    return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return out.writeStream.format(form).option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
