@@ -38,6 +38,12 @@ def first_answers(records: DataFrame, questions: DataFrame, key: str = "question
     return first_wins(d, ("method", "size", "domain", "topk", key), F.col("_file"), F.col("_path"), F.col("_line"))
 
 
+def pivot(rows: DataFrame, row: str, column: str, columns: list, value: str = "acc_pct") -> DataFrame:
+    """One line for each value of ``row`` in order, a column for each of ``columns``; two decimals, empty where there is none."""
+    d = rows.groupBy(row).pivot(column, columns).agg(F.first(value))
+    return d.select(F.coalesce(row, F.lit("")).alias(row), *[F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.2f", F.col(f"`{c}`"))).otherwise("").alias(str(c)) for c in columns]).orderBy(row)
+
+
 def mean_and_deviation(runs: DataFrame, *keys: str, value: str = "acc_pct") -> DataFrame:
     """Mean and sample deviation over runs; 0 for one run."""
     return runs.groupBy(*keys).agg(
@@ -47,8 +53,8 @@ def mean_and_deviation(runs: DataFrame, *keys: str, value: str = "acc_pct") -> D
 
 def gaps(ours: DataFrame, paper: DataFrame, baseline: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Our accuracy beside a published and a baseline one, with signed differences; null where one is missing."""
-    d = ours.join(F.broadcast(paper.withColumnRenamed("acc_pct", "paper_pct")), list(keys), "left")
-    d = d.join(F.broadcast(baseline.withColumnRenamed("acc_pct", "base_pct")), list(keys), "left")
+    d = ours.join(paper.withColumnRenamed("acc_pct", "paper_pct"), list(keys), "left")
+    d = d.join(baseline.withColumnRenamed("acc_pct", "base_pct"), list(keys), "left")
     signed = lambda c: F.format_string("%+.2f", F.col("acc_pct") - F.col(c))
     return d.withColumn("vs_paper", F.when(F.col("paper_pct").isNotNull(), signed("paper_pct"))).withColumn("vs_base", F.when(F.col("base_pct").isNotNull(), signed("base_pct")))
 

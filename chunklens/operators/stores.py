@@ -123,17 +123,18 @@ def gate(store: DataFrame, texts: DataFrame | None, manifests: DataFrame | None,
     """(check, passed, detail) for a store: types from its schema, then one pass over its rows (all, or a seeded sample for shapes), and the
     rows against what manifests cover and declare. Without manifests ``manifest`` fails and the two row checks are left out."""
     spark = store.sparkSession
-    out = type_checks(store.schema)
+    out, n = type_checks(store.schema), None
     if set(store.columns) >= {"input", "label"} and all(p for _, p, _ in out[1:]):
         # least hashes: the same rows in every run; Spark keeps so many for each task, and doesn't sort the store
         rows = store if sample is None else store.orderBy(F.xxhash64(F.lit(seed), "input", "label")).limit(sample)
         faults = _row_faults(dim, granularities)
         r = rows.agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in faults.items()]).first()
         out += [(k, r[k] == 0, f"{r[k]} of {r['n']} rows") for k in faults]
+        n = r["n"] if sample is None else None
     if manifests is None or texts is None:
         out.append(("manifest", False, "absent"))
     else:
-        n = store.count()
+        n = store.count() if n is None else n
         expected = covered_rows(texts, manifests).agg(F.coalesce(F.sum("expected"), F.lit(0))).first()[0]
         declared = manifest_totals(manifests).first()["n_records"]
         out += [("rows_covered", n == expected, f"{n} of {expected}"), ("rows_declared", n == declared, f"{n} of {declared}")]

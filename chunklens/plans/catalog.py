@@ -18,7 +18,7 @@ from ..operators import evaluate as EV
 from ..operators import gates as G
 from ..operators import retrieve as R
 from ..operators import spans as S
-from ..session import ensure_checkpoint_dir, ship
+from ..session import scratch, ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -668,11 +668,9 @@ def count_by_json_field(spark, sf):
 SELECT doc_id, ceil(len(w) / 256)::INT AS n_chunks, md5(array_to_string(w[1:256], ' ')) AS first_h FROM t""")
 def incremental_chunks(spark, sf):
     """All documents through the file stream, run twice: the second run finds nothing new."""
-    import uuid
-
     from ..streaming.incremental import chunk_new
 
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     source = f"{sf}/document[s].parquet"  # a stream takes a folder or a pattern; the table may be one file
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     for _ in range(2):

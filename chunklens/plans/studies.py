@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +16,7 @@ from ..operators import etl as E
 from ..operators import evaluate as EV
 from ..operators import retrieve as R
 from ..operators import spans as S
-from ..session import ensure_checkpoint_dir, ship
+from ..session import scratch, ship
 from ..sources import readers, writers
 from ..streaming.incremental import chunk_new, token_chunks
 from .catalog import _DIM, _LOSS, _RAG, _SENT, _asked, _docs, _loss, _t, query
@@ -25,7 +24,7 @@ from .catalog import _DIM, _LOSS, _RAG, _SENT, _asked, _docs, _loss, _t, query
 
 def _place(spark) -> str:
     """A new folder among the shared ones."""
-    return f"{ensure_checkpoint_dir(spark)}/study-{uuid.uuid4().hex}"
+    return scratch(spark, "study")
 
 
 # ---- models ----------------------------------------------------------------------------------
