@@ -10,14 +10,19 @@ word before and the word after it; only words with a stop meet the model, so the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut
+from ..session import cut, ship
 
 #: Least scores of an abbreviation, a collocation and a starter, and how often an abbreviation has its stop.
 ABBREVIATION, COLLOCATION, STARTER, SURE = 0.3, 7.88, 30.0, 0.99
+#: Entries of a model that is sent to every task.
+SMALL = 200_000
 
 
 def pieces(text: Column) -> Column:
@@ -39,12 +44,39 @@ def _word(piece: Column) -> Column:
 
 
 def stops(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, type, stop, next_type, next_case, first_case): each word with the one after it; first_case is that of a text's first word."""
-    d = docs.select(F.col(key).alias("key"), F.transform(pieces(F.col(text)), _word).alias("w"))
-    pair = lambda w: F.transform(w, lambda x, i: F.struct(
-        i.alias("pos"), x["type"].alias("type"), x["stop"].alias("stop"), F.try_element_at(w, i + 2)["type"].alias("next_type"), F.try_element_at(w, i + 2)["case"].alias("next_case"),
-        F.when(i == 0, x["case"]).alias("first_case")))
-    return d.select("key", F.explode(X.let(F.col("w"), pair)).alias("p")).select("key", "p.*")
+    """(key, stops): for each text its words that end in a stop and have a word after them, as (pos, type, stop, next_type, next_case)."""
+    return docs.select(F.col(key).alias("key"), _stops(F.col(text)).alias("stops"))
+
+
+def _stops(text: Column) -> Column:
+    def found(w: Column) -> Column:
+        # lambdas look at their own arguments only: Spark doesn't find a batch function over others
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        both = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.struct(a["type"].alias("type"), a["stop"].alias("stop"), b["type"].alias("next_type"), b["case"].alias("next_case")))
+        numbered = F.transform(both, lambda p, i: F.struct(i.alias("pos"), p["type"].alias("type"), p["stop"].alias("stop"), p["next_type"].alias("next_type"), p["next_case"].alias("next_case")))
+        return F.filter(numbered, lambda p: p["stop"] != "")
+
+    return X.let(F.transform(pieces(text), _word), found)
+
+
+def counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, type, stop, next_type, next_case, n), from one pass over the texts.
+
+    Kind w: words by type and whether a full stop ends them. Kind p: what follows each word with a stop, by that word, and what follows
+    words without one and begins texts (stop ^), not by the word before.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda kind, type_, stop, next_, case: F.struct(F.lit(kind).alias("kind"), type_.alias("type"), stop.alias("stop"), next_.alias("next_type"), case.alias("next_case"))
+
+    def rows(w: Column) -> Column:
+        each = F.transform(w, lambda x, i: F.array(
+            row("w", x["type"], F.when(x["stop"] == ".", F.lit(".")).otherwise(""), none, none),
+            F.when(i + 1 < F.size(w), row("p", F.when(x["stop"] != "", x["type"]), x["stop"], w[i + 1]["type"], w[i + 1]["case"])),
+            F.when(i == 0, row("p", none, F.lit("^"), x["type"], x["case"]))))
+        return F.filter(F.flatten(each), lambda r: r.isNotNull())
+
+    d = docs.select(F.explode(X.let(F.transform(pieces(F.col(text)), _word), rows)).alias("r")).select("r.*")
+    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
 
 
 def _trials(hits: Column, of: Column, p: Column) -> Column:
@@ -60,80 +92,146 @@ def association(both: Column, first: Column, second: Column, total: Column) -> C
     return 2 * (tied - apart)
 
 
-def train(words: DataFrame) -> dict[str, DataFrame]:
-    """From ``stops``: the tables of the model, all but ``totals`` with one row for each entry.
+def train(docs: DataFrame, text: str = "text") -> dict[str, DataFrame]:
+    """The tables of a model, all but ``totals`` with one row for each entry.
 
-    abbreviations (type, score), collocations (type, next_type, score), starters (type, score), cases (type and
-    the flags lower, upper, upper_inside, lower_first), totals (words, stops, breaks).
+    abbreviations (type, score), collocations (type, next_type, score), starters (type, score), cases (type and the flags lower,
+    upper, upper_inside, lower_first of types that were seen after a doubtful stop), totals (words, stops, breaks).
     """
-    by_type = cut(words.groupBy("type").agg(F.count_if(F.col("stop") == ".").alias("with_stop"), F.count_if(F.col("stop") != ".").alias("without")))
-    totals = by_type.agg(F.sum(F.col("with_stop") + F.col("without")).alias("words"), F.sum("with_stop").alias("stops"))
-    n, w = F.col("with_stop") + F.col("without"), F.col("with_stop")
+    seen = cut(counts(docs, text))
+    dotted = F.coalesce(F.sum(F.when(F.col("stop") == ".", F.col("n"))), F.lit(0))
+    by_type = seen.where("kind = 'w'").groupBy("type").agg(dotted.alias("with_stop"), F.sum("n").alias("c"))
+    totals = by_type.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("words"), F.coalesce(F.sum("with_stop"), F.lit(0)).alias("stops"))
+    n, w = F.col("c"), F.col("with_stop")
     size, inner = F.length(F.regexp_replace("type", r"\.", "")), F.length(F.regexp_replace("type", r"[^.]", ""))
     ratio = 2 * (_trials(w, n, F.lit(SURE)) - _trials(w, n, F.col("stops") / F.col("words")))
-    score = ratio * F.exp(-size) * (inner + 1) * F.pow(size.cast("double"), -F.col("without"))
+    score = ratio * F.exp(-size) * (inner + 1) * F.pow(size.cast("double"), w - n)
     # one row of two sums is all that is sent to every task
     scored = by_type.where((w > 0) & F.col("type").rlike(r"\p{L}") & ~F.col("type").rlike(r"^\p{L}$")).crossJoin(F.broadcast(totals)).withColumn("score", score)
     abbreviations = cut(scored.where(F.col("score") >= ABBREVIATION).select("type", "score"))
 
-    # word pairs over a stop, and what follows words without one; both combine before they are shuffled
-    over = words.where("next_type is not null").groupBy(F.when(F.col("stop") != "", F.col("type")).alias("type"), "stop", "next_type", "next_case").agg(F.count("*").alias("n"))
-    first = words.where("first_case is not null").groupBy(F.lit(None).cast("string").alias("type"), F.lit("^").alias("stop"), F.col("type").alias("next_type"), F.col("first_case").alias("next_case")).agg(F.count("*").alias("n"))
-    pairs = over.unionByName(first).join(abbreviations.select("type", F.lit(True).alias("short")), "type", "left").withColumn("short", F.col("short").isNotNull())
-    doubt = F.col("short") & (F.col("stop") == ".") | (F.col("stop") == "e") | (F.col("stop") == ".") & F.col("type").rlike(r"^(\p{L}|#)$")
-    place = F.when(F.col("stop") == "", "inside").when(doubt, "unknown").otherwise("first")
+    pairs = seen.where("kind = 'p'").join(abbreviations.select("type", F.lit(True).alias("abbreviations")), "type", "left")
+    place = F.when(F.col("stop") == "", "inside").when(in_doubt(F.coalesce("abbreviations", F.lit(False))), "unknown").otherwise("first")
     pairs = cut(pairs.withColumn("place", place).select("type", "stop", "next_type", "next_case", "place", "n"))
-    seen = lambda case, *where: F.coalesce(F.bool_or((F.col("next_case") == case) & F.col("place").isin(*where)), F.lit(False))
+    met = lambda case, *where: F.coalesce(F.bool_or((F.col("next_case") == case) & F.col("place").isin(*where)), F.lit(False))
     every = ("inside", "unknown", "first")
     cases = pairs.groupBy(F.col("next_type").alias("type")).agg(
-        seen("l", *every).alias("lower"), seen("U", *every).alias("upper"), seen("U", "inside").alias("upper_inside"), seen("l", "first").alias("lower_first")
-    )
-    counts = by_type.select("type", (F.col("with_stop") + F.col("without")).alias("c"))
-    totals = totals.crossJoin(pairs.agg(F.coalesce(F.sum(F.when(F.col("place") == "first", F.col("n"))), F.lit(0)).alias("breaks")))
-    totals = F.broadcast(totals)  # one row
+        met("l", *every).alias("lower"), met("U", *every).alias("upper"), met("U", "inside").alias("upper_inside"), met("l", "first").alias("lower_first"), F.bool_or(F.col("place") == "unknown").alias("_asked")
+    ).where("_asked").drop("_asked")
+    by_type = by_type.select("type", "c")
+    totals = cut(totals.crossJoin(pairs.agg(F.coalesce(F.sum(F.when(F.col("place") == "first", F.col("n"))), F.lit(0)).alias("breaks"))))
+    one = F.broadcast(totals)  # one row
     tied = pairs.where("place = 'unknown' and stop = '.'").groupBy("type", "next_type").agg(F.sum("n").alias("both"))
-    tied = tied.join(counts, "type").join(counts.select(F.col("type").alias("next_type"), F.col("c").alias("d")), "next_type").crossJoin(totals)
+    tied = tied.join(by_type, "type").join(by_type.select(F.col("type").alias("next_type"), F.col("c").alias("d")), "next_type").crossJoin(one)
     tied = tied.withColumn("score", association(F.col("both"), F.col("c"), F.col("d"), F.col("words")))
     collocations = tied.where((F.col("score") >= COLLOCATION) & (F.col("both") * F.col("words") > F.col("c") * F.col("d"))).select("type", "next_type", "score")
-    starts = pairs.where("place = 'first'").groupBy(F.col("next_type").alias("type")).agg(F.sum("n").alias("both")).join(counts, "type").crossJoin(totals)
+    starts = pairs.where("place = 'first'").groupBy(F.col("next_type").alias("type")).agg(F.sum("n").alias("both")).join(by_type, "type").crossJoin(one)
     starts = starts.where(F.col("type").rlike(r"\p{L}")).withColumn("score", association(F.col("both"), F.col("breaks"), F.col("c"), F.col("words")))
     starters = starts.where((F.col("score") >= STARTER) & (F.col("both") * F.col("words") > F.col("breaks") * F.col("c"))).select("type", "score")
-    return {"abbreviations": abbreviations, "collocations": cut(collocations), "starters": cut(starters), "cases": cases, "totals": totals}
+    return {"abbreviations": abbreviations, "collocations": cut(collocations), "starters": cut(starters), "cases": cut(cases), "totals": totals}
+
+
+def save(model: dict[str, DataFrame], path: str) -> None:
+    """The tables of a model as folders of one."""
+    for name, table in model.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("abbreviations", "collocations", "starters", "cases", "totals")}
+
+
+def in_doubt(short: Column) -> Column:
+    """Whether a stop may not end a sentence: after an abbreviation, a single letter or a number, or dots."""
+    return (F.col("stop") == "e") | (F.col("stop") == ".") & (short | F.coalesce(F.col("type").rlike(r"^(\p{L}|#)$"), F.lit(False)))
+
+
+@dataclass
+class Rules:
+    """A small model, and the decision for one stop."""
+
+    abbreviations: set[str] = field(default_factory=set)
+    collocations: set[tuple[str, str]] = field(default_factory=set)
+    starters: set[str] = field(default_factory=set)
+    #: type to (lower, upper, upper_inside, lower_first)
+    cases: dict[str, tuple[bool, bool, bool, bool]] = field(default_factory=dict)
+
+    def ends(self, type_: str, stop: str, next_type: str, next_case: str) -> bool:
+        letter = len(type_) == 1 and type_.isalpha()
+        if stop in "!?" or (stop == "." and not letter and type_ != "#" and type_ not in self.abbreviations):
+            return True
+        if stop == "." and (type_, next_type) in self.collocations:
+            return False
+        lower, upper, upper_inside, lower_first = self.cases.get(next_type, (False,) * 4)
+        starts = next_case == "U" and lower and not upper_inside
+        if not letter and (stop == "e" or type_ in self.abbreviations):
+            return starts or (next_case == "U" and next_type in self.starters)
+        if next_case == "l" and (upper or not lower_first):
+            return False
+        return not (letter and not starts and next_case == "U" and not lower)
+
+
+def rules(model: dict[str, DataFrame]) -> Rules | None:
+    """The model as it goes to the tasks, or None if it has more than ``SMALL`` entries; no more than that comes to the driver."""
+    rows: dict[str, list] = {}
+    for name in ("abbreviations", "collocations", "starters", "cases"):
+        rows[name] = model[name].drop("score").take(SMALL + 1 - sum(map(len, rows.values())))
+        if sum(map(len, rows.values())) > SMALL:
+            return None
+    flat = lambda name: {r["type"] for r in rows[name]}
+    cases = {r["type"]: (r["lower"], r["upper"], r["upper_inside"], r["lower_first"]) for r in rows["cases"]}
+    return Rules(flat("abbreviations"), {(r["type"], r["next_type"]) for r in rows["collocations"]}, flat("starters"), cases)
+
+
+def _cuts(sent):
+    """A batch function from the stops of a text to the places of those that end sentences; ``sent`` is the broadcast of rules."""
+
+    @F.arrow_udf("array<int>")
+    def run(lists: pa.Array) -> pa.Array:
+        r = sent.value
+        return pa.array([[s["pos"] for s in own or [] if r.ends(s["type"], s["stop"], s["next_type"], s["next_case"])] for own in lists.to_pylist()], pa.list_(pa.int32()))
+
+    return run
 
 
 def decide(words: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
-    """The words with a stop and a word after them, with ``ends``: whether a sentence ends there.
+    """The rows of ``stops``, one for each stop, with ``ends``: whether a sentence ends there.
 
-    Model tables are joined by type, and how is left to their sizes; a word before or after stops that a share of all
-    text has is handled by adaptive execution, since each side of a join has one row for a type.
+    Only stops in doubt meet the large tables; how tables are joined is left to their sizes.
     """
-    d = words.where("stop <> '' and next_type is not null")
+    d = words.select("key", F.explode("stops").alias("s")).select("key", "s.*")
     flag = lambda t, *on: model[t].select(*on, F.lit(True).alias(t))
-    d = d.join(flag("abbreviations", "type"), "type", "left").join(flag("collocations", "type", "next_type"), ["type", "next_type"], "left")
-    after = model["cases"].join(flag("starters", "type"), "type", "left").withColumnRenamed("type", "next_type")
-    d = d.join(after, "next_type", "left")
+    d = d.join(flag("abbreviations", "type"), "type", "left").withColumn("abbreviations", F.coalesce("abbreviations", F.lit(False)))
+    sure = d.where(~in_doubt(F.col("abbreviations"))).select("key", "pos", F.lit(True).alias("ends"))
+    d = d.where(in_doubt(F.col("abbreviations"))).join(flag("collocations", "type", "next_type"), ["type", "next_type"], "left")
+    for t in (model["cases"], flag("starters", "type")):
+        d = d.join(t.withColumnRenamed("type", "next_type"), "next_type", "left")
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     upper, lower = F.col("next_case") == "U", F.col("next_case") == "l"
     starts = upper & is_("lower") & ~is_("upper_inside")
-    goes_on = lower & (is_("upper") | ~is_("lower_first"))
-    letter, number = F.col("type").rlike(r"^\p{L}$"), F.col("type") == "#"
-    short = (is_("abbreviations") | (F.col("stop") == "e")) & ~letter
+    letter = F.col("type").rlike(r"^\p{L}$")
+    short = (F.col("abbreviations") | (F.col("stop") == "e")) & ~letter
     ends = (
-        F.when(F.col("stop").isin("!", "?"), True).when(is_("collocations") & (F.col("stop") == "."), False)
-        .when(short, starts | (upper & is_("starters"))).when((letter | number) & goes_on, False)
-        .when(letter & ~starts & upper & ~is_("lower"), False).otherwise(True)
+        F.when(is_("collocations") & (F.col("stop") == "."), False).when(short, starts | (upper & is_("starters")))
+        .when(lower & (is_("upper") | ~is_("lower_first")), False).when(letter & ~starts & upper & ~is_("lower"), False).otherwise(True)
     )
-    return d.select("key", "pos", "type", "stop", "next_type", ends.alias("ends"))
+    return sure.unionByName(d.select("key", "pos", ends.alias("ends")))
 
 
 def split(docs: DataFrame, key: str, text: str = "text", model: dict[str, DataFrame] | None = None) -> DataFrame:
     """(key, sentences): the texts cut after stops that end sentences; blanks inside a sentence stay as they are.
 
-    ``key`` tells rows apart. Without a model one is trained on the same texts. Null and blank texts have no sentences.
+    Without a model one is trained on the same texts. Null and blank texts have no sentences. With a small model rows may
+    repeat or have no key; with a large one ``key`` has to tell rows apart.
     """
-    words = stops(docs, key, text)
-    ends = decide(words, model or train(words)).where("ends").groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ends, "key", "left")
-
+    model = model or train(docs, text)
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    small = rules(model)
+    if small is not None:
+        ship(docs.sparkSession)
+        d = d.withColumn("cuts", _cuts(docs.sparkSession.sparkContext.broadcast(small))(_stops(F.col("text"))))
+    else:
+        ends = decide(stops(docs, key, text), model).where("ends").groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
+        d = d.join(ends, "key", "left")
     texts = X.joined_at(pieces(F.col("text")), F.coalesce("cuts", F.array().cast("array<int>")))
     return d.select(F.col("key").alias(key), F.filter(F.transform(texts, X.strip), lambda s: s != "").alias("sentences"))

@@ -42,7 +42,7 @@ starter AS MATERIALIZED (SELECT * FROM (SELECT *, {_ASSOC.format(b="b", f="f", s
 UNION ALL SELECT 'starter', type, '', round(score, 4) FROM starter""")
 def sentence_model(spark, sf):
     """What the splitter learns from all documents."""
-    m = SE.train(SE.stops(_t(spark, sf, "documents"), "doc_id"))
+    m = SE.train(_t(spark, sf, "documents"))
     row = lambda t, kind, b: m[t].select(F.lit(kind).alias("kind"), "type", b.alias("next_type"), F.round("score", 4).alias("score"))
     return row("abbreviations", "abbreviation", F.lit("")).unionByName(row("collocations", "collocation", F.col("next_type"))).unionByName(row("starters", "starter", F.lit("")))
 

@@ -1,6 +1,7 @@
 """The trained sentence splitter, batch embedding and attention, against small corpora and brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ def model(spark):
         lines.append(f"In the {u} we found tools, cf. page {k}. However nobody asked. Is the {t} far? No one could tell in the {u}.")
         lines.append(f"some now say today that it came by the month when the {u} stays open and nobody asked or closed the {t} or {k} at noon")
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    return SE.train(SE.stops(docs, "doc_id"))
+    return SE.train(docs)
 
 
 def split(spark, model, text):
@@ -56,6 +57,21 @@ def test_nothing_of_a_text_is_lost(spark, model):
     assert "".join("".join(split(spark, model, text)).split()) == "".join(text.split())
 
 
+def test_large_models_are_joined(spark, model, monkeypatch, tmp_path):
+    """Both ways to use a model, and one that was saved, split alike."""
+    r = random.Random(7)
+    words = ["Dr.", "approx.", "cf.", "J.", "3.", "the", "The", "However", "however", "mill", "Mill.", "closed.", "Why?", "...", "page", "It", "it", "now."]
+    d = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(60))) for i in range(40)], "k int, text string")
+    SE.save(model, f"{tmp_path}/m")
+    kept = SE.load(spark, f"{tmp_path}/m")
+    assert SE.rules(model) is not None
+    near = {x["k"]: x["sentences"] for x in SE.split(d, "k", "text", kept).collect()}
+    monkeypatch.setattr(SE, "SMALL", 3)
+    assert SE.rules(model) is None
+    far = {x["k"]: x["sentences"] for x in SE.split(d, "k", "text", kept).collect()}
+    assert near == far and sum(map(len, near.values())) > 100
+
+
 def test_association_is_the_likelihood_ratio(spark):
     both, first, second, total = 30.0, 40.0, 100.0, 10_000.0
     log = lambda k, n, p: k * np.log(p) + (n - k) * np.log(1 - p)
