@@ -10,9 +10,14 @@ word before and the word after it; only words with a stop meet the model, so the
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,53 +35,73 @@ def pieces(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _word(piece: Column) -> Column:
+_PIECE, _TRAIL, _NUMBER = re.compile(r"\S+\s*", re.A), re.compile(r"[.!?,;:…]+$"), re.compile(r"[+-]?\d[\d.,]*", re.A)
+#: Quotes and brackets that may stand around a word.
+_OPEN, _CLOSE = "([\"'“‘«", ")]\"'”’»"
+#: Facts of words seen lately by this worker, and how many are kept.
+_seen: dict[str, tuple[str, str, str]] = {}
+SEEN = 500_000
+
+
+def word_facts(piece: str) -> tuple[str, str, str]:
     """Type (lower case, numbers as #), stop (. ! ? e for an ellipsis, or empty) and case (U, l or empty) of a word without quotes and brackets around it."""
-    bare = F.regexp_replace(F.regexp_replace(piece, r"\s+$", ""), r"""^[(\["'“‘«]+|[)\]"'”’»]+$""", "")
+    if (known := _seen.get(piece)) is not None:
+        return known
+    w = piece.rstrip(" \t\n\r\f\v").lstrip(_OPEN).rstrip(_CLOSE)
+    name = _TRAIL.sub("", w).lower()
+    stop = "e" if w.endswith(("..", "…")) else w[-1:] if w.endswith((".", "!", "?")) else ""
+    case = {"Lu": "U", "Ll": "l"}.get(unicodedata.category(w[0]), "") if w else ""
+    if len(_seen) >= SEEN:
+        _seen.clear()
+    _seen[piece] = ("#" if _NUMBER.fullmatch(name) else name, stop, case)
+    return _seen[piece]
+
 
-    def facts(w: Column) -> Column:
-        name = F.lower(F.regexp_replace(w, r"[.!?,;:…]+$", ""))
-        stop = F.when(w.rlike(r"(\.\.|…)$"), "e").otherwise(F.regexp_extract(w, r"[.!?]$", 0))
-        case = F.when(w.rlike(r"^\p{Lu}"), "U").when(w.rlike(r"^\p{Ll}"), "l").otherwise("")
-        return F.struct(F.when(name.rlike(r"^[+-]?\d[\d.,]*$"), "#").otherwise(name).alias("type"), stop.alias("stop"), case.alias("case"))
+def text_stops(words: list[tuple[str, str, str]]) -> list[tuple[int, str, str, str, str]]:
+    """(pos, type, stop, next_type, next_case) of the words that end in a stop and have a word after them."""
+    return [(i, t, s, words[i + 1][0], words[i + 1][2]) for i, (t, s, _) in enumerate(words[:-1]) if s]
 
-    return X.let(bare, facts)
+
+def _facts(text: str | None) -> list[tuple[str, str, str]]:
+    return [word_facts(p) for p in _PIECE.findall(text or "")]
 
 
 def stops(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, stops): for each text its words that end in a stop and have a word after them, as (pos, type, stop, next_type, next_case)."""
-    return docs.select(F.col(key).alias("key"), _stops(F.col(text)).alias("stops"))
+    names = ("pos", "type", "stop", "next_type", "next_case")
+    kind = pa.list_(pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in names[1:]]]))
+
+    @F.arrow_udf("array<struct<pos:int,type:string,stop:string,next_type:string,next_case:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(names, s, strict=True)) for s in text_stops(_facts(t.as_py()))] for t in texts], kind)
 
+    ship(docs.sparkSession)
+    return docs.select(F.col(key).alias("key"), run(F.col(text)).alias("stops"))
 
-def _stops(text: Column) -> Column:
-    def found(w: Column) -> Column:
-        # lambdas look at their own arguments only: Spark doesn't find a batch function over others
-        n = F.greatest(F.size(w) - 1, F.lit(0))
-        both = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.struct(a["type"].alias("type"), a["stop"].alias("stop"), b["type"].alias("next_type"), b["case"].alias("next_case")))
-        numbered = F.transform(both, lambda p, i: F.struct(i.alias("pos"), p["type"].alias("type"), p["stop"].alias("stop"), p["next_type"].alias("next_type"), p["next_case"].alias("next_case")))
-        return F.filter(numbered, lambda p: p["stop"] != "")
 
-    return X.let(F.transform(pieces(text), _word), found)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to counts, added up for each batch."""
+    for b in batches:
+        n: Counter = Counter()
+        for t in b.column(0):
+            words = _facts(t.as_py())
+            if words:
+                n["p", None, "^", words[0][0], words[0][2]] += 1
+            n.update(("w", t, "." if s == "." else "", None, None) for t, s, _ in words)
+            n.update(("p", a if s else None, s, c, k) for (a, s, _), (c, _, k) in zip(words, words[1:], strict=False))
+        cols = list(zip(*n, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(n.values()), pa.int64())], names=["kind", "type", "stop", "next_type", "next_case", "n"])
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, type, stop, next_type, next_case, n), from one pass over the texts.
 
     Kind w: words by type and whether a full stop ends them. Kind p: what follows each word with a stop, by that word, and what follows
-    words without one and begins texts (stop ^), not by the word before.
+    words without one and begins texts (stop ^), not by the word before. Counts are added up in each batch, and then over all.
     """
-    none = F.lit(None).cast("string")
-    row = lambda kind, type_, stop, next_, case: F.struct(F.lit(kind).alias("kind"), type_.alias("type"), stop.alias("stop"), next_.alias("next_type"), case.alias("next_case"))
-
-    def rows(w: Column) -> Column:
-        each = F.transform(w, lambda x, i: F.array(
-            row("w", x["type"], F.when(x["stop"] == ".", F.lit(".")).otherwise(""), none, none),
-            F.when(i + 1 < F.size(w), row("p", F.when(x["stop"] != "", x["type"]), x["stop"], w[i + 1]["type"], w[i + 1]["case"])),
-            F.when(i == 0, row("p", none, F.lit("^"), x["type"], x["case"]))))
-        return F.filter(F.flatten(each), lambda r: r.isNotNull())
-
-    d = docs.select(F.explode(X.let(F.transform(pieces(F.col(text)), _word), rows)).alias("r")).select("r.*")
-    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
+    ship(docs.sparkSession)
+    d = docs.select(text).mapInArrow(_counted, "kind string, type string, stop string, next_type string, next_case string, n long")
+    return d.groupBy("kind", "type", "stop", "next_type", "next_case").agg(F.sum("n").alias("n"))
 
 
 def _trials(hits: Column, of: Column, p: Column) -> Column:
@@ -183,13 +208,20 @@ def rules(model: dict[str, DataFrame]) -> Rules | None:
     return Rules(flat("abbreviations"), {(r["type"], r["next_type"]) for r in rows["collocations"]}, flat("starters"), cases)
 
 
-def _cuts(sent):
-    """A batch function from the stops of a text to the places of those that end sentences; ``sent`` is the broadcast of rules."""
+def sentences_of(text: str | None, r: Rules) -> list[str]:
+    """The sentences of one text by a small model."""
+    found = _PIECE.findall(text or "")
+    words = [word_facts(p) for p in found]
+    edges = [0, *[pos + 1 for pos, *s in text_stops(words) if r.ends(*s)], len(found)]
+    return [s for s in ("".join(found[a:b]).strip(" \t\n\r\f\v") for a, b in zip(edges, edges[1:], strict=False)) if s]
+
+
+def _split(sent: Broadcast):
+    """A batch function from texts to their sentences; ``sent`` is the broadcast of rules."""
 
-    @F.arrow_udf("array<int>")
-    def run(lists: pa.Array) -> pa.Array:
-        r = sent.value
-        return pa.array([[s["pos"] for s in own or [] if r.ends(s["type"], s["stop"], s["next_type"], s["next_case"])] for own in lists.to_pylist()], pa.list_(pa.int32()))
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([sentences_of(t.as_py(), sent.value) for t in texts], pa.list_(pa.string()))
 
     return run
 
@@ -225,13 +257,11 @@ def split(docs: DataFrame, key: str, text: str = "text", model: dict[str, DataFr
     repeat or have no key; with a large one ``key`` has to tell rows apart.
     """
     model = model or train(docs, text)
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     small = rules(model)
     if small is not None:
         ship(docs.sparkSession)
-        d = d.withColumn("cuts", _cuts(docs.sparkSession.sparkContext.broadcast(small))(_stops(F.col("text"))))
-    else:
-        ends = decide(stops(docs, key, text), model).where("ends").groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
-        d = d.join(ends, "key", "left")
+        return docs.select(key, _split(docs.sparkSession.sparkContext.broadcast(small))(F.col(text)).alias("sentences"))
+    ends = decide(stops(docs, key, text), model).where("ends").groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ends, "key", "left")
     texts = X.joined_at(pieces(F.col("text")), F.coalesce("cuts", F.array().cast("array<int>")))
     return d.select(F.col("key").alias(key), F.filter(F.transform(texts, X.strip), lambda s: s != "").alias("sentences"))

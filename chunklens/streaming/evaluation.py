@@ -17,7 +17,8 @@ class Evaluations(StreamingQueryListener):
         self.name, self.rows, self.query, self.ended = name, [], None, threading.Event()
 
     def onQueryStarted(self, event) -> None:
-        pass
+        if event.name == self.name:
+            self.query = str(event.id)
 
     def onQueryProgress(self, event) -> None:
         if (row := event.progress.observedMetrics.get(self.name)) is not None:
@@ -27,7 +28,7 @@ class Evaluations(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        if self.query is None or str(event.id) == self.query:
+        if str(event.id) == self.query:
             self.ended.set()
 
 
@@ -48,9 +49,7 @@ def evaluate_every(rows: DataFrame, metrics: dict[str, Column], into: str, check
     spark.streams.addListener(watch)
     try:
         watched = rows.observe(name, *[c.alias(k) for k, c in metrics.items()])
-        q = watched.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").start(into)
-        watch.query = str(q.id)
-        q.awaitTermination()
+        watched.writeStream.queryName(name).trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").start(into).awaitTermination()
         watch.ended.wait(60)  # progress is told on another thread, in order, the end last
     finally:
         spark.streams.removeListener(watch)
