@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..session import ship
-from .common import cut, table
+from .common import cut, table, tidy
 from .repeats import Kind, _gram_hash, mix
 
 #: Words of a shingle, least similarity, sketches and shingles of a sketch.
@@ -47,6 +47,8 @@ SHINGLE, SIMILARITY, SKETCHES, TAKE = 5, 0.8, 16, 3
 SMALL = 256
 #: Bits of the table that an alignment of texts with repeated shingles keeps.
 TABLE = 1 << 29
+#: Hashes that are worked on at once; rows whose texts are.
+AT_ONCE, ROWS = 1 << 18, 200
 _U = np.uint64
 _WORDS = Kind(True, SHINGLE, SHINGLE)
 _SEEDS = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -79,9 +81,14 @@ def sketches(h: np.ndarray, number: int = SKETCHES, take: int = TAKE) -> np.ndar
     """The ``take`` least shingles under the hash of each sketch, in text order; all of a shorter text."""
     if len(h) <= take:
         return np.tile(h, (number, 1))
-    y = (h[None, :] ^ _SEEDS[:number, None]) * (_SEEDS[number : 2 * number, None] | _U(1))
-    y ^= y >> _U(29)
-    return h[np.sort(np.argpartition(y, take - 1, axis=1)[:, :take], axis=1)]
+    out = np.empty((number, take), _U)
+    step = max(1, min(number, AT_ONCE // len(h)))  # of a very long text one sketch after the other
+    for k in range(0, number, step):
+        own = slice(k, min(k + step, number))
+        y = (h[None, :] ^ _SEEDS[own, None]) * (_SEEDS[number + own.start : number + own.stop, None] | _U(1))
+        y ^= y >> _U(29)
+        out[own] = h[np.sort(np.argpartition(y, take - 1, axis=1)[:, :take], axis=1)]
+    return out
 
 
 def sketch_keys(h: np.ndarray) -> tuple[list[int], bool]:
@@ -201,8 +208,8 @@ def _number(data: bytes) -> tuple[int, bytes]:
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(o, text) to (o, r, keys, repeats); texts without words have none of these."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
             numbers, keys, repeats = [], [], []
             for t in part.column(1).to_pylist():
                 r, words = _number(t or b"")
@@ -216,7 +223,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(r, text) to (r, grams) where r is the text's number: ids may repeat."""
     for batch in batches:
-        out = [(r, (grams(words) >> _U(32)).astype(np.uint32).tobytes()) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for own, words in [_number(t or b"")] if own == r]
+        out = [(r, (grams(words) >> _U(32)).astype(np.uint32).tobytes()) for r, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for own, words in [_number(t.as_py() or b"")] if own == r]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], names=["r", "grams"])
 
 
@@ -256,8 +263,7 @@ def _finish(least: float):
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            s = [similarity(_stored(p), _stored(q), least) for p, q in zip(x, y, strict=True)]
+            s = [similarity(_stored(p.as_py()), _stored(q.as_py()), least) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
     return run
@@ -294,14 +300,14 @@ def classes(df: DataFrame, text: str = "text", order: str = "doc_id", least: flo
     """
     ship(df.sparkSession)
     d = df.select(F.col(f"`{order}`").alias("o"), F.col(f"`{text}`").cast("binary").alias("t"))
-    sk = cut(d.mapInArrow(_sketch_rows, f"o {dict(d.dtypes)['o']}, r long, keys array<long>, repeats boolean"))
+    sk = cut(d.mapInArrow(tidy(_sketch_rows), f"o {dict(d.dtypes)['o']}, r long, keys array<long>, repeats boolean"))
     firsts = sk.where("r IS NOT NULL").groupBy("r").agg(F.min("o").alias("o"), F.any_value("keys").alias("keys"), F.any_value("repeats").alias("repeats"))
     firsts = cut(firsts)
     bucket = _buckets(firsts)
     wanted = cut(firsts.join(bucket.select("r").distinct(), "r", "left_semi").select("r", F.col("o").alias("_o")))
     # by sort and merge at any size: a broadcast of these ids would grow with the corpus
     texts = d.join(wanted.hint("merge"), F.col("o").eqNullSafe(F.col("_o"))).select("r", "t")
-    gram_rows = cut(texts.mapInArrow(_gram_rows, "r long, grams binary"))
+    gram_rows = cut(texts.mapInArrow(tidy(_gram_rows), "r long, grams binary"))
     if gram_rows.count() > wanted.count():  # rows that repeat with their ids
         gram_rows = cut(gram_rows.groupBy("r").agg(F.any_value("grams").alias("grams")))
     members, links = _link(bucket, gram_rows, firsts.select("r", "o"), least)
@@ -322,7 +328,7 @@ def _link(bucket: DataFrame, gram_rows: DataFrame, firsts: DataFrame, least: flo
     """Verify members of buckets against hubs, then those of different classes against each other; then find the components."""
     star = bucket.where("r <> hub").select(F.col("hub").alias("a"), F.col("r").alias("b")).distinct()
     pairs = star.join(gram_rows.select(F.col("r").alias("a"), F.col("grams").alias("x")), "a").join(gram_rows.select(F.col("r").alias("b"), F.col("grams").alias("y")), "b")
-    tried = cut(pairs.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, similarity double"))
+    tried = cut(pairs.select("a", "b", "x", "y").mapInArrow(tidy(_verify(least)), "a long, b long, similarity double"))
     star = tried.where(F.col("similarity") >= least)
     # a bucket is settled when its members are of one class; else those outside its most common class meet all others
     rest = bucket.join(components(star), "r", "left").withColumn("root", F.coalesce("root", "r"))
