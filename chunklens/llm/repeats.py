@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.etl import numbered
 from ..session import ship
-from .common import input_bytes
+from .common import input_bytes, tidy_groups, tidy_pairs
 
 #: Input bytes (as stored) of a block and of a bucket; tokens worked on at once; places of an anchor beyond which single windows are sent.
 BLOCK_BYTES, BUCKET_BYTES, PIECE, HOT = 2_500_000, 5_000_000, 1 << 18, 2000
@@ -485,11 +485,11 @@ def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, ke
     d = d.repartition(min(blocks, tasks), "__block")
     ship(df.sparkSession)
     # all three passes read d itself: the same exchange, which Spark reuses
-    sent = d.groupBy("__block").applyInArrow(lambda t: _first_pass(kind, buckets, t), "bucket long, bid long, anchor binary, n binary")
-    dup = sent.repartition(min(buckets, tasks), "bucket").groupBy("bucket").applyInArrow(lambda t: _count(kind, t), "bid long, dup binary, hot binary")
+    sent = d.groupBy("__block").applyInArrow(tidy_groups(lambda t: _first_pass(kind, buckets, t)), "bucket long, bid long, anchor binary, n binary")
+    dup = sent.repartition(min(buckets, tasks), "bucket").groupBy("bucket").applyInArrow(tidy_groups(lambda t: _count(kind, t)), "bid long, dup binary, hot binary")
     cols = ", ".join(f"{c} binary" for c in _COLUMNS)
-    runs = d.groupBy("__block").cogroup(dup.groupBy("bid")).applyInArrow(lambda a, b: _send_runs(kind, buckets, a, b), f"bucket long, bid long, {cols}")
-    replies = runs.repartition(min(buckets, tasks), "bucket").groupBy("bucket").applyInArrow(lambda t: _judge(kind, index, keep_first, tokens_at_once, t), "bid long, " + ", ".join(f"{c} binary" for c in _REPLY))
+    runs = d.groupBy("__block").cogroup(dup.groupBy("bid")).applyInArrow(tidy_pairs(lambda a, b: _send_runs(kind, buckets, a, b)), f"bucket long, bid long, {cols}")
+    replies = runs.repartition(min(buckets, tasks), "bucket").groupBy("bucket").applyInArrow(tidy_groups(lambda t: _judge(kind, index, keep_first, tokens_at_once, t)), "bid long, " + ", ".join(f"{c} binary" for c in _REPLY))
     out_schema = ", ".join([f"`__rest` {dict(d.dtypes)['__rest']}"] + [f"`{c}` {t}" for c, t in schema.items()])
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<struct<start:long,end:long>>": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
 
@@ -498,7 +498,7 @@ def repeated(df: DataFrame, kind: Kind, index: Index, text: str, doc_id: str, ke
         made = [finish(t, m) for t, m in zip(_texts(left), _covered(kind, left, right), strict=True)]
         return pa.table([left["__rest"].cast(_nullable(left["__rest"].type)), *[pa.array([m[c] for m in made], arrow[t]) for c, t in schema.items()]], names=["__rest", *schema])
 
-    out = d.groupBy("__block").cogroup(replies.groupBy("bid")).applyInArrow(last, out_schema)
+    out = d.groupBy("__block").cogroup(replies.groupBy("bid")).applyInArrow(tidy_pairs(last), out_schema)
     return out.select(*([F.col(f"__rest.`{c}`") for c in rest]), *[F.col(f"`{c}`") for c in schema])
 
 
