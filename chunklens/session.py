@@ -26,13 +26,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder in the shared one for files of one piece of work; it is removed when the application ends."""
+    """A path, not there yet, in a new folder of the shared one for files of one piece of work; the folder is removed when the application ends."""
     path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)
-    return path
+    return f"{path}/data"
 
 
 def cut(df: DataFrame) -> DataFrame:
