@@ -98,6 +98,5 @@ def test_merge_publishes_only_what_holds(spark, built, tmp_path):
     with pytest.raises(ST.NotPublished, match="label_type"):
         ST.merge(spark, f"{doubles}/typed", out, 8)
     assert sorted(os.listdir(out)) == before and spark.read.parquet(out).count() == 8
-    line = next(f for f in os.listdir(f"{out}.manifest") if f.endswith(".json"))
-    with open(f"{out}.manifest/{line}", encoding="utf-8") as f:
-        assert json.loads(f.readline())["declared"] == 8
+    line = "".join(open(f"{out}.manifest/{f}", encoding="utf-8").read() for f in os.listdir(f"{out}.manifest") if f.endswith(".json"))  # noqa: SIM115
+    assert json.loads(line)["declared"] == 8
