@@ -20,7 +20,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir, table
+from ..session import scratch
+from .common import cut, table
 
 #: A digest is hot if it has more than one in so many of the rows.
 HOT = 1000
@@ -119,7 +120,7 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in two batches, the half with the greater ids first, against a new index; the row with the largest id stays."""
     d = fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
     middle = d.agg(F.percentile_approx("id", 0.5)).first()[0]
-    index = DigestIndex(spark, f"{ensure_checkpoint_dir(spark)}/digests-{uuid.uuid4().hex}")
+    index = DigestIndex(spark, scratch(spark, "digests"))
     return verdicts(add_in_turn(index, d, F.col("id") >= (0 if middle is None else middle)), index).withColumnRenamed("id", "doc_id")
 
 
