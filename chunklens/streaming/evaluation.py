@@ -54,3 +54,31 @@ def evaluate_every(rows: DataFrame, metrics: dict[str, Column], into: str, check
     finally:
         spark.streams.removeListener(watch)
     return watch.rows
+
+
+def deal_blocks(df: DataFrame, step: str, every: int, path: str, rows: int = 1 << 18) -> None:
+    """Rows as files of whole blocks of ``every`` steps, about ``rows`` steps a file, so that the number of files doesn't follow that of blocks."""
+    own = F.floor(F.floor((F.col(step) - 1) / every) / max(1, rows // every))
+    df.withColumn("_file", own).repartition("_file").write.mode("overwrite").partitionBy("_file").parquet(path)
+
+
+def evaluate_blocks(rows: DataFrame, step: str, every: int, metrics: dict[str, Column], into: str, checkpoint: str) -> DataFrame:
+    """Write a stream to into/rows, and give the metrics of each block of ``every`` steps, as (block, metrics).
+
+    A micro-batch holds many blocks, each of them whole, and what is evaluated is what it wrote; so neither the number of micro-batches nor
+    what the driver holds follows the number of blocks. A run with the checkpoint of an earlier one goes on where that ended; a micro-batch
+    that is run again takes the place of its first run.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+
+    def evaluated(d: DataFrame) -> DataFrame:
+        return d.groupBy(F.floor((F.col(step) - 1) / every).alias("block")).agg(*[c.alias(k) for k, c in metrics.items()])
+
+    def one(batch: DataFrame, number: int) -> None:
+        own = f"{into}/rows/batch={number}"
+        batch.write.mode("overwrite").parquet(own)
+        evaluated(spark.read.schema(schema).parquet(own)).write.mode("overwrite").parquet(f"{into}/metrics/batch={number}")
+
+    evaluated(spark.createDataFrame([], schema)).write.mode("overwrite").parquet(f"{into}/metrics/batch=-1")  # a stream without rows has no metrics
+    rows.writeStream.foreachBatch(one).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+    return spark.read.parquet(f"{into}/metrics").select("block", *metrics)
