@@ -66,6 +66,20 @@ def _docs_at(spark, texts, path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
 
 
+def test_halves_are_rounded_as_in_sql(spark, tmp_path):
+    """Distances of neighbours such as 0.7500000025 lie half-way between two results of nine digits."""
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 16
+    word = {bucket(x): x for x in (f"w{i}" for i in range(500))} | {(bucket(x), "end"): x for x in (f"w{i}." for i in range(500))}
+    text = lambda parts: " ".join(" ".join([*[word[b] for b in p[:-1]], word[p[-1], "end"]]) for p in parts)
+    # distances 0.7500000025, 0.5 and 0.7500000031: the median is the first, and as great as the last
+    parts = [[0, 1, 2, 3], [0, 4, 5, 6], [4], list(range(16))]
+    texts = [text(parts), text(parts[::-1])]
+    _docs_at(spark, texts, tmp_path)
+    for name in ("semantic_breakpoints", "semantic_chunks"):
+        same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
+    assert EM.rounded(np.array([0.7500000025, -0.7500000025, 0.1234567894, 0.0, 1.0]), 9).tolist() == [0.750000003, -0.750000003, 0.123456789, 0.0, 1.0]
+
+
 def test_results_of_a_batch_come_in_slices(monkeypatch):
     """A batch of 400 lists gives its vectors, hits and places some rows at a time, so memory doesn't follow the batch."""
     n = 400
