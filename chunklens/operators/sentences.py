@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.batches import slices
 from ..session import cut, ship
 
 #: Least scores of an abbreviation, a collocation and a starter, and how often an abbreviation has its stop.
@@ -38,9 +39,9 @@ def pieces(text: Column) -> Column:
 _PIECE, _TRAIL, _NUMBER = re.compile(r"\S+\s*", re.A), re.compile(r"[.!?,;:…]+$"), re.compile(r"[+-]?\d[\d.,]*", re.A)
 #: Quotes and brackets that may stand around a word.
 _OPEN, _CLOSE = "([\"'“‘«", ")]\"'”’»"
-#: Facts of words seen lately by this worker, and how many are kept.
+#: Facts of words seen lately by this worker, and how many are kept; different counts that a task holds before it hands them on.
 _seen: dict[str, tuple[str, str, str]] = {}
-SEEN = 500_000
+SEEN, HELD = 150_000, 150_000
 
 
 def word_facts(piece: str) -> tuple[str, str, str]:
@@ -72,32 +73,41 @@ def stops(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in names[1:]]]))
 
     @F.arrow_udf("array<struct<pos:int,type:string,stop:string,next_type:string,next_case:string>>")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(names, s, strict=True)) for s in text_stops(_facts(t.as_py()))] for t in texts], kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for s in slices(whole):
+                yield pa.array([[dict(zip(names, x, strict=True)) for x in text_stops(_facts(t.as_py()))] for t in whole.slice(*s)], kind)
 
     ship(docs.sparkSession)
     return docs.select(F.col(key).alias("key"), run(F.col(text)).alias("stops"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to counts, added up for each batch."""
+    """Texts to counts, added up until a task holds ``HELD`` different ones."""
+    n: Counter = Counter()
+
+    def handed_on() -> pa.RecordBatch:
+        cols = list(zip(*n, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(n.values()), pa.int64())], names=["kind", "type", "stop", "next_type", "next_case", "n"])
+
     for b in batches:
-        n: Counter = Counter()
         for t in b.column(0):
             words = _facts(t.as_py())
             if words:
                 n["p", None, "^", words[0][0], words[0][2]] += 1
             n.update(("w", t, "." if s == "." else "", None, None) for t, s, _ in words)
             n.update(("p", a if s else None, s, c, k) for (a, s, _), (c, _, k) in zip(words, words[1:], strict=False))
-        cols = list(zip(*n, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array(list(n.values()), pa.int64())], names=["kind", "type", "stop", "next_type", "next_case", "n"])
+            if len(n) >= HELD:
+                yield handed_on()
+                n.clear()
+    yield handed_on()
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, type, stop, next_type, next_case, n), from one pass over the texts.
 
     Kind w: words by type and whether a full stop ends them. Kind p: what follows each word with a stop, by that word, and what follows
-    words without one and begins texts (stop ^), not by the word before. Counts are added up in each batch, and then over all.
+    words without one and begins texts (stop ^), not by the word before. Counts are added up in each task, some at a time, and then over all.
     """
     ship(docs.sparkSession)
     d = docs.select(text).mapInArrow(_counted, "kind string, type string, stop string, next_type string, next_case string, n long")
@@ -220,8 +230,10 @@ def _split(sent: Broadcast):
     """A batch function from texts to their sentences; ``sent`` is the broadcast of rules."""
 
     @F.arrow_udf("array<string>")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([sentences_of(t.as_py(), sent.value) for t in texts], pa.list_(pa.string()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for s in slices(whole):
+                yield pa.array([sentences_of(t.as_py(), sent.value) for t in whole.slice(*s)], pa.list_(pa.string()))
 
     return run
 
