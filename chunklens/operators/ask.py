@@ -12,6 +12,7 @@ from typing import NamedTuple, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.batches import slices
 from ..session import ship
 
 #: What a service answers that refuses a prompt.
@@ -98,7 +99,7 @@ def answers(df: DataFrame, prompt: str, load: Callable[[], Chat], at_once: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for b in batches:
+        for b in (whole.slice(*s) for whole in batches for s in slices(whole.column(at))):
             got = list(ask_all((p.as_py() for p in b.column(at)), model, at_once, seconds, retries, pause))
             new = [pa.array([g.status for g in got], pa.string()), pa.array([g.reply for g in got], pa.string()), pa.array([g.tries for g in got], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*cols, "status", "reply", "tries"])
