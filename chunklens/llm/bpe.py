@@ -30,7 +30,7 @@ import base64
 import contextlib
 import hashlib
 import marshal
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from .common import pack, table, unpack
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a cache generation; characters of a round of texts; bytes of pieces, or tokens, of one query; contractions of one query.
-CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 150_000, 1 << 21, 600_000, 32
+CACHE, ROUND_CHARS, QUERY_BYTES, DEPTH = 150_000, 1 << 20, 600_000, 32
 #: Bytes beyond which a piece is encoded in windows, and of a window.
 LONG, WIDTH = 256, 128
 
@@ -278,7 +278,8 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _rounds(texts: list[str | None]) -> Iterator[list[str]]:
+def _rounds(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Some texts at a time, about ``ROUND_CHARS`` characters; only these are read from the source."""
     part, size = [], 0
     for t in texts:
         part.append(t or "")
@@ -290,6 +291,14 @@ def _rounds(texts: list[str | None]) -> Iterator[list[str]]:
         yield part
 
 
+def _numbers(ids: list[str]) -> pa.Array:
+    """Lists of ids from texts with commas, without an object for each."""
+    full = [i for i in ids if i]
+    flat = np.fromstring(",".join(full), np.int32, sep=",") if full else np.zeros(0, np.int32)
+    count = [i.count(",") + 1 if i else 0 for i in ids]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(flat))
+
+
 def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", emit: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """All columns but the text, with ``n_tokens`` and what ``emit`` names: ``ids`` (array), ``decoded`` (binary), or the hex digests ``ids_sha256`` and ``decoded_sha256``.
 
@@ -312,20 +321,16 @@ def transcode(df: DataFrame, path: str, pattern: str, text: str = "text", emit:
         for batch in batches:
             at = 0
             where = batch.schema.get_field_index("__text")
-            for part in _rounds(batch.column(where).to_pylist()):
+            for part in _rounds(t.as_py() for t in batch.column(where)):
                 out: dict[str, list] = {c: [] for c in names}
                 for ids, decoded, n in own.texts(part):
                     out["n_tokens"].append(n)
                     for c in emit:
-                        out[c].append(
-                            [int(i) for i in ids.split(",") if i] if c == "ids"
-                            else decoded if c == "decoded"
-                            else hashlib.sha256(ids.encode() if c == "ids_sha256" else decoded).hexdigest()
-                        )
+                        out[c].append(ids if c == "ids" else decoded if c == "decoded" else hashlib.sha256(ids.encode() if c == "ids_sha256" else decoded).hexdigest())
                 rest = batch.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [c for k, c in enumerate(rest.columns) if k != where] + [pa.array(out[c], added[c]) for c in names],
+                    [c for k, c in enumerate(rest.columns) if k != where] + [_numbers(out[c]) if c == "ids" else pa.array(out[c], added[c]) for c in names],
                     names=[c for c in rest.schema.names if c != "__text"] + names,
                 )
 
