@@ -8,6 +8,9 @@ from pyspark.sql import window as W
 
 from ..session import cut
 
+#: Groups whose facts are sent to every task.
+GROUPS = 100_000
+
 
 def round_robin(position: Column, shards: int) -> Column:
     return F.pmod(position, F.lit(shards)).cast("int")
@@ -53,6 +56,17 @@ def prefix_counts(df: DataFrame, group: str, position: str, counted: Column, blo
     return d.withColumn("upto", F.col("_before") + F.col("_inside")).drop("_b", "_c", "_g", "_own", "_before", "_inside")
 
 
+def beside(df: DataFrame, group: str, facts: DataFrame, key: str) -> DataFrame:
+    """Rows with the facts of their group, null being a group; ``key`` names the group in ``facts`` and goes.
+
+    Rows of a large group stay where they are: up to ``GROUPS`` facts are sent to every task. More groups are joined by a shuffle, as none
+    of so many needs to be large.
+    """
+    facts = cut(facts)
+    few = facts.limit(GROUPS + 1).count() <= GROUPS
+    return df.join(F.broadcast(facts) if few else facts, F.col(group).eqNullSafe(F.col(key))).drop(key)
+
+
 def first_wins(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
     """One row for each key, the first in an explicit order: a row of least order value, found by partial aggregation."""
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -189,7 +203,7 @@ def in_slice(df: DataFrame, group: str, *order: str, offset: int = 0, limit: int
         return df.withColumn("_n", n).where(F.col("_n") <= offset + limit).withColumn("pos", (F.col("_n") - 1).cast("long")).where(F.col("pos") >= offset).drop("_n")
     d = numbered(df, group, *order)
     first = d.groupBy(F.col(group).alias("_g")).agg(F.min("pos").alias("_zero"))
-    d = d.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn("pos", F.col("pos") - F.col("_zero")).drop("_g", "_zero")
+    d = beside(d, group, first, "_g").withColumn("pos", F.col("pos") - F.col("_zero")).drop("_zero")
     return d.where(F.col("pos") >= offset)
 
 

@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..sources import readers, writers
 from . import embedding as EM
 from . import spans as S
-from .etl import contiguous, in_slice, prefix_counts
+from .etl import beside, contiguous, in_slice, prefix_counts
 from .gates import interval_union
 
 #: Sentences that a document needs to have a pair.
@@ -43,7 +43,7 @@ def write_shards(texts: DataFrame, path: str, shards: int, model: EM.Model, gran
     """Parts of each split in ``shards`` contiguous shards, in path/parts, and a manifest line for each shard in path/manifests."""
     spark = texts.sparkSession
     total = texts.groupBy(F.col("corpus_split").alias("_s")).agg(F.count("*").alias("_n"))
-    d = texts.join(total, F.col("corpus_split").eqNullSafe(F.col("_s"))).withColumn("shard", contiguous(F.col("pos"), F.col("_n"), shards)).drop("_s", "_n")
+    d = beside(texts, "corpus_split", total, "_s").withColumn("shard", contiguous(F.col("pos"), F.col("_n"), shards)).drop("_n")
     pairs(d, "sentences", model, granularities).select("corpus_split", "shard", "input", "label").write.mode("overwrite").partitionBy("corpus_split", "shard").parquet(f"{path}/parts")
     parts = read_parts(spark, path)
     wrote = parts.groupBy("corpus_split", "shard").agg(F.count("*").alias("n_records"), F.sum(F.size("input") + F.size("label")).cast("long").alias("n_vectors"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import embedding as EM
 from ..operators import etl as E
 from ..operators import stores as ST
-from .catalog import _SENT, _docs, _spans_sql, _t, query
+from .catalog import _SENT, _spans_sql, _t, query
 from .studies import _place
 
 _POS = f"""WITH {_SENT}, d AS MATERIALIZED (SELECT documents.doc_id, lang AS corpus_split, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY lang ORDER BY documents.doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total
@@ -16,7 +17,7 @@ m AS MATERIALIZED (SELECT corpus_split, pos // ceil(total / 3.0)::BIGINT AS shar
 
 
 def _texts(spark, sf):
-    return ST.corpus(_docs(spark, sf).join(_t(spark, sf, "documents").select("doc_id", "lang"), "doc_id"), "lang", "doc_id", "sentences")
+    return ST.corpus(_t(spark, sf, "documents").select("doc_id", "lang", X.sentences(F.col("text")).alias("sentences")), "lang", "doc_id", "sentences")
 
 
 def _built(spark, sf):

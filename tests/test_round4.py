@@ -10,11 +10,13 @@ from chunklens.functions import batches as BA
 from chunklens.llm import bpe
 from chunklens.operators import answering as AN
 from chunklens.operators import embedding as EM
+from chunklens.operators import etl as E
 from chunklens.operators import retrieve as R
 from chunklens.operators import sentences as SE
 from chunklens.plans import ORACLES, QUERIES
 from chunklens.streaming import evaluation as SV
 from compare import same
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 
@@ -121,3 +123,15 @@ def test_bpe_reads_a_batch_some_texts_at_a_time(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in bpe.encode_documents(spark, d, "").collect()}
     assert all(got[i]["text"] == (t or "") and len(got[i]["token_ids"]) == got[i]["n_tokens"] for i, t in enumerate(texts))
+
+
+def test_a_large_group_is_no_single_task(spark, monkeypatch):
+    """Facts of few groups are sent to every task; those of many are joined, with the same rows."""
+    d = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(30, 0, -1)], "g string, i int")
+    rows = lambda x: sorted(map(str, x.select("g", "i", "pos").collect()))
+    few = E.in_slice(d, "g", "i")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    monkeypatch.setattr(E, "GROUPS", 2)
+    many = E.in_slice(d, "g", "i")
+    assert rows(few) == rows(many) == sorted(str(Row(g=g, i=i, pos=i - 1)) for g in ("a", "b", None) for i in range(1, 31))
